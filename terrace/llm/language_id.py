@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bounded_sample, id_bucket
 from .linear import linear_svm, logistic
@@ -138,29 +139,30 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, families: dict = FA
     return Model(groups, np.array(weights, np.float32), pairs)
 
 
-def predict(documents: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred and score of every row."""
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = documents.select("doc_id", F.when(letter, F.col("text")).alias("text"))
+def annotate(documents: DataFrame, model: Model | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``documents`` with ``lang_pred`` and ``score``; without ``model`` one is fitted on its own labelled rows, as ``identify`` does."""
     if model is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        model = fit(documents.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()), sample_rows)
+    rows = documents.drop("lang_pred", "score").withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    if model is None:
+        return rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)}).drop("__letter")
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    place = [c.lower() for c in rows.columns].index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, sure = np.empty(batch.num_rows, object), np.zeros(batch.num_rows)
-            for at, block in blocks(batch.column(1)):
-                lang[at : at + block.n], sure[at : at + block.n] = shared.value.predict(features(block))
-            none = ~np.asarray(batch.column(1).is_valid())
-            lang[none], sure[none] = "und", 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(sure)], ["doc_id", "lang_pred", "score"])
+            for at, block in blocks(batch.column(place)):
+                part = batch.slice(at, block.n)
+                lang, sure = shared.value.predict(features(block))
+                none = ~np.asarray(part.column(part.num_columns - 1).to_numpy(zero_copy_only=False), bool)
+                lang[none], sure[none] = "und", 0
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*part.schema.names[:-1], "lang_pred", "score"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
+    schema = StructType([f for f in rows.schema if f.name != "__letter"]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(score, schema)
 
 
 def identify(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score; learns from the rows whose id isn't in fold 2 of 4."""
-    model = fit(documents.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()), sample_rows)
-    out = predict(documents, model)
+    out = annotate(documents.select("doc_id", "text", "lang"), None, sample_rows)
     return out.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

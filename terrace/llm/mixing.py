@@ -85,7 +85,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     rows = documents.withColumn("__size_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     taken = mix(documents, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    taken = taken.where("size > 0").select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("size").alias("__m_size"), copies.alias("__m_copies")).where("m_copies > 0")
+    taken = taken.where("size > 0").select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("size").alias("__m_size"), copies.alias("__m_copies")).where("__m_copies > 0")
     on = rows["doc_id"].eqNullSafe(taken["__m_id"]) & rows["source"].eqNullSafe(taken["__m_source"]) & (rows["__size_key"] == taken["__m_size"])
     out = rows.join(taken.hint("shuffle_hash"), on).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_copies"))))
     return out.select(*documents.columns)

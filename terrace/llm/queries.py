@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, shared_dir, table
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .line_dedup import line_dedup
 from .mixing import mix
 from .near_dedup import near_classes
+from .quality_crf import classify
+from .quality_rules import quality_rules
+from .sentencepiece_codec import round_trip
+from .token_counts import BPE, WORDS, Rollup, change, count_tokens, revision, union
 from .warc import archive_pages
 
 
@@ -24,14 +29,40 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches over all documents: every row is inserted with its words and an estimate of its
+    tokens, then the estimates are revised to the counts, then rows without a word are deleted. The second is replayed."""
+    counts = materialise(count_tokens(table(spark, sf_dir, "documents")), "token-counts")
+    rollup = Rollup(spark, f"{shared_dir(spark)}/terrace/rollup-{uuid.uuid4().hex}")
+    rollup.commit("1-insert", union(change(counts, WORDS, "words"), change(counts, BPE, "estimate")))
+    for _ in range(2):
+        rollup.commit("2-revise", revision(counts, counts, BPE, "estimate", "tokens"))
+    wordless = counts.where("words = 0")
+    rollup.commit("3-delete", union(change(wordless, WORDS, "words", -1), change(wordless, BPE, "tokens", -1)))
+    return rollup.totals()
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("deleted_lines").cast("long").alias("deleted_lines"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_ids", "exact")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -43,8 +74,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_mixing": op10_mixing,
 }
