@@ -10,15 +10,16 @@ up to the level that all components of the document reach, so the work grows wit
 the signature, not with the weights.
 
 Bands of components put documents into buckets. Documents with equal multisets
-are one node first. In each bucket all nodes are compared with one leader, by
-the exact weighted Jaccard similarity of the multisets; nodes that aren't like
-the leader go on to the next turn with a leader of their own, until each bucket
-is used up. Links join into classes by label propagation.
+are one node first. In each turn a few hash-chosen leaders of every bucket are
+compared, by the exact weighted Jaccard similarity of the multisets, with all
+nodes of the bucket that aren't in their class yet; links merge classes by label
+propagation. Leaders have met their whole bucket and leave it, and a bucket ends
+when its nodes are of one class. So a group of thousands of copies ends after a
+turn or two, every two nodes of a bucket are compared unless known to be of one
+class, and as the leaders double from turn to turn there are few turns.
 
 With 24 bands of 5 components a pair of similarity 0.8 shares a bucket with
-probability 0.9999, 0.9 with 1 - 1e-9. In a bucket, a link between two nodes of
-which just one is like the leader is seen only in another shared bucket; on
-average a pair at 0.8 shares eight.
+probability 0.9999, a pair of 0.9 with 1 - 1e-9.
 
 Defined results: texts without a word (null and empty ones too) are each a class
 of their own; a text of fewer than five words has one shingle of all its words;
@@ -42,6 +43,8 @@ from .textbytes import U64, Block, blocks, mix
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+#: Leaders of a bucket in the first turn.
+FIRST_LEADERS = 4
 
 _STEP = U64(0x9FB21C651E98DF25)
 _LEVEL = U64(0xA0761D6478BD642F)
@@ -221,27 +224,52 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
     members = materialise(members.join(shared, "bucket"), "near-buckets")
     texts = materialise(_texts(documents, groups.join(members.select("node").distinct(), "node"), width), "near-texts")
 
-    links, tried = None, None
-    while not members.isEmpty():
-        leaders = members.groupBy("bucket").agg(F.min_by("node", "place").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        led = members.join(leaders, "bucket").where("node <> leader")
-        pairs = led.select("node", "leader").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        found = materialise(_verified(pairs, texts, similarity, width), "near-found")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        members = materialise(led.join(links, ["node", "leader"], "left_anti").select("node", "place", "bucket"), "near-buckets")
+    labels, leaders = None, FIRST_LEADERS
+    while True:
+        now = members if labels is None else members.join(labels, "node", "left")
+        now = now.withColumn("label", F.lit(None).cast("long") if labels is None else F.col("label")).withColumn("label", F.coalesce("label", "node"))
+        now = now if labels is None else materialise(now, "near-buckets")
+        of = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        share = (F.lit(float(leaders)) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
+        bound = F.when(F.col("n") <= leaders, F.lit((1 << 63) - 1)).otherwise(F.greatest("least", F.floor(F.when(F.col("n") > leaders, share)).cast("long")))
+        now = now.join(of.select("bucket", bound.alias("bound")), "bucket").withColumn("leads", F.col("place") <= F.col("bound"))
+        now = materialise(now.drop("bound"), "near-buckets")
+        if now.isEmpty():
+            break
+        lead = now.where("leads").selectExpr("bucket", "node as leader", "place as lead_place", "label as lead_label")
+        later = (F.col("place") > F.col("lead_place")) | ((F.col("place") == F.col("lead_place")) & (F.col("node") > F.col("leader")))
+        pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & (~F.col("leads") | later))
+        found = materialise(_verified(pairs.select("node", "leader").distinct(), texts, similarity, width), "near-found")
+        labels = _merged(labels, found)
+        members = now.where("not leads").select("node", "place", "bucket")
+        leaders *= 2
 
     named = signed.join(groups.select("k1", "k2", "node"), ["k1", "k2"], "left")
     named = named.select("doc_id", F.coalesce("node", "row").alias("node"))
-    if links is not None:
-        named = named.join(classes(links), "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
+    if labels is not None:
+        named = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
     sizes = named.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return named.join(sizes, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """``labels`` (node, label; a node that is missing is a class of its own) after the links ``found``."""
+    if found.isEmpty():
+        return labels
+    if labels is None:
+        return classes(found)
+    left = labels.selectExpr("node", "label as a")
+    right = labels.selectExpr("node as leader", "label as b")
+    links = found.join(left, "node", "left").join(right, "leader", "left").selectExpr("coalesce(a, node) as node", "coalesce(b, leader) as leader")
+    links = materialise(links.where("node <> leader").distinct(), "near-links")
+    if links.isEmpty():
+        return labels
+    roots = classes(links)
+    every = labels.unionByName(roots.selectExpr("node", "node as label").join(labels.select("node"), "node", "left_anti"))
+    every = every.join(roots.selectExpr("node as label", "label as root"), "label", "left")
+    return materialise(every.selectExpr("node", "coalesce(root, label) as label"), "near-labels")
+
+
 def near_dedup(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that stay: one document of each class. Rows that repeat a kept
     doc_id with a text of another class stay or go with that id."""
