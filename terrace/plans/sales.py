@@ -49,7 +49,7 @@ def sales_dashboard_growth(spark, d):
     day = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("stat_date")).agg(
         F.count(F.lit(1)).alias("total_orders"), F.count_distinct("o_custkey").alias("total_customers"), F.sum(money("o_totalprice")).cast("double").alias("total_amount"))
     day = etl.with_growth(etl.with_growth(day, "stat_date", "total_orders", "order_growth"), "stat_date", "total_amount", "amount_growth")
-    return day.withColumns({"order_growth": F.coalesce("order_growth", F.lit(0.0)).cast("double"), "amount_growth": F.coalesce("amount_growth", F.lit(0.0)), "avg_order_amount": F.round(F.col("total_amount") / F.col("total_orders"), 2)})
+    return day.withColumns({"order_growth": F.coalesce("order_growth", F.lit(0.0)).cast("double"), "amount_growth": F.coalesce("amount_growth", F.lit(0.0)), "avg_order_amount": F.col("total_amount") / F.col("total_orders")})
 
 
 def store_performance(spark, d):
@@ -171,7 +171,7 @@ ORACLE_SQL = {
         WITH d AS (SELECT o_orderdate::DATE AS stat_date, count(*) AS total_orders, count(DISTINCT o_custkey) AS total_customers, sum(o_totalprice::{_D})::DOUBLE AS total_amount FROM orders GROUP BY 1),
         l AS (SELECT *, lag(total_orders) OVER (ORDER BY stat_date) AS po, lag(total_amount) OVER (ORDER BY stat_date) AS pa FROM d)
         SELECT stat_date, total_orders, total_customers, total_amount, (coalesce(round((total_orders - po) * 100.0::DOUBLE / nullif(po, 0), 2), 0) + 0.0)::DOUBLE AS order_growth,
-               (coalesce(round((total_amount - pa) * 100.0::DOUBLE / nullif(pa, 0), 2), 0) + 0.0)::DOUBLE AS amount_growth, round(total_amount / total_orders, 2) AS avg_order_amount FROM l""",
+               (coalesce(round((total_amount - pa) * 100.0::DOUBLE / nullif(pa, 0), 2), 0) + 0.0)::DOUBLE AS amount_growth, total_amount / total_orders AS avg_order_amount FROM l""",
     "store_performance": f"""
         WITH m AS (SELECT c_nationkey, strftime(o_orderdate, '%Y-%m') AS stat_month, count(*) AS total_orders, sum(o_totalprice::{_D})::DOUBLE AS total_amount, count(DISTINCT o_custkey) AS customer_count
                    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
