@@ -48,10 +48,10 @@ UNKNOWN_PENALTY = 10.0
 #: The longest stretch that is searched in step with others.
 LANE_CHARS = 64
 #: Texts of about this many characters are encoded together and make one output batch.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 _PAIR_BITS = 20
 #: Pairs of pieces whose step is remembered: so many in a fast table, so many at all.
-_STEP_BITS, MEMO_STEPS = 20, 400_000
+_STEP_BITS, MEMO_STEPS = 20, 200_000
 
 
 @dataclass
