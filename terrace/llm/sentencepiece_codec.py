@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .textbytes import U64, _powers, mix
 
@@ -390,51 +390,64 @@ def _batches(batch: pa.RecordBatch, size) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def encode(documents: DataFrame, model: str = MODEL, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """``documents`` with ``ids``, the SentencePiece ids of ``text``."""
-    shared = documents.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load(model))
-    rows = documents.drop("ids")
+def _ids_of(lanes: Lanes, texts: pa.Array) -> pa.Array:
+    flat, at = lanes.encode(texts.fill_null("").to_pylist())
+    none = np.append(~np.asarray(texts.is_valid()), False)
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=none), pa.array(flat))
+
+
+def _texts_of(surface: list[bytes], ids: pa.Array) -> pa.Array:
+    ends = np.append(np.zeros(1, np.int64), np.cumsum(np.asarray(ids.value_lengths().fill_null(0))))
+    flat = [surface[k] for k in ids.flatten().to_pylist()]
+    texts = [b"".join(flat[a:b])[1:] if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
+    return pa.array(texts, pa.binary()).cast(pa.string())
+
+
+def _encoded(documents: DataFrame, vocabulary: Vocabulary, check: bool) -> DataFrame:
+    """``documents`` with ``ids``, and with ``exact`` if they are to be decoded and compared at once."""
+    import pyarrow.compute as pc
+
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
+    added = ["ids", "exact"] if check else ["ids"]
+    rows = documents.drop(*added)
     place = [c.lower() for c in rows.columns].index("text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         lanes = Lanes(shared.value)
         for batch in batches:
             for part in _batches(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0))):
                 texts = part.column(place)
-                flat, at = lanes.encode(texts.fill_null("").to_pylist())
-                none = np.append(~np.asarray(texts.is_valid()), False)
-                ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32), mask=none), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+                ids = _ids_of(lanes, texts)
+                new = [ids, pc.fill_null(pc.equal(_texts_of(shared.value.surface, ids), texts), True)] if check else [ids]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
 
-    schema = StructType([*rows.schema, StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([*rows.schema, StructField("ids", ArrayType(IntegerType())), *([StructField("exact", BooleanType())] if check else [])])
     return rows.mapInArrow(encoded, schema)
 
 
+def encode(documents: DataFrame, model: str = MODEL, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """``documents`` with ``ids``, the SentencePiece ids of ``text``."""
+    return _encoded(documents, vocabulary or Vocabulary.load(model), False)
+
+
 def decode(encoded: DataFrame, model: str = MODEL, vocabulary: Vocabulary | None = None, to: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ``ids`` in column ``to``."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load(model))
+    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary or Vocabulary.load(model)).surface)
     rows = encoded.drop(to)
     place = [c.lower() for c in rows.columns].index("ids")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = shared.value.surface
         for batch in batches:
-            column = batch.column(place)
-            for part in _batches(batch, np.asarray(column.value_lengths().fill_null(0)) * 4):
-                ids = part.column(place)
-                ends = np.append(np.zeros(1, np.int64), np.cumsum(np.asarray(ids.value_lengths().fill_null(0))))
-                flat = [surface[k] for k in ids.flatten().to_pylist()]
-                texts = [b"".join(flat[a:b])[1:] if ok else None for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*part.schema.names, to])
+            for part in _batches(batch, np.asarray(batch.column(place).value_lengths().fill_null(0)) * 4):
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts_of(shared.value, part.column(place))], [*part.schema.names, to])
 
     return rows.mapInArrow(decoded, StructType([*rows.schema, StructField(to, StringType())]))
 
 
 def round_trip(documents: DataFrame, model: str = MODEL) -> DataFrame:
-    """``documents`` with ``ids``, ``n_ids`` and ``exact``: do the ids decode to the very text (true for null)."""
-    vocabulary = Vocabulary.load(model)
-    both = decode(encode(documents, vocabulary=vocabulary), vocabulary=vocabulary, to="__decoded")
-    exact = F.col("__decoded").eqNullSafe(F.col("text"))
-    return both.withColumns({"n_ids": F.coalesce(F.size("ids"), F.lit(0)).cast("long"), "exact": exact}).drop("__decoded")
+    """``documents`` with ``ids``, ``n_ids`` and ``exact``: do the ids decode to the very text (true for null).
+
+    Both directions run in the task's one worker, so ids and texts cross to Python once.
+    """
+    both = _encoded(documents, Vocabulary.load(model), True)
+    return both.withColumn("n_ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))

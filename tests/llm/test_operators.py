@@ -143,6 +143,8 @@ def test_ids_are_sentencepieces_own(spark):
 def test_every_text_comes_back(spark, odd):
     rows = sentencepiece_codec.round_trip(odd).collect()
     assert all(r.exact for r in rows) and all((r.ids is None) == (r.text is None) for r in rows)
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(odd.select("doc_id", "text")))
+    assert all(r.decoded == r.text for r in both.collect())
 
 
 def test_counts_of_the_quality_rules(spark):
