@@ -15,8 +15,15 @@ compared, by the exact weighted Jaccard similarity of the multisets, with all
 nodes of the bucket that aren't in their class yet; links merge classes by label
 propagation. Leaders have met their whole bucket and leave it, and a bucket ends
 when its nodes are of one class. So a group of thousands of copies ends after a
-turn or two, every two nodes of a bucket are compared unless known to be of one
-class, and as the leaders double from turn to turn there are few turns.
+turn or two, every two nodes of a bucket are compared, known to be of one class or
+known to be too different, and as the leaders multiply there are few turns.
+
+Documents around a large group, below the threshold to most of it, would still meet
+all of it. So after the first turn the nodes of unfinished buckets meet over rare
+shingles instead: to be similar enough, two nodes must share weight, and with
+shingles in one order for all nodes, rarest first, each must hold a common one
+before the weight that is left in it falls below that. Shingles of one class alone
+come first of all. This is exact: it drops no pair of a bucket that could be a link.
 
 With 24 bands of 5 components a pair of similarity 0.8 shares a bucket with
 probability 0.9999, a pair of 0.9 with 1 - 1e-9.
@@ -34,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -43,8 +50,8 @@ from .textbytes import U64, Block, blocks, mix
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-#: Leaders of a bucket in the first turn.
-FIRST_LEADERS = 4
+#: Leaders of a bucket in the first turn, and their growth from turn to turn.
+FIRST_LEADERS, GROWTH = 4, 4
 
 _STEP = U64(0x9FB21C651E98DF25)
 _LEVEL = U64(0xA0761D6478BD642F)
@@ -134,7 +141,7 @@ def content_keys(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """row, doc_id, k1, k2 (null without a word) and the band keys of every row."""
+    """row, doc_id, k1, k2 (null without a word), the number of shingles and the band keys of every row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +149,14 @@ def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 doc, item, weight = shingles(block, width)
                 k1, k2 = content_keys(doc, item, weight, block.n)
                 keys = band_keys(signatures(doc, item, weight, block.n, bands * rows), bands, rows)
-                none = np.bincount(doc, minlength=block.n) == 0
+                total = np.bincount(doc, weight, block.n).astype(np.int64)
+                none = total == 0
                 lists = pa.ListArray.from_arrays(np.arange(0, (block.n + 1) * bands, bands, dtype=np.int32), keys.reshape(-1).view(np.int64))
-                cols = [batch.column(0).slice(at, block.n), batch.column(1).slice(at, block.n), pa.array(k1, mask=none), pa.array(k2, mask=none), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k1", "k2", "bands"])
+                cols = [batch.column(0).slice(at, block.n), batch.column(1).slice(at, block.n), pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k1", "k2", "size", "bands"])
 
     rows_in = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows_in.mapInArrow(signed, "row long, doc_id long, k1 long, k2 long, bands array<long>")
+    return rows_in.mapInArrow(signed, "row long, doc_id long, k1 long, k2 long, size long, bands array<long>")
 
 
 def _texts(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -168,6 +176,28 @@ def _texts(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(matching, "node long, text string")
 
 
+def _rare(live: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """node, place, size, label and bucket: the rare shingles over which ``live`` nodes (node, place, size, label
+    and low, the least size of a node that they have yet to meet) must meet all others that can be similar enough."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, block in blocks(batch.column("text")):
+                doc, item, weight = shingles(block, width)
+                of = batch.slice(at, block.n).select(["node", "label", "slack"]).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([*of.columns, pa.array(item.view(np.int64)), pa.array(weight)], ["node", "label", "slack", "item", "weight"])
+
+    need = F.lit(similarity / (1 + similarity) * (1 - 1e-9)) * (F.col("size") + F.greatest(F.col("low"), F.lit(similarity) * F.col("size")))
+    rows = live.select("node", "label", (F.col("size") - need).alias("slack")).join(texts, "node").select("node", "label", "slack", "text")
+    rows = materialise(rows.mapInArrow(listed, "node long, label long, slack double, item long, weight long"), "near-shingles")
+    often = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    often = often.select("item", F.when(F.col("a") < F.col("b"), F.col("n")).otherwise(0).alias("n"))
+    before = Window.partitionBy("node").orderBy("n", "item").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.drop("label").join(often, "item").withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    held = held.where("before <= slack and n > 0").select("node", F.col("item").alias("bucket"))
+    return held.join(live.drop("low"), "node")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """``pairs`` (node, leader) whose exact weighted Jaccard similarity is ``similarity`` or more."""
 
@@ -219,16 +249,22 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
     groups = materialise(groups, "near-nodes")
 
     firsts = signed.join(groups.selectExpr("node as row"), "row", "left_semi")
-    members = firsts.select(F.col("row").alias("node"), F.xxhash64("k1", "k2").alias("place"), F.explode("bands").alias("bucket"))
+    members = firsts.select(F.col("row").alias("node"), F.xxhash64("k1", "k2").alias("place"), "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(members.join(shared, "bucket"), "near-buckets")
     texts = materialise(_texts(documents, groups.join(members.select("node").distinct(), "node"), width), "near-texts")
 
     labels, leaders = None, FIRST_LEADERS
     while True:
-        now = members if labels is None else members.join(labels, "node", "left")
-        now = now.withColumn("label", F.lit(None).cast("long") if labels is None else F.col("label")).withColumn("label", F.coalesce("label", "node"))
-        now = now if labels is None else materialise(now, "near-buckets")
+        now = members.withColumn("label", F.col("node"))
+        if labels is not None:
+            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        if leaders > FIRST_LEADERS:
+            now = materialise(now, "near-buckets")
+        if leaders == FIRST_LEADERS * GROWTH:
+            lows = now.groupBy("bucket").agg(F.min("size").alias("low"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
+            live = now.join(lows.select("bucket", "low"), "bucket").groupBy("node", "place", "size", "label").agg(F.min("low").alias("low"))
+            now = materialise(_rare(materialise(live, "near-live"), texts, similarity, width), "near-buckets")
         of = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
         share = (F.lit(float(leaders)) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
         bound = F.when(F.col("n") <= leaders, F.lit((1 << 63) - 1)).otherwise(F.greatest("least", F.floor(F.when(F.col("n") > leaders, share)).cast("long")))
@@ -236,13 +272,14 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
         now = materialise(now.drop("bound"), "near-buckets")
         if now.isEmpty():
             break
-        lead = now.where("leads").selectExpr("bucket", "node as leader", "place as lead_place", "label as lead_label")
+        lead = now.where("leads").selectExpr("bucket", "node as leader", "place as lead_place", "size as lead_size", "label as lead_label")
         later = (F.col("place") > F.col("lead_place")) | ((F.col("place") == F.col("lead_place")) & (F.col("node") > F.col("leader")))
-        pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & (~F.col("leads") | later))
+        sizes = F.least("size", "lead_size") >= F.lit(similarity * (1 - 1e-9)) * F.greatest("size", "lead_size")
+        pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & sizes & (~F.col("leads") | later))
         found = materialise(_verified(pairs.select("node", "leader").distinct(), texts, similarity, width), "near-found")
         labels = _merged(labels, found)
-        members = now.where("not leads").select("node", "place", "bucket")
-        leaders *= 2
+        members = now.where("not leads").select("node", "place", "size", "bucket")
+        leaders *= GROWTH
 
     named = signed.join(groups.select("k1", "k2", "node"), ["k1", "k2"], "left")
     named = named.select("doc_id", F.coalesce("node", "row").alias("node"))
