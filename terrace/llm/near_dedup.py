@@ -51,7 +51,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Leaders of a bucket in the first turn, and their growth from turn to turn.
-FIRST_LEADERS, GROWTH = 4, 4
+FIRST_LEADERS, GROWTH = 4, 16
 
 _STEP = U64(0x9FB21C651E98DF25)
 _LEVEL = U64(0xA0761D6478BD642F)
@@ -227,8 +227,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 
 def classes(links: DataFrame) -> DataFrame:
     """node and label (the smallest node) of each connected component; ``links``: node, leader."""
-    both = materialise(links.unionByName(links.selectExpr("leader as node", "node as leader")).distinct(), "near-links")
-    labels = materialise(both.groupBy("node").agg(F.min("leader").alias("m")).select("node", F.least("node", "m").alias("label")), "near-labels")
+    both = materialise(links.unionByName(links.selectExpr("leader as node", "node as leader")), "near-links")
+    labels = both.groupBy("node").agg(F.min("leader").alias("m")).select("node", F.least("node", "m").alias("label"))
     while True:
         heard = both.join(labels.selectExpr("node as leader", "label as other"), "leader").groupBy("node").agg(F.min("other").alias("other"))
         near = labels.join(heard, "node").select("node", "label", F.least("label", "other").alias("low"))
@@ -259,8 +259,6 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
         now = members.withColumn("label", F.col("node"))
         if labels is not None:
             now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if leaders > FIRST_LEADERS:
-            now = materialise(now, "near-buckets")
         if leaders == FIRST_LEADERS * GROWTH:
             lows = now.groupBy("bucket").agg(F.min("size").alias("low"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
             live = now.join(lows.select("bucket", "low"), "bucket").groupBy("node", "place", "size", "label").agg(F.min("low").alias("low"))
@@ -277,7 +275,9 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
         sizes = F.least("size", "lead_size") >= F.lit(similarity * (1 - 1e-9)) * F.greatest("size", "lead_size")
         pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & sizes & (~F.col("leads") | later))
         found = materialise(_verified(pairs.select("node", "leader").distinct(), texts, similarity, width), "near-found")
-        labels = _merged(labels, found)
+        if not found.isEmpty():
+            # the classes so far are links to their labels
+            labels = classes(found if labels is None else found.unionByName(labels.selectExpr("node", "label as leader")))
         members = now.where("not leads").select("node", "place", "size", "bucket")
         leaders *= GROWTH
 
@@ -289,24 +289,6 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
     return named.join(sizes, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
-    """``labels`` (node, label; a node that is missing is a class of its own) after the links ``found``."""
-    if found.isEmpty():
-        return labels
-    if labels is None:
-        return classes(found)
-    left = labels.selectExpr("node", "label as a")
-    right = labels.selectExpr("node as leader", "label as b")
-    links = found.join(left, "node", "left").join(right, "leader", "left").selectExpr("coalesce(a, node) as node", "coalesce(b, leader) as leader")
-    links = materialise(links.where("node <> leader").distinct(), "near-links")
-    if links.isEmpty():
-        return labels
-    roots = classes(links)
-    every = labels.unionByName(roots.selectExpr("node", "node as label").join(labels.select("node"), "node", "left_anti"))
-    every = every.join(roots.selectExpr("node as label", "label as root"), "label", "left")
-    return materialise(every.selectExpr("node", "coalesce(root, label) as label"), "near-labels")
-
-
 def near_dedup(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that stay: one document of each class. Rows that repeat a kept
     doc_id with a text of another class stay or go with that id."""
