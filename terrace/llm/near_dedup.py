@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -140,40 +140,36 @@ def content_keys(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs:
     return out[0], out[1]
 
 
+def _text_keys() -> list[Column]:
+    """t1 and t2: 128 bits that name the text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """row, doc_id, k1, k2 (null without a word), the number of shingles and the band keys of every row."""
+    """row, doc_id, t1, t2 (128 bits of the text), k1, k2 (null without a word), the number of shingles and the band
+    keys of every row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, block in blocks(batch.column(2)):
+            for at, block in blocks(batch.column(0)):
                 doc, item, weight = shingles(block, width)
                 k1, k2 = content_keys(doc, item, weight, block.n)
                 keys = band_keys(signatures(doc, item, weight, block.n, bands * rows), bands, rows)
                 total = np.bincount(doc, weight, block.n).astype(np.int64)
                 none = total == 0
                 lists = pa.ListArray.from_arrays(np.arange(0, (block.n + 1) * bands, bands, dtype=np.int32), keys.reshape(-1).view(np.int64))
-                cols = [batch.column(0).slice(at, block.n), batch.column(1).slice(at, block.n), pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "k1", "k2", "size", "bands"])
-
-    rows_in = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows_in.mapInArrow(signed, "row long, doc_id long, k1 long, k2 long, size long, bands array<long>")
+                cols = [c.slice(at, block.n) for c in batch.columns[1:]] + [pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "t1", "t2", "k1", "k2", "size", "bands"])
 
+    rows_in = documents.select("text", F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_text_keys())
+    return rows_in.mapInArrow(signed, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, size long, bands array<long>")
 
-def _texts(documents: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and text of each of ``nodes`` (node, doc_id, k1, k2)."""
-
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, block in blocks(batch.column("text")):
-                k1, k2 = content_keys(*shingles(block, width), block.n)
-                part = batch.slice(at, block.n)
-                same = (k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy())
-                yield part.select(["node", "text"]).filter(pa.array(same))
 
-    ids = nodes.select("node", F.col("doc_id").alias("n_id"), "k1", "k2").hint("shuffle_hash")
-    here = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    rows = here.join(ids, F.col("doc_id").eqNullSafe(F.col("n_id"))).select("node", "text", "k1", "k2")
-    return rows.mapInArrow(matching, "node long, text string")
+def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text, once, of each of ``nodes`` (node, t1, t2). Ids play no part, so null and repeated ones do no harm,
+    and copies of a text are one before they are shuffled."""
+    here = documents.where("text is not null").select(*_text_keys(), "text").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    return here.join(nodes, ["t1", "t2"]).select("node", "text")
 
 
 def _rare(live: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -245,14 +241,14 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
     """doc_id, class_id, class_size and kept of every row of ``documents``."""
     signed = materialise(sign(documents, bands, rows, width), "near-signatures")
     known = signed.where("k1 is not null")
-    groups = known.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"))
+    groups = known.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"))
     groups = materialise(groups, "near-nodes")
 
     firsts = signed.join(groups.selectExpr("node as row"), "row", "left_semi")
     members = firsts.select(F.col("row").alias("node"), F.xxhash64("k1", "k2").alias("place"), "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(members.join(shared, "bucket"), "near-buckets")
-    texts = materialise(_texts(documents, groups.join(members.select("node").distinct(), "node"), width), "near-texts")
+    texts = materialise(_texts(documents, groups.join(members.select("node").distinct(), "node").select("node", "t1", "t2")), "near-texts")
 
     labels, leaders = None, FIRST_LEADERS
     while True:

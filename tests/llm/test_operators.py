@@ -189,6 +189,39 @@ def test_near_classes_equal_brute_force(spark):
     assert got == root
 
 
+def _near_brute_force(texts):
+    """The smallest index of each text's class, over all pairs."""
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = sum((sets[a] & sets[b]).values())
+            if both >= 0.8 * (sum(sets[a].values()) + sum(sets[b].values()) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if v == high else v for v in root]
+    return root
+
+
+@pytest.mark.parametrize("ids", ["one", "null"])
+def test_repeated_rows_lose_no_links(spark, ids):
+    """Pairs of near copies in families of texts that are too different otherwise, each row several times; one row a
+    band makes buckets of a whole family, so that pairs without a leader are left for the rare shingles."""
+    rng, texts = random.Random(11), []
+    for f in range(10):
+        for m in range(12):
+            own = [f"f{f}b{i}" for i in range(300)]
+            for k in rng.sample(range(0, 300, 5), 3 if m < 2 else 8):
+                own[k] = f"f{f}m{m}k{k}"
+            texts.append(" ".join(own))
+    want = Counter(_near_brute_force(texts))
+    rows = [(i if ids == "one" else None, t) for i, t in enumerate(texts) for _ in range(3)]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string"), rows=1).collect()
+    assert max(want.values()) == 2
+    if ids == "one":
+        assert {r.doc_id: r.class_id for r in got} == dict(enumerate(_near_brute_force(texts)))
+    assert sorted(r.class_size for r in got) == sorted(3 * n for n in want.values() for _ in range(3 * n))
+
+
 def test_minhash_agreement_is_the_weighted_jaccard_similarity():
     import numpy as np
 
