@@ -87,6 +87,19 @@ def test_token_counts_equal_a_direct_count(spark, tmp_path):
     assert got == dict(want)
 
 
+def test_token_counts_cover_rows_without_a_word(spark, odd, odd_dir):
+    import tiktoken
+
+    bpe = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts._ranks(token_counts.RANKS), special_tokens={})
+    want = defaultdict(lambda: [0, 0])
+    for r in odd.collect():
+        for version, n in ((token_counts.WORDS, len(WORD.findall(r.text or ""))), (token_counts.BPE, len(bpe.encode_ordinary(r.text or "")))):
+            want[r.source, r.lang, version][0] += 1
+            want[r.source, r.lang, version][1] += n
+    got = {(r.source, r.lang, r.tokenizer): [r.n_docs, r.n_tokens] for r in QUERIES["op3_token_counts"](spark, odd_dir).collect()}
+    assert got == dict(want)
+
+
 def test_replays_and_compaction_change_nothing(spark, tmp_path):
     c = spark.createDataFrame([("s", None, 5), ("s", None, 7)], "source string, lang string, n long")
     roll = token_counts.Rollup(spark, str(tmp_path / "r"))
