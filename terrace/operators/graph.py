@@ -6,6 +6,7 @@ steps, so plans stay short and lost executors cost one step.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -26,12 +27,13 @@ def table_graph(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("src", "dst").distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 100) -> DataFrame:
-    """node and hops: what the seeds' (column node) edges lead to, by the fewest steps; cycles end by themselves."""
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """node and hops: what the seeds' (column node) edges lead to, by the fewest steps, of at most ``depth`` steps where
+    it is given; cycles end by themselves."""
     edges = settle(table_graph(edges))
     seen = settle(seeds.select("node", F.lit(0).alias("hops")).distinct())
     front = seen
-    for k in range(1, depth + 1):
+    for k in itertools.count(1) if depth is None else range(1, depth + 1):
         front = settle(front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.lit(k).alias("hops")).distinct().join(seen, "node", "left_anti"))
         if front.isEmpty():
             break
@@ -88,7 +90,7 @@ def producers(io: DataFrame) -> DataFrame:
     return met.select("job", "table_name", status.alias("status"), F.when(status == "resolved", F.col("only")).alias("producer"))
 
 
-def collapse_temporary(edges: DataFrame, depth: int = 50) -> DataFrame:
+def collapse_temporary(edges: DataFrame) -> DataFrame:
     """src, dst between lasting tables, temporary ones bypassed within their job; edges: job, src, dst, src_temp, dst_temp.
 
     A temporary table is a node of its own in each job, so equal names in two jobs don't meet.
@@ -96,13 +98,11 @@ def collapse_temporary(edges: DataFrame, depth: int = 50) -> DataFrame:
     name = lambda c: F.when(F.col(f"{c}_temp"), F.concat_ws("@", c, "job")).otherwise(F.col(c))
     e = settle(edges.select(name("src").alias("s"), name("dst").alias("d"), "src_temp", "dst_temp").distinct())
     front = settle(e.where("not src_temp").select(F.col("s").alias("src"), "d", "dst_temp"))
-    out = front.where("not dst_temp").select("src", F.col("d").alias("dst"))
-    seen = front.select("src", "d")
-    for _ in range(depth):
+    seen = front
+    while True:
         step = front.where("dst_temp").select("src", F.col("d").alias("s")).join(e.select("s", "d", "dst_temp"), "s").select("src", "d", "dst_temp").distinct()
-        front = settle(step.join(seen, ["src", "d"], "left_anti"))
+        front = settle(step.join(seen, step["src"].eqNullSafe(seen["src"]) & (step["d"] == seen["d"]), "left_anti"))
         if front.isEmpty():
             break
-        seen = settle(seen.unionByName(front.select("src", "d")))
-        out = out.unionByName(front.where("not dst_temp").select("src", F.col("d").alias("dst")))
-    return out.distinct()
+        seen = settle(seen.unionByName(front))
+    return seen.where("not dst_temp").select("src", F.col("d").alias("dst")).distinct()

@@ -73,6 +73,19 @@ def test_equal_temporary_names_of_two_jobs_do_not_meet(spark):
     assert {(r.src, r.dst) for r in graph.collapse_temporary(e).collect()} == {("a", "b"), ("c", "d")}
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(103)], "src string, dst string")
+    assert graph.reachable(e, spark.createDataFrame([("n0",)], "node string")).count() == 104
+    assert graph.reachable(e, spark.createDataFrame([("n0",)], "node string"), 2).count() == 3
+    chain = [("j", f"n{i}", f"n{i + 1}", i > 0, i < 53) for i in range(54)]
+    assert [tuple(r) for r in graph.collapse_temporary(spark.createDataFrame(chain, metadata._edges(spark).schema)).collect()] == [("n0", "n54")]
+
+
+def test_temporary_cycles_end_even_under_null_sources(spark):
+    rows = [("j", s, "t1", False, True) for s in (None, "a")] + [("j", "t1", "t2", True, True), ("j", "t2", "t1", True, True), ("j", "t2", "b", True, False)]
+    assert {tuple(r) for r in graph.collapse_temporary(spark.createDataFrame(rows, metadata._edges(spark).schema)).collect()} == {(None, "b"), ("a", "b")}
+
+
 def test_scores_of_nothing(spark):
     assert assess.weighted_score(spark.createDataFrame([], "weight double, score double")).first().overall is None
     assert assess.capped_penalty(metadata._checks(spark).where("passed"), 3).first().score == 100.0
