@@ -7,19 +7,15 @@ steps, so plans stay short and lost executors cost one step.
 from __future__ import annotations
 
 import itertools
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to spark.checkpoint.dir (our own folder where unset) and read back."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{top}/terrace/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialise(df, "graph")
 
 
 def table_graph(edges: DataFrame) -> DataFrame:
