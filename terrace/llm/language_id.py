@@ -5,9 +5,9 @@ linear support vector machine for each pair of its languages votes. Features
 are hashed n-grams of one to three bytes of the whole text, case-folded, as
 square roots of their shares.
 
-The models are fitted on the driver from about ``sample_rows`` labelled rows
-(a documented bound, whatever the table's size); every text is scored in Arrow
-batches in the tasks.
+The models are fitted on the driver from about ``sample_rows`` different labelled
+rows (a documented bound, whatever the table's size and however often a row or an
+id is repeated); every text is scored in Arrow batches in the tasks.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter;
 a language that FAMILIES doesn't list is a family of its own; with no labelled
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bounded_sample, id_bucket
-from .linear import linear_svm, logistic
+from .linear import gram, linear_svm, logistic, weigh
 from .textbytes import Block, blocks
 
 #: Families of closely related languages, by ISO 639-1 code.
@@ -107,21 +107,28 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, families: dict = FAMILIES) -> Model | None:
-    """The model of ``labelled`` (doc_id, text, lang); None without a labelled row."""
+    """The model of ``labelled`` (doc_id, text, lang); None without a labelled row.
+
+    The sample crosses to the driver as one Arrow table of half-precision rows,
+    2 * DIMS bytes each (34 MB for 2000), and all machines are fitted on the
+    rows' inner products, so the driver never holds a wider copy of it.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, block in blocks(batch.column(0)):
-                x = features(block)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, block.n), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                x = features(block).astype(np.float16)
+                part = batch.slice(at, block.n)
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "sample_key", "x"])
 
     sample = bounded_sample(labelled.where(F.col("text").rlike(r"\p{L}")), "lang", sample_rows, 0.7)
-    got = sample.select("text", "lang").mapInArrow(rows, "lang string, x binary").collect()
-    if not got:
+    got = sample.select("text", "lang", "sample_key").mapInArrow(rows, "lang string, sample_key long, x binary").toArrow()
+    if not got.num_rows:
         return None
-    got.sort(key=lambda r: (r[0], bytes(r[1])))
-    lang = np.array([r[0] for r in got], object)
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(len(got), DIMS)
+    got = got.sort_by([("lang", "ascending"), ("sample_key", "ascending")])
+    lang = np.array(got.column("lang").to_pylist(), object)
+    x = np.frombuffer(got.column("x").combine_chunks().buffers()[2], np.float16).reshape(len(lang), DIMS)
+    products = gram(x)
     home = {code: name for name, codes in families.items() for code in codes}
     by_family: dict[str, list[str]] = {}
     for code in sorted(set(lang)):
@@ -129,23 +136,25 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, families: dict = FA
     groups, weights, pairs = list(by_family.values()), [], []
     for members in groups:
         y = np.where(np.isin(lang, members), 1.0, -1.0)
-        weights.append(linear_svm(x, y) if len(groups) > 1 else np.zeros(DIMS + 1))
+        weights.append(weigh(x, linear_svm(products, y)) if len(groups) > 1 else np.zeros(DIMS + 1))
     for f, members in enumerate(groups):
         for i in range(len(members)):
             for j in range(i + 1, len(members)):
                 at = np.flatnonzero((lang == members[i]) | (lang == members[j]))
-                weights.append(linear_svm(x[at], np.where(lang[at] == members[i], 1.0, -1.0)))
+                parts = linear_svm(products[np.ix_(at, at)], np.where(lang[at] == members[i], 1.0, -1.0))
+                weights.append(weigh(x[at], parts))
                 pairs.append((f, i, j))
     return Model(groups, np.array(weights, np.float32), pairs)
 
 
-def annotate(documents: DataFrame, model: Model | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``; without ``model`` one is fitted on its own labelled rows, as ``identify`` does."""
+def annotate(documents: DataFrame, model: Model | None = None, sample_rows: int = SAMPLE_ROWS, to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``documents`` with the predicted language and its score in the columns ``to``, which replace columns of those
+    names; without ``model`` one is fitted on its own labelled rows, as ``identify`` does."""
     if model is None:
-        model = fit(documents.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()), sample_rows)
-    rows = documents.drop("lang_pred", "score").withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+        model = fit(documents.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), sample_rows)
+    rows = documents.drop(*to).withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)}).drop("__letter")
+        return rows.withColumns({to[0]: F.lit("und"), to[1]: F.lit(0.0)}).drop("__letter")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     place = [c.lower() for c in rows.columns].index("text")
 
@@ -156,9 +165,9 @@ def annotate(documents: DataFrame, model: Model | None = None, sample_rows: int
                 lang, sure = shared.value.predict(features(block))
                 none = ~np.asarray(part.column(part.num_columns - 1).to_numpy(zero_copy_only=False), bool)
                 lang[none], sure[none] = "und", 0
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*part.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*part.schema.names[:-1], *to])
 
-    schema = StructType([f for f in rows.schema if f.name != "__letter"]).add("lang_pred", "string").add("score", "double")
+    schema = StructType([f for f in rows.schema if f.name != "__letter"]).add(to[0], "string").add(to[1], "double")
     return rows.mapInArrow(score, schema)
 
 

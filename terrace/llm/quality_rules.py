@@ -1,9 +1,10 @@
 """Quality rules: counts of the whole text, then a calibrated logistic regression.
 
-The regression works on hashed n-grams, of one and two words and of three bytes,
-as square roots of their shares. It is fitted on the driver from about
-``sample_rows`` labelled rows (a documented bound), calibrated by Platt scaling
-on a fold it wasn't fitted on, and applied in Arrow batches: a document is kept
+The regression works on hashed n-grams, of one and two words and of three
+characters (code points), as square roots of their shares. It is fitted on the
+driver from about ``sample_rows`` different labelled rows (a documented bound,
+however often an id is repeated), calibrated by Platt scaling on a fold it wasn't
+fitted on, and applied in Arrow batches: a document is kept
 if it passes the base rules and its probability of good quality reaches
 ``threshold``.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import labelled_sample
 from .linear import logistic, logistic_regression, platt
 from .textbytes import U64, Block, blocks, mix, repeats
 
@@ -33,7 +34,7 @@ THRESHOLD = 0.5
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # per cent of the words
 WINDOW = 3
-WORD_BITS, CHAR_BITS = 12, 12
+WORD_BITS, CHAR_BITS = 13, 13
 DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
 
 _SYMBOL = np.zeros(256, bool)
@@ -73,7 +74,7 @@ def base_counts(block: Block) -> dict[str, np.ndarray]:
 
 
 def features(block: Block) -> np.ndarray:
-    """One row of square-rooted n-gram shares for each text, words and bytes half each."""
+    """One row of square-rooted n-gram shares for each text, words and characters half each."""
     start, end = block.words()
     word, doc = block.hashes(start, end), block.of(start)
     rows = [doc]
@@ -85,13 +86,12 @@ def features(block: Block) -> np.ndarray:
         slots.append((mix(pair) >> U64(64 - WORD_BITS))[same])
     where = np.concatenate([r * (1 << WORD_BITS) + s.astype(np.int64) for r, s in zip(rows, slots)])
     words = np.bincount(where, minlength=block.n << WORD_BITS).reshape(block.n, -1)
-    b = np.where((block.data > 8) & (block.data < 14), 32, block.data).astype(np.uint32)
-    text = np.repeat(np.arange(block.n, dtype=np.int64) << CHAR_BITS, np.diff(block.off))
-    if len(b) > 2:
-        gram = (((b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - CHAR_BITS)
-        where = (text[:-2] + gram)[text[:-2] == text[2:]]
-    else:
-        where = np.zeros(0, np.int64)
+    spaced = Block(np.where((block.data > 8) & (block.data < 14), np.uint8(32), block.data), block.off)
+    char = np.flatnonzero(~_TRAIL[spaced.data])
+    of = spaced.of(char)
+    inside = np.flatnonzero(of[: max(len(char) - 2, 0)] == of[2:])  # no n-gram runs over two texts
+    end = np.append(char, len(spaced.data))[inside + 3]
+    where = (of[inside] << CHAR_BITS) + (spaced.hashes(char[inside], end) >> U64(64 - CHAR_BITS)).astype(np.int64)
     grams = np.bincount(where, minlength=block.n << CHAR_BITS).reshape(block.n, -1)
     halves = [np.sqrt(h.astype(np.float32) / np.maximum(h.sum(1, keepdims=True), 1).astype(np.float32)) for h in (words, grams)]
     return np.hstack(halves)
@@ -108,28 +108,27 @@ class Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The calibrated model; None if a label is missing."""
+    """The calibrated model; None if a label is missing. The sample crosses as one Arrow table of half-precision rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, block in blocks(batch.column(0)):
-                x = features(block)
+                x = features(block).astype(np.float16)
                 part = batch.slice(at, block.n)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "fold", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([r.tobytes() for r in x], pa.binary())], ["quality", "fold", "sample_key", "x"])
 
     marked = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sample = bounded_sample(marked, "quality", sample_rows, 0.7)
     fold = F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % 4
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
-    got = chosen.select("text", "quality", fold.cast("int").alias("fold")).mapInArrow(rows, "quality int, fold int, x binary").collect()
-    got.sort(key=lambda r: (r[0], r[1], bytes(r[2])))
-    y, held = np.array([r[0] for r in got], np.float32), np.array([r[1] == 0 for r in got], bool)
+    sample = labelled_sample(documents, marked, "quality", sample_rows, 0.7)
+    got = sample.select("text", "quality", fold.cast("int").alias("fold"), "sample_key").mapInArrow(rows, "quality int, fold int, sample_key long, x binary").toArrow()
+    got = got.sort_by([("quality", "ascending"), ("sample_key", "ascending")])
+    y, held = got.column("quality").to_numpy().astype(np.float32), got.column("fold").to_numpy() == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return None
-    x = np.frombuffer(b"".join(bytes(r[2]) for r in got), np.float32).reshape(len(got), DIMS)
+    x = np.frombuffer(got.column("x").combine_chunks().buffers()[2], np.float16).reshape(len(y), DIMS)
     w = logistic_regression(x[~held], y[~held])
-    slope, shift = platt((x[held] @ w[:-1] + w[-1]).astype(np.float64), y[held])
-    return Model(w, slope, shift)
+    slope, shift = platt(x[held].astype(np.float64) @ w[:-1] + w[-1], y[held])
+    return Model(w.astype(np.float32), slope, shift)
 
 
 def apply_rules(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

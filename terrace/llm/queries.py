@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, table
+from .common import materialise, new_path, table
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .line_dedup import line_dedup
@@ -34,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     then the estimates are revised to the counts, then rows without a word are deleted and inserted again. The second is
     replayed."""
     counts = materialise(count_tokens(table(spark, sf_dir, "documents")), "token-counts")
-    rollup = Rollup(spark, f"{shared_dir(spark)}/terrace/rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, new_path(spark, "rollup"))
     rollup.commit("1-insert", union(change(counts, WORDS, "words"), change(counts, BPE, "estimate")))
     for _ in range(2):
         rollup.commit("2-revise", revision(counts, counts, BPE, "estimate", "tokens"))

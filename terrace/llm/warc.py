@@ -15,12 +15,10 @@ ignored; an empty table gives an empty archive.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import new_path
 
 LEAST_BYTES = 1000
 NO_ID = -(1 << 63)
@@ -86,7 +84,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Archives ``pages`` in the shared folder and reads them back: one row per record."""
-    path = f"{shared_dir(pages.sparkSession)}/terrace/warc-{uuid.uuid4().hex}"
+    path = new_path(pages.sparkSession, "warc")
     write_archive(pages, path)
     records = read_archive(pages.sparkSession, path)
     digest = F.sha1("payload")
