@@ -1,9 +1,11 @@
 """Near-duplicate detection with BagMinHash over multisets of five-word shingles.
 
-Each shingle with weight w owns Poisson processes over a dyadic division of its
-weight axis, (0, 1], (1, 2], (2, 4], ...; a process runs at a rate of its
-interval's length for each signature component, its points carry a component
-and a weight level, and points above w don't count. Component values are the
+Each shingle owns Poisson processes over a dyadic division of its weight axis,
+(0, 1], (1, 2], (2, 4], ...; a process runs at a rate of its interval's length
+for each signature component. An interval longer than a unit is split at its
+first point: the half that holds the point keeps it, the other half is a process
+of half the rate that goes on from there, and halves above the shingle's weight
+are dropped, so the same hierarchy serves all weights. Component values are the
 first points, so two documents agree on a component with the probability of
 their weighted Jaccard similarity. Points are drawn in ascending order and only
 up to the level that all components of the document reach, so the work grows with
@@ -23,7 +25,10 @@ all of it. So after the first turn the nodes of unfinished buckets meet over rar
 shingles instead: to be similar enough, two nodes must share weight, and with
 shingles in one order for all nodes, rarest first, each must hold a common one
 before the weight that is left in it falls below that. Shingles of one class alone
-come first of all. This is exact: it drops no pair of a bucket that could be a link.
+come first of all. And each node has a parity sketch: every copy of a shingle flips
+one of its bits, so the bits in which two sketches differ are a lower bound of the
+weight that only one of the two has; where that is too much, the pair isn't made.
+Both are exact: they drop no pair of a bucket that could be a link.
 
 With 24 bands of 5 components a pair of similarity 0.8 shares a bucket with
 probability 0.9999, a pair of 0.9 with 1 - 1e-9.
@@ -31,8 +36,9 @@ probability 0.9999, a pair of 0.9 with 1 - 1e-9.
 Defined results: texts without a word (null and empty ones too) are each a class
 of their own; a text of fewer than five words has one shingle of all its words;
 words are compared exactly as written. Rows with equal texts share a class
-whatever their ids; class_id is the smallest doc_id (null only if all are null).
-Empty tables give no rows; extra columns don't matter.
+whatever their ids; class_id is the smallest doc_id (null only if all are null),
+and one row of it is kept, however often an id or a row is repeated. Empty tables
+give no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -44,17 +50,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import WORD, materialise, salted_join
 from .textbytes import U64, Block, blocks, mix
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Leaders of a bucket in the first turn, and their growth from turn to turn.
-FIRST_LEADERS, GROWTH = 4, 16
+FIRST_LEADERS, GROWTH = 1, 16
+#: Bits of a node's parity sketch, in longs.
+PARITY_LONGS = 16
 
 _STEP = U64(0x9FB21C651E98DF25)
 _LEVEL = U64(0xA0761D6478BD642F)
+_HALF = U64(0xE7037ED1A0B428DB)
+_SIDES = _HALF * np.arange(1, 3, dtype=U64)
 
 
 def shingles(block: Block, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,40 +90,78 @@ def shingles(block: Block, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return doc[places], hashed[places], np.diff(np.append(places, len(doc)))
 
 
+def _uniform(draw: np.ndarray) -> np.ndarray:
+    return ((draw >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _leaves(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, bound: np.ndarray, size: int, out: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, seed, start) of the unit processes of items, of which those within ``bound`` are final from ``start`` on.
+
+    An octave (2**(j-1), 2**j] of the weight axis is one process. Its first point falls into one half; the process is
+    then split, that half keeps the point, the other one goes on from there at half the rate, and so on down to units.
+    A half above the item's weight is dropped. Points that arrive at a unit are entered into ``out`` at once.
+    """
+    reach = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)
+    of = np.repeat(np.arange(len(doc)), reach + 1)
+    octave = np.arange(len(of)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
+    length = np.where(octave > 1, 1 << np.maximum(octave - 1, 0), 1)
+    low = np.where(octave > 0, length, 0)
+    seed = mix(item[of] + octave.astype(U64) * _LEVEL)
+    text, room, x = doc[of], weight[of], np.zeros(len(of))
+    done = [(text[length == 1], seed[length == 1], x[length == 1])]
+    # processes still to be split: x is where a process goes on, or its first point where it has one (part >= 0)
+    keep = length > 1
+    text, seed, room, low, length, x = (v[keep] for v in (text, seed, room, low, length, x))
+    part = np.full(len(text), -1)
+    while len(text):
+        draw = mix(seed + _STEP)
+        new = part < 0
+        x = np.where(new, x - np.log(_uniform(draw)) / (size * length), x)
+        part = np.where(new, ((mix(draw ^ _LEVEL) >> U64(40)) % U64(size)).astype(np.int64), part)
+        live = x <= bound[text]
+        text, seed, room, low, length, x, part, draw = (v[live] for v in (text, seed, room, low, length, x, part, draw))
+        half = length >> 1
+        upper = (mix(seed ^ _HALF) & U64(1)).astype(bool)  # the half that the point falls into
+        sides = [(side, upper == bool(side)) for side in (0, 1)]
+        text, seed, room, low, x, part, length = (
+            np.concatenate(v)
+            for v in zip(*((text, mix(seed + _SIDES[side]), room, low + side * half, x, np.where(hit, part, -1), half) for side, hit in sides))
+        )
+        below = low < room
+        text, seed, room, low, x, part, length = (v[below] for v in (text, seed, room, low, x, part, length))
+        unit = length == 1
+        point = unit & (part >= 0)
+        np.minimum.at(out, text[point] * size + part[point], x[point])
+        done.append((text[unit], seed[unit], x[unit]))
+        text, seed, room, low, x, part, length = (v[~unit] for v in (text, seed, room, low, x, part, length))
+    return tuple(np.concatenate(v) for v in zip(*done))
+
+
 def signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, size: int) -> np.ndarray:
     """BagMinHash values, n_docs x size, of weighted items; infinite where a document has none."""
     out = np.full(n_docs * size, np.inf)
     total = np.bincount(doc, weight, n_docs)
     todo = np.flatnonzero(total > 0)
-    # processes: interval 0 is (0, 1], interval j is (2**(j-1), 2**j]
-    reach = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64)
-    of = np.repeat(np.arange(len(doc)), reach + 1)
-    interval = np.arange(len(of)) - np.repeat(np.cumsum(reach + 1) - (reach + 1), reach + 1)
-    length = np.where(interval > 0, 1 << np.maximum(interval - 1, 0), 1)
-    seed = mix(item[of] + interval.astype(U64) * _LEVEL)
-    p_doc, p_rate, p_room = doc[of], 1.0 / (size * length), weight[of] - np.where(interval > 0, length, 0)
     bound = np.full(n_docs, np.inf)
     bound[todo] = (np.log(size) + 3) / total[todo]
     while len(todo):
         chosen = np.zeros(n_docs, bool)
         chosen[todo] = True
-        live = np.flatnonzero(chosen[p_doc])
-        x, turn = np.zeros(len(live)), 0
-        while len(live):
-            width = int(min(64, max(1, 16384 // len(live))))
+        mine = chosen[doc]
+        text, seed, x = _leaves(doc[mine], item[mine], weight[mine], bound, size, out)
+        turn = 0
+        while len(text):
+            width = int(min(64, max(1, 16384 // len(text))))
             turns = np.arange(turn + 1, turn + width + 1, dtype=U64)
-            draw = mix(seed[live][:, None] + turns * _STEP)
-            step = -np.log(((draw >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) * p_rate[live][:, None]
+            draw = mix(seed[:, None] + turns * _STEP)
+            step = -np.log(_uniform(draw)) / size
             step[:, 0] += x
             points = np.cumsum(step, 1)
-            mark = mix(draw ^ _LEVEL)
-            part = (mark >> U64(40)) % U64(size)
-            level = ((mark & U64(0xFFFFFFFF)) * length[live].astype(U64)[:, None]) >> U64(32)
-            good = (points <= bound[p_doc[live]][:, None]) & (level < p_room[live].astype(U64)[:, None])
-            row, col = np.nonzero(good)
-            np.minimum.at(out, p_doc[live][row] * size + part[row, col].astype(np.int64), points[row, col])
-            on = points[:, -1] <= bound[p_doc[live]]
-            x, live, turn = points[on, -1], live[on], turn + width
+            part = (mix(draw ^ _LEVEL) >> U64(40)) % U64(size)
+            row, col = np.nonzero(points <= bound[text][:, None])
+            np.minimum.at(out, text[row] * size + part[row, col].astype(np.int64), points[row, col])
+            on = points[:, -1] <= bound[text]
+            text, seed, x, turn = text[on], seed[on], points[on, -1], turn + width
         short = np.isinf(out.reshape(n_docs, size)[todo]).any(1)
         todo = todo[short]
         bound[todo] *= 2
@@ -140,14 +188,28 @@ def content_keys(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs:
     return out[0], out[1]
 
 
+def parities(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int, longs: int = PARITY_LONGS) -> np.ndarray:
+    """n_docs x longs: each copy of each item flips one bit of its text's sketch. Bits that differ between two sketches
+    were flipped by copies that one text has more of, so they are no more than those."""
+    of = np.repeat(np.arange(len(doc)), weight)
+    copy = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
+    bit = (mix(item[of] + copy.astype(U64) * _STEP) >> U64(40)).astype(np.int64) % (64 * longs)
+    flips = np.bincount(doc[of] * (64 * longs) + bit, minlength=n_docs * 64 * longs) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(n_docs, -1), axis=1, bitorder="little").view(np.int64)
+
+
 def _text_keys() -> list[Column]:
     """t1 and t2: 128 bits that name the text."""
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
 def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """row, doc_id, t1, t2 (128 bits of the text), k1, k2 (null without a word), the number of shingles and the band
-    keys of every row."""
+    """row, doc_id, t1, t2 (128 bits of the text), k1, k2 (null without a word), the number of shingles, the band keys
+    and the parity sketch of every row."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        n, width = values.shape
+        return pa.ListArray.from_arrays(np.arange(0, (n + 1) * width, width, dtype=np.int32), values.reshape(-1).view(np.int64))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,12 +219,11 @@ def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 keys = band_keys(signatures(doc, item, weight, block.n, bands * rows), bands, rows)
                 total = np.bincount(doc, weight, block.n).astype(np.int64)
                 none = total == 0
-                lists = pa.ListArray.from_arrays(np.arange(0, (block.n + 1) * bands, bands, dtype=np.int32), keys.reshape(-1).view(np.int64))
-                cols = [c.slice(at, block.n) for c in batch.columns[1:]] + [pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "t1", "t2", "k1", "k2", "size", "bands"])
+                cols = [c.slice(at, block.n) for c in batch.columns[1:]] + [pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists(keys), lists(parities(doc, item, weight, block.n))]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "t1", "t2", "k1", "k2", "size", "bands", "parity"])
 
     rows_in = documents.select("text", F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_text_keys())
-    return rows_in.mapInArrow(signed, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, size long, bands array<long>")
+    return rows_in.mapInArrow(signed, "row long, doc_id long, t1 long, t2 long, k1 long, k2 long, size long, bands array<long>, parity array<long>")
 
 
 def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,8 +234,8 @@ def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _rare(live: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """node, place, size, label and bucket: the rare shingles over which ``live`` nodes (node, place, size, label
-    and low, the least size of a node that they have yet to meet) must meet all others that can be similar enough."""
+    """node, place, size, label, parity and bucket: the rare shingles over which ``live`` nodes (node, place, size, label,
+    parity and low, the least size of a node that they have yet to meet) must meet all others that can be similar enough."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,6 +255,11 @@ def _rare(live: DataFrame, texts: DataFrame, similarity: float, width: int) -> D
     return held.join(live.drop("low"), "node")
 
 
+def _flips(a: str, b: str) -> Column:
+    """How many bits of two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
     """``pairs`` (node, leader) whose exact weighted Jaccard similarity is ``similarity`` or more."""
 
@@ -237,14 +303,15 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, class_id, class_size and kept of every row of ``documents``."""
+def _classed(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
+    """row, doc_id, t1, t2, worded and node of every row of ``documents``: rows of one node are one class."""
     signed = materialise(sign(documents, bands, rows, width), "near-signatures")
     known = signed.where("k1 is not null")
-    groups = known.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"))
+    groups = known.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"), F.count(F.lit(1)).alias("copies"))
     groups = materialise(groups, "near-nodes")
 
     firsts = signed.join(groups.selectExpr("node as row"), "row", "left_semi")
+    sketches = signed.selectExpr("row as node", "parity")
     members = firsts.select(F.col("row").alias("node"), F.xxhash64("k1", "k2").alias("place"), "size", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(members.join(shared, "bucket"), "near-buckets")
@@ -258,7 +325,8 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
         if leaders == FIRST_LEADERS * GROWTH:
             lows = now.groupBy("bucket").agg(F.min("size").alias("low"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b")
             live = now.join(lows.select("bucket", "low"), "bucket").groupBy("node", "place", "size", "label").agg(F.min("low").alias("low"))
-            now = materialise(_rare(materialise(live, "near-live"), texts, similarity, width), "near-buckets")
+            live = materialise(live.join(sketches, "node"), "near-live")
+            now = materialise(_rare(live, texts, similarity, width), "near-buckets")
         of = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("least"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
         share = (F.lit(float(leaders)) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
         bound = F.when(F.col("n") <= leaders, F.lit((1 << 63) - 1)).otherwise(F.greatest("least", F.floor(F.when(F.col("n") > leaders, share)).cast("long")))
@@ -266,27 +334,63 @@ def near_classes(documents: DataFrame, similarity: float = SIMILARITY, bands: in
         now = materialise(now.drop("bound"), "near-buckets")
         if now.isEmpty():
             break
-        lead = now.where("leads").selectExpr("bucket", "node as leader", "place as lead_place", "size as lead_size", "label as lead_label")
-        later = (F.col("place") > F.col("lead_place")) | ((F.col("place") == F.col("lead_place")) & (F.col("node") > F.col("leader")))
-        sizes = F.least("size", "lead_size") >= F.lit(similarity * (1 - 1e-9)) * F.greatest("size", "lead_size")
-        pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & sizes & (~F.col("leads") | later))
-        found = materialise(_verified(pairs.select("node", "leader").distinct(), texts, similarity, width), "near-found")
+        lead = now.where("leads").select("bucket", *[F.col(c).alias(f"lead_{c}") for c in now.columns if c not in ("bucket", "bound", "leads")])
+        later = (F.col("place") > F.col("lead_place")) | ((F.col("place") == F.col("lead_place")) & (F.col("node") > F.col("lead_node")))
+        near = F.least("size", "lead_size") >= F.lit(similarity * (1 - 1e-9)) * F.greatest("size", "lead_size")
+        if "parity" in now.columns:
+            near = near & (_flips("parity", "lead_parity") <= F.lit((1 - similarity) / (1 + similarity) * (1 + 1e-9)) * (F.col("size") + F.col("lead_size")))
+        pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & near & (~F.col("leads") | later)).select("node", F.col("lead_node").alias("leader"))
+        found = materialise(_verified(pairs.distinct(), texts, similarity, width), "near-found")
         if not found.isEmpty():
             # the classes so far are links to their labels
             labels = classes(found if labels is None else found.unionByName(labels.selectExpr("node", "label as leader")))
-        members = now.where("not leads").select("node", "place", "size", "bucket")
+        members = now.where("not leads").drop("label", "leads")
         leaders *= GROWTH
 
-    named = signed.join(groups.select("k1", "k2", "node"), ["k1", "k2"], "left")
-    named = named.select("doc_id", F.coalesce("node", "row").alias("node"))
+    named = salted_join(signed.where("k1 is not null"), groups.select("k1", "k2", "node", F.col("copies").alias("n")), ["k1", "k2"]).drop("n")
+    named = named.select("row", "doc_id", "t1", "t2", F.lit(True).alias("worded"), "node")
     if labels is not None:
-        named = named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("node"))
-    sizes = named.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        # classes are of different texts, and a text's own copies may be many
+        of_node = groups.selectExpr("node", "copies as n").join(labels, "node")
+        named = salted_join(named, of_node, ["node"], outer=True).withColumn("node", F.coalesce("label", "node")).drop("label", "n")
+    alone = signed.where("k1 is null").select("row", "doc_id", "t1", "t2", F.lit(False).alias("worded"), F.col("row").alias("node"))
+    return materialise(named.unionByName(alone), "near-classed")
+
+
+def _kept(classed: DataFrame) -> DataFrame:
+    """node, class_id, class_size (also as n) and the row that stays of each class: of the smallest doc_id, then text."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "row")
+    of = classed.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(first).alias("first"))
+    return of.select("node", "class_id", "class_size", F.col("class_size").alias("n"), "first")
+
+
+def near_classes(documents: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id, class_size and kept of every row of ``documents``; one row of each class is kept."""
+    classed = _classed(documents, **options)
+    rows = salted_join(classed, _kept(classed), ["node"])
+    return rows.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("kept"))
 
 
 def near_dedup(documents: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that stay: one document of each class. Rows that repeat a kept
-    doc_id with a text of another class stay or go with that id."""
-    kept = near_classes(documents, **options).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return documents.join(kept.hint("shuffle_hash"), documents["doc_id"].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``documents`` that stay, with their columns: one row of each class, rows without a word among them.
+
+    A kept row is found again by its id and the 128 bits of its text. Where that pair is repeated, as equal rows are,
+    the rows are ranked and one stays; texts without a word all stay.
+    """
+    classed = _classed(documents, **options)
+    first = _kept(classed).select("node", "first.*")
+    key = ["__t1", "__t2", "__no_id", "__id"]
+    keyed = lambda df: df.select(F.col("t1").alias(key[0]), F.col("t2").alias(key[1]), F.col("doc_id").isNull().alias(key[2]), F.coalesce("doc_id", F.lit(0)).alias(key[3]))
+    repeated = keyed(classed.where("worded")).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    wanted = materialise(keyed(first.join(classed.where("not worded").select("row"), "row", "left_anti")).join(repeated, key), "near-kept")
+    t1, t2 = _text_keys()
+    rows = documents.select("*", t1.alias(key[0]), t2.alias(key[1]), F.col("doc_id").isNull().alias(key[2]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(key[3]))
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    out = rows.join(wanted.where("__n = 1").select(*key).hint("shuffle_hash"), key, "left_semi").unionByName(rows.where(wordless))
+    several = wanted.where("__n > 1").select(*key)
+    if not several.isEmpty():
+        plain = [c for c, kind in documents.dtypes if "map<" not in kind]
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*plain)))
+        again = rows.join(several.hint("shuffle_hash"), key, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+        out = out.unionByName(again)
+    return out.select(*documents.columns)
