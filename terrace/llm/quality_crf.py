@@ -6,10 +6,18 @@ two neighbouring lines share a transition weight. Forward-backward gives each
 line's probability of being good, and the mean over the lines, weighted by their
 lengths, is the document's quality, which Platt scaling turns into the score.
 
-Lines have no labels of their own: for training each line takes its document's
-label (the field then learns how far neighbours agree). It is fitted on the
-driver from about ``sample_rows`` labelled documents, a documented bound, with
-whole texts; scoring covers every line of every text, in Arrow batches.
+Labels are of documents, so the labels of lines are hidden in training: a
+document's label is a noisy report on each of its lines, wrong for a share of
+them (``BAD_IN_GOOD``, ``GOOD_IN_BAD``). The likelihood of the reports is climbed
+by its gradient, expected features given reports and text minus expected features
+given the text alone, each from one forward-backward pass. So a good document may
+hold bad lines, and the transitions are learned from how lines change.
+
+The model is fitted on the driver from about ``sample_rows`` different labelled
+documents of ``sample_bytes`` in all at most, documented bounds, with whole
+texts; scoring covers every line of every text, in Arrow batches. The chains of a
+batch are multiplied up in parallel, by doubling, so a text of a million lines
+takes twenty steps.
 
 Defined results: a null or empty text is one empty line and gets the score of
 that; without both labels in the sample every score is the share of good ones
@@ -27,11 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, id_bucket
+from .common import id_bucket, labelled_sample
 from .linear import logistic, platt
 from .textbytes import U64, Block, blocks, repeats
 
-SAMPLE_ROWS = 1500
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 64 << 20
+#: How often a line of a good document is bad, and the other way round, as training supposes.
+BAD_IN_GOOD, GOOD_IN_BAD = 0.1, 0.3
+#: Shrinkage of the weights of a line's own features, of its neighbours' and of transitions.
+L2 = (2e-5, 1e-2, 5e-2)
 
 
 def _flags(*members: bytes) -> np.ndarray:
@@ -95,49 +107,40 @@ def _emissions(slots: np.ndarray, first: np.ndarray, last: np.ndarray, w: np.nda
     return out
 
 
-def _grid(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts by falling number of lines: (order of texts, first line of each, number of lines)."""
-    count = np.bincount(doc)
-    first = np.cumsum(count) - count
-    order = np.argsort(-count, kind="stable")
-    return order, first[order], count[order]
+def _products(m: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """Running products of the 2 x 2 matrices from the last open place on, each scaled to a greatest entry of 1."""
+    out, step = m / m.max((1, 2), keepdims=True), 1
+    since = np.arange(len(m)) - np.maximum.accumulate(np.where(opens, np.arange(len(m)), 0))
+    while True:
+        at = np.flatnonzero(since >= step)
+        if not len(at):
+            return out
+        new = np.einsum("nij,njk->nik", out[at - step], out[at])
+        out[at] = new / new.max((1, 2), keepdims=True)
+        step *= 2
 
 
-def marginals(emit: np.ndarray, grid, trans: np.ndarray, pairs: bool = False):
-    """P(good) of each line; with ``pairs`` also log Z and the expected transition counts.
+def chains(first: np.ndarray, last: np.ndarray, emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line, and P(previous, this) as 2 x 2 for each line (of no meaning for first lines).
 
-    emit: log-odds of good; trans: 2 x 2 weights, bad first. The texts step together,
-    longest first, so step t touches just the texts that have t lines.
+    emit: log-odds of good; trans: 2 x 2 weights, bad first; first, last: the ends of each text.
     """
-    order, first, count = grid
-    longest = int(count[0])
-    live = np.searchsorted(-count, -np.arange(1, longest + 1), "right")
-    alpha, beta = np.zeros((len(emit), 2)), np.zeros((len(emit), 2))
-    scores = np.stack([np.zeros(len(emit)), emit], 1)
-    at = first[: live[0]]
-    alpha[at] = scores[at]
-    for t in range(1, longest):
-        at = first[: live[t]] + t
-        a = alpha[at - 1]
-        alpha[at, 0] = scores[at, 0] + np.logaddexp(a[:, 0] + trans[0, 0], a[:, 1] + trans[1, 0])
-        alpha[at, 1] = scores[at, 1] + np.logaddexp(a[:, 0] + trans[0, 1], a[:, 1] + trans[1, 1])
-    for t in range(longest - 1, 0, -1):
-        at = first[: live[t]] + t
-        b = beta[at] + scores[at]
-        beta[at - 1, 0] = np.logaddexp(b[:, 0] + trans[0, 0], b[:, 1] + trans[0, 1])
-        beta[at - 1, 1] = np.logaddexp(b[:, 0] + trans[1, 0], b[:, 1] + trans[1, 1])
-    both = alpha + beta
-    good = logistic(both[:, 1] - both[:, 0])
-    if not pairs:
-        return good
-    last = first + count - 1
-    log_z = np.logaddexp(alpha[last, 0], alpha[last, 1])
-    z_of = np.repeat(log_z, count)
-    lines = np.concatenate([np.arange(f, f + c) for f, c in zip(first, count)])
-    inner = lines[lines != np.repeat(first, count)]
-    z = z_of[lines != np.repeat(first, count)]
-    expected = np.array([[np.exp(alpha[inner - 1, i] + trans[i, j] + scores[inner, j] + beta[inner, j] - z).sum() for j in range(2)] for i in range(2)])
-    return good, log_z.sum(), expected
+    weight = np.exp(np.stack([-np.maximum(emit, 0), np.minimum(emit, 0)], 1).clip(-60, 0))  # of bad and good
+    move = np.exp(trans - trans.max())
+    m = move * weight[:, None, :]
+    m[first] = weight[first][:, None, :]  # any row of a product is then the forward vector
+    alpha = _products(m, first)[:, 0]
+    back = np.where(last[:, None, None], 1.0, np.roll(m, -1, 0))[::-1]  # read from behind, matrices turned round
+    beta = _products(np.ascontiguousarray(back.transpose(0, 2, 1)), last[::-1])[::-1, 0]
+    both = alpha * beta
+    pairs = np.roll(alpha, 1, 0)[:, :, None] * move * (weight * beta)[:, None, :]
+    return both[:, 1] / both.sum(1), pairs / pairs.sum((1, 2), keepdims=True)
+
+
+def _ends(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    return first, np.append(first[1:], True)
 
 
 @dataclass
@@ -147,50 +150,41 @@ class Model:
     slope: float
     shift: float
 
+    def lines(self, doc, slots) -> np.ndarray:
+        """P(good) of each line."""
+        first, last = _ends(doc)
+        return chains(first, last, _emissions(slots, first, last, self.weights), self.trans)[0]
+
     def quality(self, doc, size, slots) -> np.ndarray:
         """Length-weighted mean of the lines' marginals, for each text."""
-        first = np.ones(len(doc), bool)
-        first[1:] = doc[1:] != doc[:-1]
-        last = np.append(first[1:], True)
-        good = marginals(_emissions(slots, first, last, self.weights), _grid(doc), self.trans)
         weight = size + 1.0  # the line feed counts, so empty lines do too
-        return np.bincount(doc, good * weight) / np.bincount(doc, weight)
+        return np.bincount(doc, self.lines(doc, slots) * weight) / np.bincount(doc, weight)
 
     def score(self, doc, size, slots) -> np.ndarray:
         return logistic(self.slope * (self.quality(doc, size, slots) - 0.5) + self.shift)
 
 
-def train(doc, size, slots, y, steps: int = 150, l2: float = 2e-5) -> Model:
-    """Maximises the conditional likelihood of the lines' labels, both labels weighing the same."""
-    first = np.ones(len(doc), bool)
-    first[1:] = doc[1:] != doc[:-1]
-    last = np.append(first[1:], True)
-    grid = _grid(doc)
+def train(doc, size, slots, y, steps: int = 150, l2: tuple[float, float, float] = L2, noise: tuple[float, float] = (BAD_IN_GOOD, GOOD_IN_BAD)) -> Model:
+    """Maximises the likelihood of the documents' labels as reports on hidden line labels, both labels weighing the same."""
+    first, last = _ends(doc)
     label = y[doc].astype(int)
+    report = np.where(label > 0, np.log((1 - noise[0]) / noise[1]), np.log(noise[0] / (1 - noise[1])))
     share = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label == 0).sum()))
     w, trans = np.zeros(DIMS), np.zeros((2, 2))
     m, v = np.zeros(DIMS + 4), np.zeros(DIMS + 4)
-    groups = [np.flatnonzero(label == k) for k in (0, 1)]
-    inner = ~first
-    seen = np.array([[((label[inner] == i) & (label[np.flatnonzero(inner) - 1] == i)).sum() * share[groups[i][0]] if i == j and len(groups[i]) else 0 for j in range(2)] for i in range(2)])
-    parts = [np.flatnonzero(y == k) for k in (0, 1)]
+    cols = slots.shape[1]
+    shrink = np.repeat(l2, [OWN, 2 * OWN, 4])
     for step in range(1, steps + 1):
         emit = _emissions(slots, first, last, w)
-        good = np.empty(len(doc))
-        expected = np.zeros((2, 2))
-        for k in (0, 1):  # texts of a label share a weight, so their transitions are counted apart
-            lines = groups[k]
-            renumber = np.searchsorted(parts[k], doc[lines])
-            g, _, e = marginals(emit[lines], _grid(renumber), trans, True)
-            good[lines] = g
-            expected += e * share[lines[0]]
-        error = (label - good) * share
+        free, free_pairs = chains(first, last, emit, trans)
+        told, told_pairs = chains(first, last, emit + report, trans)
+        error = (told - free) * share
         grad = np.zeros(DIMS)
-        cols = slots.shape[1]
         grad[:OWN] = np.bincount(slots.ravel(), np.repeat(error, cols), OWN)
         grad[OWN : 2 * OWN] = np.bincount(slots[:-1].ravel(), np.repeat(np.where(first[1:], 0, error[1:]), cols), OWN)
         grad[2 * OWN :] = np.bincount(slots[1:].ravel(), np.repeat(np.where(last[:-1], 0, error[:-1]), cols), OWN)
-        g = np.concatenate([grad - l2 * w, (seen - expected - l2 * trans).ravel()])
+        turn = ((told_pairs - free_pairs) * np.where(first, 0, share)[:, None, None]).sum(0)
+        g = np.concatenate([grad, turn.ravel()]) - shrink * np.concatenate([w, trans.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         w, trans = w + move[:-4], trans + move[-4:].reshape(2, 2)
@@ -200,7 +194,7 @@ def train(doc, size, slots, y, steps: int = 150, l2: float = 2e-5) -> Model:
     return Model(w, trans, slope, shift)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | float:
+def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model | float:
     """The model, or the constant score where a label is missing."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,22 +202,24 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
             for at, block in blocks(batch.column(0)):
                 doc, size, slots = line_features(block)
                 place = np.searchsorted(doc, np.arange(block.n + 1))
-                lines = [slots[a:b].astype(np.int16).tobytes() for a, b in zip(place, place[1:])]
-                sizes = [size[a:b].tobytes() for a, b in zip(place, place[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, block.n), pa.array(sizes, pa.binary()), pa.array(lines, pa.binary())], ["quality", "sizes", "slots"])
+                lines = [slots[a:b].astype(np.uint8).tobytes() for a, b in zip(place, place[1:])]
+                sizes = [size[a:b].astype(np.int32).tobytes() for a, b in zip(place, place[1:])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, block.n) for c in batch.columns[1:]), pa.array(sizes, pa.binary()), pa.array(lines, pa.binary())], ["quality", "sample_key", "sizes", "slots"])
 
     marked = labels.where("quality in (0, 1) and doc_id is not null").where(id_bucket("doc_id", 3) != 1).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    sample = bounded_sample(marked, "quality", sample_rows, 0.7)
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by sample_rows
-    got = chosen.select("text", "quality").mapInArrow(rows, "quality int, sizes binary, slots binary").collect()
-    y = np.array([r[0] for r in got])
+    # no text takes more than a hundredth of the bound, and if all together are too long, fewer rows are drawn
+    chosen = labelled_sample(documents, marked, "quality", sample_rows, 0.7).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes // 100)
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > sample_bytes:
+        chosen = chosen.where(F.pmod(F.col("sample_key"), F.lit(1 << 20)) < int((1 << 20) * sample_bytes / size))
+    got = chosen.select("text", "quality", "sample_key").mapInArrow(rows, "quality int, sample_key long, sizes binary, slots binary").toArrow()
+    got = got.sort_by([("quality", "ascending"), ("sample_key", "ascending")])
+    y = got.column("quality").to_numpy()
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    got.sort(key=lambda r: (r[0], bytes(r[2]), bytes(r[1])))
-    y = np.array([r[0] for r in got])
-    sizes = [np.frombuffer(bytes(r[1]), np.int64) for r in got]
-    slots = np.frombuffer(b"".join(bytes(r[2]) for r in got), np.int16).reshape(-1, len(_STEPS) + 1).astype(np.int64)
-    doc = np.repeat(np.arange(len(got)), [len(s) for s in sizes])
+    sizes = [np.frombuffer(r.as_buffer(), np.int32) for r in got.column("sizes")]
+    slots = np.frombuffer(b"".join(r.as_py() for r in got.column("slots")), np.uint8).reshape(-1, len(_STEPS) + 1).astype(np.int64)
+    doc = np.repeat(np.arange(len(y)), [len(s) for s in sizes])
     return train(doc, np.concatenate(sizes), slots, y)
 
 
