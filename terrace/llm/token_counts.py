@@ -6,8 +6,13 @@ new row minus the old one. ``Rollup.commit`` sums a batch of changes (Spark
 aggregates before it shuffles, so a hot source costs nothing) and writes the few
 sums into a folder of the batch's own; the writer's success mark is the commit. A
 batch that was committed before is left as it is, one that broke off is written
-anew, so replays change nothing. ``totals`` adds up the committed batches,
-``compact`` folds them into one.
+anew, so replays change nothing. ``totals`` adds up the live batches.
+
+``compact`` folds the live batches into one. A fold says itself which batches it
+holds: their names are written first, its sums after them, and the success mark of
+the sums is the commit of both. From then on the batches it names aren't live,
+whether their folders are still there or not, so a driver lost at any step leaves
+the totals as they were, and replays of folded batches still change nothing.
 
 Defined results: a null text has 0 tokens and counts as a document; null sources
 and languages are groups of their own; repeated rows count each time. Groups whose
@@ -81,7 +86,7 @@ def revision(old: DataFrame, new: DataFrame, tokenizer: str, old_count: str, new
 
 
 class Rollup:
-    """Totals in a folder that all executors share."""
+    """Totals in a folder that all executors share; one writer at a time, readers at any time but during ``clean``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -90,26 +95,31 @@ class Rollup:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def batches(self) -> list[str]:
-        """The committed batches."""
-        fs, top = self._dir(f"{self.path}/batches")
+    def _committed(self, kind: str, inner: str = "") -> list[str]:
+        fs, top = self._dir(f"{self.path}/{kind}")
         if not fs.exists(top):
             return []
-        found = [s.getPath() for s in fs.listStatus(top)]
-        return sorted(p.getName() for p in found if fs.exists(self._dir(f"{p}/_SUCCESS")[1]))
+        names = [s.getPath().getName() for s in fs.listStatus(top)]
+        return sorted(n for n in names if fs.exists(self._dir(f"{self.path}/{kind}/{n}{inner}/_SUCCESS")[1]))
+
+    def _state(self) -> tuple[set[str], list[str], list[str]]:
+        """(batches that a fold holds, live folds, live batches)."""
+        folds = self._committed("folds", "/sums")
+        held = {r[0] for r in self.spark.read.schema("name string").parquet(*[f"{self.path}/folds/{f}/names" for f in folds]).collect()} if folds else set()
+        return held, folds[-1:], [b for b in self._committed("batches") if b not in held]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Commits ``changes`` under the name ``batch``; False, and nothing is done, if it was committed before."""
         if not re.fullmatch(r"[\w-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        fs, folded = self._dir(f"{self.path}/folded/{batch}")
-        if batch in self.batches() or fs.exists(folded):
+        held, _, live = self._state()
+        if batch in held or batch in live:
             return False
-        self._write(batch, changes)
+        self._write(f"batches/{batch}", self.summed(changes))
         return True
 
-    def _write(self, batch: str, changes: DataFrame) -> None:
-        self.summed(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
+    def _write(self, to: str, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{to}")
 
     @staticmethod
     def summed(changes: DataFrame) -> DataFrame:
@@ -118,25 +128,34 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs and n_tokens over all committed batches."""
-        paths = [f"{self.path}/batches/{b}" for b in self.batches()]
+        _, folds, live = self._state()
+        paths = [f"{self.path}/folds/{f}/sums" for f in folds] + [f"{self.path}/batches/{b}" for b in live]
         if not paths:
             return self.spark.createDataFrame([], DELTA)
         return self.summed(self.spark.read.schema(DELTA).parquet(*paths))
 
     def compact(self) -> None:
-        """Folds the batches into one. The marks of folded batches stay, so their replays still change nothing.
-
-        The batches go only after the fold is committed; ``totals`` must not run meanwhile.
-        """
-        done = self.batches()
-        if len(done) < 2:
-            return
-        name = f"fold-{len(done)}-{done[-1]}"
-        self._write(name, self.totals())
-        for batch in done:
-            fs, mark = self._dir(f"{self.path}/folded/{batch}")
-            fs.mkdirs(mark)
-            fs.delete(self._dir(f"{self.path}/batches/{batch}")[1], True)
+        """Folds all live batches and the fold before into a new fold, then deletes what it holds."""
+        held, folds, live = self._state()
+        if live:
+            name = f"{int(folds[-1]) + 1 if folds else 1:012d}"
+            self._write(f"folds/{name}/names", self.spark.createDataFrame([(b,) for b in sorted(held | set(live))], "name string"))
+            self._write(f"folds/{name}/sums", self.totals())
+        self.clean()
+
+    def clean(self) -> None:
+        """Deletes the folders of folded batches and of all folds but the last; nothing that ``totals`` reads."""
+        held, folds, _ = self._state()
+        for fold in self._committed("folds", "/sums"):
+            if fold not in folds:
+                self._delete(f"folds/{fold}")
+        for batch in self._committed("batches"):
+            if batch in held:
+                self._delete(f"batches/{batch}")
+
+    def _delete(self, what: str) -> None:
+        fs, path = self._dir(f"{self.path}/{what}")
+        fs.delete(path, True)
 
 
 def union(*changes: DataFrame) -> DataFrame:
