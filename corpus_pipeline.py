@@ -8,13 +8,12 @@ mix repeats them; the last stage encodes the texts and checks that they decode.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import shared_dir
+from terrace.llm.common import new_path
 from terrace.llm.language_id import annotate
 from terrace.llm.line_dedup import line_dedup
 from terrace.llm.mixing import mixed_documents
@@ -24,8 +23,8 @@ from terrace.llm.sentencepiece_codec import round_trip
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; ``lang`` becomes the predicted language."""
-    known = annotate(docs).where(F.col("lang_pred") != "und")
-    return known.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    known = annotate(docs, to=("__lang_pred", "__lang_score")).where(F.col("__lang_pred") != "und")
+    return known.select(*[F.col("__lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/terrace/pipeline-{uuid.uuid4().hex}"
+    top = new_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
