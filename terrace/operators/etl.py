@@ -5,9 +5,11 @@ None of these collects rows; each says which shuffle it costs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialise
+
 
 def latest_version(df: DataFrame, keys: list[str], version: list[str], until: Column | None = None) -> DataFrame:
     """The last row of each key by the ``version`` columns (make the last one unique), of rows where ``until`` holds.
@@ -48,27 +50,62 @@ def with_growth(df: DataFrame, order: str, value: str, name: str, digits: int =
     return df.withColumn(name, F.round((F.col(value) - before) * 100.0 / F.nullif(before, F.lit(0)), digits))
 
 
-def ntile_of(df: DataFrame, tiles: int, value: str, key: str, name: str, ranges: int = 64) -> DataFrame:
-    """ntile(tiles) over (value, key) of the whole table without sorting it in one task.
+def append_aligned(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Appends ``df`` under the target's ``columns``, matched by name whatever the order or case; those it lacks are null,
+    and a column that the target lacks is an error."""
+    have = {c.lower(): c for c in df.columns}
+    unknown = sorted(set(have) - {c.lower() for c in columns})
+    if unknown:
+        raise ValueError(f"no target columns: {unknown}")
+    df.select(*[(F.col(have[c.lower()]) if c.lower() in have else F.lit(None).cast("string")).alias(c) for c in columns]).write.mode("append").parquet(path)
+
+
+def full_refresh(df: DataFrame, path: str, date_col: str | None = None) -> None:
+    """Replaces all of a stored table. ``df`` may be computed from the table itself: it is written aside before."""
+    done = materialise(df, "refresh")
+    writer = done.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(date_col) if date_col else writer).parquet(path)
+
+
+def refresh(df: DataFrame, path: str, date_col: str, full: bool) -> None:
+    """One task, two ways: all of the table, or only the slices that ``df`` has rows of."""
+    full_refresh(df, path, date_col) if full else overwrite_slices(df, path, date_col)
+
+
+def rewrite_owned(spark: SparkSession, path: str, fresh: DataFrame, owned: Column) -> None:
+    """The stored table after one of its writers replaced the rows that it owns; others' rows stay."""
+    full_refresh(merge_owned(spark.read.parquet(path), fresh, owned), path)
+
 
-    Approximate quantiles cut the values into ranges (any cut is right, even ones
-    are fast); ranks inside a range plus the rows before it are exact ranks.
+def prefill(source: DataFrame, path: str, scope: Column | None = None) -> None:
+    """A scratch copy of a table, or of the rows in ``scope``, to run changed tasks against."""
+    (source if scope is None else source.where(scope)).write.mode("overwrite").parquet(path)
+
+
+def with_dimension(facts: DataFrame, dim: DataFrame, on: dict[str, str], columns: list[str], day: tuple[str, str] | None = None, prefix: str = "") -> DataFrame:
+    """``facts`` with ``columns`` of a dimension, null where it has no row; ``on``: fact column to dimension column.
+
+    ``day`` (fact date, snapshot date) picks the dimension's row of that day. ``prefix`` lets one dimension be joined in
+    several roles. A key that the dimension has twice raises an error instead of multiplying facts.
     """
-    cuts = [c for c in df.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []]
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    for c in cuts:
-        place = place + (F.col(value) > F.lit(c)).cast("int")
-    rows = df.withColumn("__range", place)
-    sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
-    sizes = sizes.select("__range", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
-    rows = rows.join(F.broadcast(sizes), "__range")
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__range").orderBy(value, key))
-    small, wide = F.expr(f"__all div {tiles}"), F.expr(f"__all % {tiles}")
-    edge = wide * (small + 1)
-    tile = F.when(rank <= edge, F.floor((rank - 1) / (small + 1)) + 1).otherwise(wide + F.floor((rank - edge - 1) / F.nullif(small, F.lit(0))) + 1)
-    return rows.withColumn(name, tile.cast("int")).drop("__range", "__before", "__all")
+    pairs = {**on, **({day[0]: day[1]} if day else {})}
+    value = F.struct(*columns)
+    once = dim.groupBy(*[F.col(d).alias(f"__k{i}") for i, d in enumerate(pairs.values())]).agg(
+        F.max(value).alias("__dim"), F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("the dimension has a key twice")).cast("int")).alias("__twice"))
+    test = [F.col(f) == F.col(f"__k{i}") for i, f in enumerate(pairs)]
+    joined = facts.join(once, test, "left").where("__twice is null")
+    return joined.select(*[F.col(c) for c in facts.columns], *[F.col("__dim")[c].alias(prefix + c) for c in columns])
+
+
+def first_child(parents: DataFrame, children: DataFrame, key: str, child_key: str, value: str, name: str) -> DataFrame:
+    """``parents`` with the least ``value`` of their children, null without any; the children are reduced before the join."""
+    least = children.groupBy(F.col(child_key).alias("__key")).agg(F.min(value).alias(name))
+    return parents.join(least, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
+def one_per_key(df: DataFrame, keys: list[str], largest: list[str]) -> DataFrame:
+    """Group-by as de-duplication: a row for each key with the greatest value of each other column, nulls aside."""
+    return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in largest])
 
 
 def date_spine(spark, start: str, days: int) -> DataFrame:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
+from .ranking import with_position
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows of ``child`` whose non-null key has no parent."""
@@ -61,24 +63,60 @@ def compare_multisets(left: DataFrame, right: DataFrame, exclude: tuple | list =
 
 
 def compare_keyed(left: DataFrame, right: DataFrame, keys: list[str], exclude: tuple | list = (), mapping: dict | None = None, tolerance: float | None = 0.01) -> DataFrame:
-    """keys, side (left, right or both) and the names of the columns that differ, for each mismatch."""
+    """keys, side and the sorted names of the columns that differ, for each key that mismatches.
+
+    side: left or right (the other has no such key; its columns are those with a value), both (values differ) or repeated
+    (a side has the key several times and the rows aren't the same on both; no columns). A null key is a key. One aggregate over both sides, combined before its
+    shuffle, so no key multiplies rows.
+    """
     a, b = _aligned(left, right, list(exclude), mapping or {})
     values = [c for c in a.columns if c not in keys]
     kinds = {f.name: f.dataType for f in a.schema}
-    b = b.select(*keys, *[F.col(c).alias(f"__r_{c}") for c in values], F.lit(True).alias("__r"))
-    both = a.withColumn("__l", F.lit(True)).join(b, keys, "full")
-    off = [F.when(_differs(F.col(c), F.col(f"__r_{c}"), kinds[c], tolerance), F.lit(c)) for c in values]
-    side = F.when(F.col("__r").isNull(), "left").when(F.col("__l").isNull(), "right").otherwise("both")
-    rows = both.select(*keys, side.alias("side"), F.array_sort(F.filter(F.array(*off), lambda x: x.isNotNull())).alias("columns"))
+    row = F.struct(F.lit(0).alias("__row"), *values)
+    side = lambda df, own: df.select(*keys, row.alias("__row"), F.lit(own).alias("__left"), F.xxhash64(F.lit(0), *values).cast("decimal(20,0)").alias("__hash"))  # noqa: E731  decimals, so that sums can't overflow
+    of = lambda own, c: F.when(F.col("__left") == own, F.col(c))
+    both = side(a, True).unionByName(side(b, False)).groupBy(*keys).agg(
+        F.count(of(True, "__hash")).alias("nl"), F.count(of(False, "__hash")).alias("nr"), F.sum(of(True, "__hash")).alias("hl"), F.sum(of(False, "__hash")).alias("hr"),
+        F.max(of(True, "__row")).alias("l"), F.max(of(False, "__row")).alias("r"))
+    several = (F.col("nl") > 1) | (F.col("nr") > 1)
+    off = [F.when(_differs(F.col("l")[c], F.col("r")[c], kinds[c], tolerance), F.lit(c)) for c in values]
+    name = F.when(F.col("nr") == 0, "left").when(F.col("nl") == 0, "right").when(several, "repeated").otherwise("both")
+    differ = F.when(name != "repeated", F.array_sort(F.filter(F.array(*off), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
+    same = several & (F.col("nl") == F.col("nr")) & (F.col("hl") == F.col("hr"))
+    rows = both.where(~same).select(*keys, name.alias("side"), differ.alias("columns"))
     return rows.where((F.col("side") != "both") | (F.size("columns") > 0))
 
 
 def compare_positions(left: DataFrame, right: DataFrame, order: list[str], exclude: tuple | list = (), tolerance: float | None = 0.01) -> DataFrame:
-    """Mismatches of the i-th rows of both sides in the given order. The ranks need one sorted sequence:
-    for tables that one task can sort; ``compare_keyed`` and ``compare_multisets`` are the ones for large tables."""
+    """Mismatches of the i-th rows of both sides in the given order, by range-sorted positions."""
     a, b = _aligned(left, right, list(exclude), {})
-    nth = F.row_number().over(Window.orderBy(*order)).alias("position")
-    return compare_keyed(a.select(nth, "*"), b.select(nth, "*"), ["position"], tolerance=tolerance)
+    return compare_keyed(with_position(a, order), with_position(b, order), ["position"], tolerance=tolerance)
+
+
+def column_counts(mismatches: DataFrame) -> DataFrame:
+    """column and mismatches: in how many of the compared rows each column differs."""
+    return mismatches.select(F.explode("columns").alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("mismatches"))
+
+
+def formatted(df: DataFrame) -> DataFrame:
+    """All columns as the text of a report: null as NULL, floats with six decimals."""
+    as_text = lambda f: F.format_string("%.6f", f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name).cast("string")
+    return df.select(*[F.coalesce(F.when(F.col(f.name).isNotNull(), as_text(f)), F.lit("NULL")).alias(f.name) for f in df.schema])
+
+
+def details(mismatches: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """The first ``most`` mismatches by key, for a report."""
+    return mismatches.orderBy(*keys).limit(most)
+
+
+def sampled(df: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` rows in the order of all columns: the same sample on both sides of a comparison."""
+    return df.orderBy(*df.columns).limit(most)
+
+
+def flat_checks(groups: DataFrame) -> DataFrame:
+    """One row for each check of a group; groups: name and ``checks`` (an array of structs)."""
+    return groups.select("name", F.posexplode("checks").alias("nth", "check")).select("name", F.col("nth").cast("long").alias("nth"), "check.*")
 
 
 def verdict(checks: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def lineage_downstream_closure(spark, d):
 
 
 def lineage_paths(spark, d):
-    return graph.simple_paths(_lasting(spark), spark.createDataFrame([("ods_order",)], "node string"), 6).select("node", F.array_join("path", ">").alias("path"))
+    return graph.simple_paths(_lasting(spark), spark.createDataFrame([("ods_order",)], "node string")).select("node", F.array_join("path", ">").alias("path"))
 
 
 def multi_writer_datasets(spark, d):
@@ -106,7 +106,7 @@ def rule_pass_rates(spark, d):
 
 
 def model_design_score(spark, d):
-    return assess.capped_penalty(_checks(spark), 3)
+    return assess.capped_penalty(_checks(spark), _checks(spark).select("target").distinct())
 
 
 def overall_weighted_score(spark, d):
@@ -160,7 +160,7 @@ ORACLE_SQL = {
     "table_graph_from_edges": f"WITH {_E} SELECT DISTINCT src, dst FROM e WHERE src <> dst",
     "transient_collapse": f"WITH {_LASTING} SELECT src, dst FROM l",
     "lineage_downstream_closure": f"WITH {_LASTING}, r AS (SELECT 'ods_order' AS node, 0 AS hops UNION SELECT g.dst, r.hops + 1 FROM r JOIN g ON r.node = g.src WHERE r.hops < 20) SELECT node, min(hops)::INT AS hops FROM r GROUP BY node",
-    "lineage_paths": f"""WITH {_LASTING}, p AS (SELECT 'ods_order' AS node, ['ods_order'] AS path UNION ALL SELECT g.dst, list_append(p.path, g.dst) FROM p JOIN g ON p.node = g.src WHERE NOT list_contains(p.path, g.dst) AND len(p.path) <= 6)
+    "lineage_paths": f"""WITH {_LASTING}, p AS (SELECT 'ods_order' AS node, ['ods_order'] AS path UNION ALL SELECT g.dst, list_append(p.path, g.dst) FROM p JOIN g ON p.node = g.src WHERE NOT list_contains(p.path, g.dst) )
         SELECT node, array_to_string(path, '>') AS path FROM p""",
     "multi_writer_datasets": f"{_IO} SELECT table_name, string_agg(job, ',' ORDER BY job) AS jobs FROM io WHERE io_type = 'OUTPUT' GROUP BY 1 HAVING count(*) > 1",
     "producer_resolution": f"""{_IO}, x AS (SELECT i.job, i.table_name, coalesce(bool_or(o.job = i.job), FALSE) AS own, count(DISTINCT o.job) FILTER (o.job <> i.job) AS n, min(o.job) FILTER (o.job <> i.job) AS only_one

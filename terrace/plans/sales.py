@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashed, money, month_key, safe_ratio, surrogate_key, whole_months
 from ..operators import etl
+from ..operators.ranking import ntile_of
 
 ETL_DATE = "1998-01-01"
 
@@ -23,11 +24,13 @@ def rfm_segmentation(spark, d):
     o = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit(ETL_DATE).cast("timestamp_ntz"))
     c = o.groupBy("o_custkey").agg(F.max(F.to_date("o_orderdate")).alias("last_order"), F.count(F.lit(1)).alias("frequency"), F.sum(money("o_totalprice")).cast("double").alias("monetary"))
     c = c.withColumn("recency_days", F.date_diff(F.lit(ETL_DATE).cast("date"), "last_order")).withColumn("neg_recency", -F.col("recency_days"))
-    for value, name in (("neg_recency", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
-        c = etl.ntile_of(c, 5, value, "o_custkey", name)
-    total = F.col("r_score") + F.col("f_score") + F.col("m_score")
-    segment = F.when(total >= 13, "champion").when(total >= 10, "loyal").when(total >= 7, "regular").otherwise("at_risk")
-    return c.select("o_custkey", "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score", total.alias("rfm_score"), segment.alias("segment"))
+    c = ntile_of(c, 5, {"r_score": "neg_recency", "f_score": "frequency", "m_score": "monetary"}, "o_custkey")
+    r, f, m = (F.col(x) for x in ("r_score", "f_score", "m_score"))
+    segment = (
+        F.when((r >= 4) & (f >= 4) & (m >= 4), "high value").when((r >= 3) & (f >= 3) & (m >= 3), "keep").when((r >= 3) & ((f < 3) | (m < 3)), "develop")
+        .when((r < 3) & (f >= 3) & (m >= 3), "win back").when((r < 3) & (f < 3) & (m < 3), "at risk").when((f <= 2) & (r >= 3) & (m >= 3), "promising").otherwise("general")
+    )
+    return c.select("o_custkey", "recency_days", "frequency", "monetary", "r_score", "f_score", "m_score", (r + f + m).alias("rfm_score"), segment.alias("segment"))
 
 
 def product_sales_daily(spark, d):
@@ -60,8 +63,8 @@ def store_performance(spark, d):
         F.count(F.lit(1)).alias("total_orders"), F.sum(money("o_totalprice")).cast("double").alias("total_amount"), F.count_distinct("o_custkey").alias("customer_count"))
     w = Window.partitionBy("stat_month")
     part = lambda c: F.col(c) * 1.0 / F.nullif(F.max(c).over(w), F.lit(0))
-    score = F.round(50.0 * part("total_amount") + 30.0 * part("total_orders") + 20.0 * part("customer_count"), 2)
-    m = m.withColumn("performance_score", score.cast("double"))
+    score = F.round(part("total_orders") * 30.0 + part("total_amount") * 40.0 + part("customer_count") * 30.0, 2)
+    m = m.withColumn("performance_score", F.coalesce(score.cast("double"), F.lit(0.0)))
     return m.join(n, m["c_nationkey"] == n["n_nationkey"], "left").select("c_nationkey", "n_name", "stat_month", "total_orders", "total_amount", "customer_count", "performance_score")
 
 
@@ -136,20 +139,28 @@ def day_features(spark, d):
 
 
 def inventory_alert(spark, d):
+    """Stock of a part and supplier against the mean of the part's daily sales in the eight days up to the date."""
     li, p, s = table(spark, d, "lineitem"), table(spark, d, "part"), table(spark, d, "supplier")
-    week = li.where((F.col("l_shipdate") >= F.lit("1997-12-25").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(ETL_DATE).cast("timestamp_ntz")))
-    sold = week.groupBy("l_partkey", "l_suppkey").agg(F.sum(money("l_quantity")).cast("double").alias("sold"))
-    stock = li.groupBy("l_partkey", "l_suppkey").agg(F.max(money("l_quantity")).cast("double").alias("stock"))
-    rows = stock.join(sold, ["l_partkey", "l_suppkey"], "left").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey", "left").join(s.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
-    days = F.round(F.col("stock") / F.nullif(F.col("sold") / 7.0, F.lit(0.0)), 1)
-    alert = F.when(F.col("days_of_stock").isNull(), "idle").when(F.col("days_of_stock") < 7, "low").otherwise("ok")
-    return rows.withColumn("days_of_stock", days).select("l_partkey", "l_suppkey", "p_brand", "s_name", "stock", "sold", "days_of_stock", alert.alias("alert"))
+    week = li.where((F.col("l_shipdate") >= F.date_sub(F.lit(ETL_DATE).cast("date"), 7).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.date_add(F.lit(ETL_DATE).cast("date"), 1).cast("timestamp_ntz")))
+    daily = week.groupBy("l_partkey", F.to_date("l_shipdate").alias("stat_date")).agg(F.sum(money("l_quantity")).cast("double").alias("sold"))
+    velocity = daily.groupBy("l_partkey").agg(F.round(F.avg("sold"), 2).alias("velocity"))
+    quantity = (F.sum(money("l_quantity")) - F.lit(50)).cast("double")
+    stock = li.groupBy("l_partkey", "l_suppkey").agg(quantity.alias("quantity"), (F.max(money("l_quantity")) * 2).cast("double").alias("safety_stock"))
+    rows = stock.join(velocity, "l_partkey", "left").join(p.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey", "left").join(s.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey", "left")
+    left = F.when((F.col("velocity") > 0) & (F.col("quantity") > 0), F.round(F.col("quantity") / F.col("velocity"), 1)).when(F.col("velocity").isNull() | (F.col("velocity") == 0), None).otherwise(0.0)
+    alert = F.when(F.col("quantity") <= 0, "severe").when(F.col("quantity") <= F.col("safety_stock") * 0.5, "warning").when(F.col("quantity") <= F.col("safety_stock"), "watch").otherwise("normal")
+    return rows.select("l_partkey", "l_suppkey", "p_brand", "s_name", "quantity", "safety_stock", "velocity", left.alias("days_left"), alert.alias("alert"))
+
+
+def text_clean_documents(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.upper(F.trim("source")).alias("source"), F.lower("lang").alias("lang"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("letters"))
 
 
 QUERIES = {f.__name__: f for f in (
     rfm_segmentation, product_sales_daily, product_topn_daily, sales_dashboard_growth, store_performance, segment_share_of_total,
     latest_version_snapshot, daily_latest_version, order_detail_wide, customer_monthly_summary, promotion_effect, odd_even_multi_writer,
-    date_spine, surrogate_keys, text_clean, tenure_months, day_features, inventory_alert)}
+    date_spine, surrogate_keys, text_clean, text_clean_documents, tenure_months, day_features, inventory_alert)}
 
 _D = "DECIMAL(18,2)"
 _NET = f"l_extendedprice::{_D} * (1 - l_discount::{_D})"
@@ -159,7 +170,9 @@ ORACLE_SQL = {
                    FROM orders WHERE o_orderdate < TIMESTAMP '{ETL_DATE}' GROUP BY 1),
         s AS (SELECT *, ntile(5) OVER (ORDER BY -recency_days, o_custkey)::INT AS r_score, ntile(5) OVER (ORDER BY frequency, o_custkey)::INT AS f_score, ntile(5) OVER (ORDER BY monetary, o_custkey)::INT AS m_score FROM c)
         SELECT *, r_score + f_score + m_score AS rfm_score,
-               CASE WHEN r_score + f_score + m_score >= 13 THEN 'champion' WHEN r_score + f_score + m_score >= 10 THEN 'loyal' WHEN r_score + f_score + m_score >= 7 THEN 'regular' ELSE 'at_risk' END AS segment FROM s""",
+               CASE WHEN r_score >= 4 AND f_score >= 4 AND m_score >= 4 THEN 'high value' WHEN r_score >= 3 AND f_score >= 3 AND m_score >= 3 THEN 'keep' WHEN r_score >= 3 AND (f_score < 3 OR m_score < 3) THEN 'develop'
+                    WHEN r_score < 3 AND f_score >= 3 AND m_score >= 3 THEN 'win back' WHEN r_score < 3 AND f_score < 3 AND m_score < 3 THEN 'at risk' WHEN f_score <= 2 AND r_score >= 3 AND m_score >= 3 THEN 'promising'
+                    ELSE 'general' END AS segment FROM s""",
     "product_sales_daily": f"""
         SELECT l_partkey, l_shipdate::DATE AS stat_date, count(DISTINCT l_orderkey) AS order_count, sum(l_quantity::{_D})::DOUBLE AS sale_quantity, sum({_NET})::DOUBLE AS sale_amount
         FROM lineitem GROUP BY 1, 2 HAVING sum({_NET}) >= 0""",
@@ -175,8 +188,8 @@ ORACLE_SQL = {
     "store_performance": f"""
         WITH m AS (SELECT c_nationkey, strftime(o_orderdate, '%Y-%m') AS stat_month, count(*) AS total_orders, sum(o_totalprice::{_D})::DOUBLE AS total_amount, count(DISTINCT o_custkey) AS customer_count
                    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-        s AS (SELECT *, round(50.0::DOUBLE * (total_amount * 1.0::DOUBLE / nullif(max(total_amount) OVER w, 0)) + 30.0::DOUBLE * (total_orders * 1.0::DOUBLE / nullif(max(total_orders) OVER w, 0))
-                     + 20.0::DOUBLE * (customer_count * 1.0::DOUBLE / nullif(max(customer_count) OVER w, 0)), 2) AS performance_score FROM m WINDOW w AS (PARTITION BY stat_month))
+        s AS (SELECT *, coalesce(round(total_orders * 1.0::DOUBLE / nullif(max(total_orders) OVER w, 0) * 30.0::DOUBLE + total_amount * 1.0::DOUBLE / nullif(max(total_amount) OVER w, 0) * 40.0::DOUBLE
+                     + customer_count * 1.0::DOUBLE / nullif(max(customer_count) OVER w, 0) * 30.0::DOUBLE, 2), 0.0) AS performance_score FROM m WINDOW w AS (PARTITION BY stat_month))
         SELECT c_nationkey, n_name, stat_month, total_orders, total_amount, customer_count, performance_score FROM s LEFT JOIN nation ON c_nationkey = n_nationkey""",
     "segment_share_of_total": f"""
         SELECT c_mktsegment, count(DISTINCT c_custkey) AS customers, sum(c_acctbal::{_D})::DOUBLE AS balance,
@@ -208,9 +221,13 @@ ORACLE_SQL = {
         SELECT event_id, (dayofweek(ts) + 1)::INT AS day_of_week, hour(ts)::INT AS hour, dayofweek(ts) IN (0, 6) AS is_weekend,
                CASE WHEN hour(ts) < 6 THEN 'night' WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 18 THEN 'afternoon' ELSE 'evening' END AS day_part FROM events""",
     "inventory_alert": f"""
-        WITH sold AS (SELECT l_partkey, l_suppkey, sum(l_quantity::{_D})::DOUBLE AS sold FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-12-25' AND l_shipdate < TIMESTAMP '{ETL_DATE}' GROUP BY 1, 2),
-        stock AS (SELECT l_partkey, l_suppkey, max(l_quantity::{_D})::DOUBLE AS stock FROM lineitem GROUP BY 1, 2),
-        r AS (SELECT l_partkey, l_suppkey, p_brand, s_name, stock, sold, round(stock / nullif(sold / 7.0::DOUBLE, 0), 1) AS days_of_stock
-              FROM stock LEFT JOIN sold USING (l_partkey, l_suppkey) LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey)
-        SELECT *, CASE WHEN days_of_stock IS NULL THEN 'idle' WHEN days_of_stock < 7 THEN 'low' ELSE 'ok' END AS alert FROM r""",
+        WITH daily AS (SELECT l_partkey, l_shipdate::DATE AS stat_date, sum(l_quantity::{_D})::DOUBLE AS sold FROM lineitem
+                       WHERE l_shipdate::DATE BETWEEN DATE '{ETL_DATE}' - 7 AND DATE '{ETL_DATE}' GROUP BY 1, 2),
+        v AS (SELECT l_partkey, round(avg(sold), 2) AS velocity FROM daily GROUP BY 1),
+        stock AS (SELECT l_partkey, l_suppkey, (sum(l_quantity::{_D}) - 50)::DOUBLE AS quantity, (max(l_quantity::{_D}) * 2)::DOUBLE AS safety_stock FROM lineitem GROUP BY 1, 2)
+        SELECT l_partkey, l_suppkey, p_brand, s_name, quantity, safety_stock, velocity,
+               CASE WHEN velocity > 0 AND quantity > 0 THEN round(quantity / velocity, 1) WHEN velocity IS NULL OR velocity = 0 THEN NULL ELSE 0.0::DOUBLE END AS days_left,
+               CASE WHEN quantity <= 0 THEN 'severe' WHEN quantity <= safety_stock * 0.5::DOUBLE THEN 'warning' WHEN quantity <= safety_stock THEN 'watch' ELSE 'normal' END AS alert
+        FROM stock LEFT JOIN v USING (l_partkey) LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey""",
+    "text_clean_documents": "SELECT doc_id, upper(trim(source)) AS source, lower(lang) AS lang, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS letters FROM documents",
 }
