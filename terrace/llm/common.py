@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def id_bucket(doc_id: Column | str, mod: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % mod, F.lit(0))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, Arrow batches have ``rows`` rows at most: with long texts the default of 10,000 makes batches of 100 MB,
+    held by the JVM and by the Python worker of every running task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_hash() -> Column:
     """A hash of doc_id and text; equal for copies of a row alone."""
     return F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text"))

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, salted_join
+from .common import WORD, materialise, salted_join, small_batches
 from .textbytes import U64, Block, blocks, mix
 
 SHINGLE = 5
@@ -303,7 +303,12 @@ def classes(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _classed(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
+def _classed(documents: DataFrame, **options) -> DataFrame:
+    with small_batches(documents.sparkSession):  # all that runs in Python is written inside
+        return _classes_of(documents, **options)
+
+
+def _classes_of(documents: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE) -> DataFrame:
     """row, doc_id, t1, t2, worded and node of every row of ``documents``: rows of one node are one class."""
     signed = materialise(sign(documents, bands, rows, width), "near-signatures")
     known = signed.where("k1 is not null")
