@@ -2,29 +2,31 @@
 
 A text is cut into chunks; each chunk's hash is a polynomial in a fixed base
 modulo each of two primes, and the hash of a concatenation follows from its
-parts alone, ``h(a+b) = h(a) * base**len(b) + h(b)``, so chunks of a huge text
-can be hashed anywhere and combined by one small aggregate. Rows with equal
-fingerprints are candidates only: their texts are then compared chunk by chunk
-with the text of the group's first row, and rows that differ start a new group.
+parts alone, ``h(a+b) = h(a) * base**len(b) + h(b)``. The chunks of a long text
+become rows, are dealt over the tasks, hashed there and combined by one small
+aggregate. Rows with equal fingerprints are candidates only: their texts are then
+compared chunk by chunk with the text of the group's first row, and rows that
+differ start a new group.
 
 Defined results: a null text is the empty text. White-space runs count as one
-space. Rows with the same doc_id and the same text share one verdict. A null
-doc_id sorts after all others and is grouped by fingerprint without a comparison;
-a group of null ids alone has a null keep_id and kept is true. Extra columns are
-ignored, an empty table gives no rows.
+space. A null doc_id sorts after all others. One row of a group is kept, however
+often its doc_id or the whole row is repeated; a group of null ids alone has a
+null keep_id. Extra columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import WS, materialise
+from .common import WS, materialise, salted_join
 
 #: Two primes below 2**31 and a base for each, so that products fit in a long.
 MODULI = ((2147483647, 1103515245), (2147483629, 1664525013))
@@ -75,67 +77,80 @@ def combine(parts: list[tuple[int, int]], prime: int) -> int:
     return h
 
 
+def _normal() -> Column:
+    return F.coalesce(F.regexp_replace("text", WS + "+", " "), F.lit("")).cast("binary")
+
+
+ROW = "row long, doc_id long, n_bytes long, f1 long, f2 long, text_sha256 string"
+
+
 def fingerprints(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, moduli=MODULI) -> DataFrame:
-    """doc_id, n_bytes, f1, f2 and text_sha256 of each row's normalised text.
+    """row (a number for each), doc_id, n_bytes, f1, f2 and text_sha256 of each row's normalised text.
 
-    Texts of one chunk are final as they leave the task. Longer ones leave as
-    chunk hashes and are combined by an aggregate over (row, chunk) with Spark
-    SQL arithmetic, so a huge text needs no worker to hold more than its bytes.
+    Texts that may be longer than a chunk leave as rows of one chunk each, so no worker holds or hashes all of one.
     """
-    schema = "doc_id long, part int, n_bytes long, h1 long, s1 long, h2 long, s2 long, text_sha256 string, row_key long"
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for doc_id, text, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            out = []
+            for text in batch.column(2).to_pylist():
                 norm = normalise(text or b"")
-                sha = hashlib.sha256(norm).hexdigest()
-                for part, at in enumerate(range(0, max(len(norm), 1), chunk_bytes)):
-                    chunk = norm[at : at + chunk_bytes]
-                    (h1, s1), (h2, s2) = chunk_hash(chunk, moduli)
-                    for c, v in zip(cols, (doc_id, part, len(chunk), h1, s1, h2, s2, sha if not part else None, key)):
-                        c.append(v)
-            types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], schema.replace(",", "").split()[::2])
-
-    parts = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("binary").alias("text"),
-        F.when(F.length("text") * 4 > chunk_bytes, F.monotonically_increasing_id()).alias("row_key"),
-    ).mapInArrow(hashed, schema)
-    short = parts.where("row_key is null").selectExpr("doc_id", "n_bytes", "h1 as f1", "h2 as f2", "text_sha256")
-    p1, p2 = moduli[0][0], moduli[1][0]
+                (h1, _), (h2, _) = chunk_hash(norm, moduli)
+                out.append((len(norm), h1, h2, hashlib.sha256(norm).hexdigest()))
+            cols = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["row", "doc_id", "n_bytes", "f1", "f2", "text_sha256"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [sum(chunk_hash(chunk, moduli), ()) for chunk in batch.column(2).to_pylist()]
+            cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["row", "part", "h1", "s1", "h2", "s2"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk_bytes
+    short = rows.where(~is_long).select((F.monotonically_increasing_id() * 2).alias("row"), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(whole, ROW)
+
+    texts = rows.where(is_long).select((F.monotonically_increasing_id() * 2 + 1).alias("row"), "doc_id", _normal().alias("norm"))
+    facts = F.struct("doc_id", F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"))
+    cut = f"transform(sequence(0, greatest(octet_length(norm) - 1, 0), {chunk_bytes}), o -> substring(norm, o + 1, {chunk_bytes}))"
+    texts = texts.select("row", facts.alias("facts"), F.posexplode(F.expr(cut)).alias("part", "chunk"))
+    # the first chunk alone carries what is known of the whole text
+    texts = texts.select("row", "part", "chunk", F.when(F.col("part") == 0, F.col("facts")).alias("facts"))
+    known = texts.where("facts is not null").select("row", "facts.*")
+    parts = texts.select("row", "part", "chunk").repartition("row", "part").mapInArrow(hashed, "row long, part int, h1 long, s1 long, h2 long, s2 long")
     fold = "aggregate(parts, 0L, (a, x) -> (a * x.s{0} + x.h{0}) % {1}L)"
-    long = (
-        parts.where("row_key is not null")
-        .groupBy("row_key")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.sum("n_bytes").alias("n_bytes"),
-            F.array_sort(F.collect_list(F.struct("part", "h1", "s1", "h2", "s2"))).alias("parts"),
-            F.max("text_sha256").alias("text_sha256"),
-        )
-        .select("doc_id", "n_bytes", F.expr(fold.format(1, p1)).alias("f1"), F.expr(fold.format(2, p2)).alias("f2"), "text_sha256")
-    )
-    return short.unionByName(long)
+    whole_hash = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "h1", "s1", "h2", "s2"))).alias("parts"))
+    whole_hash = whole_hash.select("row", F.expr(fold.format(1, moduli[0][0])).alias("f1"), F.expr(fold.format(2, moduli[1][0])).alias("f2"))
+    return short.unionByName(whole_hash.join(known, "row").select("row", "doc_id", "n_bytes", "f1", "f2", "text_sha256"))
 
 
 KEY = ["n_bytes", "f1", "f2"]
+#: What names a row's text and id; the id of null ids is 0.
+NAME = ["no_id", "id", "text_sha256"]
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0))})
+
+
+def _groups(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The first row of each group, by id (nulls last), text and row, and its size as n."""
+    return rows.groupBy(*key).agg(F.min(F.struct(*NAME, "row")).alias("lead"), F.count(F.lit(1)).alias("n"))
 
 
 def _unequal(documents: DataFrame, members: DataFrame, chunk_bytes: int) -> DataFrame:
-    """The rows of ``members`` whose text isn't their leader's, compared chunk by chunk.
+    """NAME and KEY of the rows of ``members`` whose text isn't their leader's, compared chunk by chunk.
 
-    ``members``: doc_id, text_sha256, the fingerprint and ``lead``. Only texts of
-    rows in groups travel; a fingerprint with very many copies is one hot join
-    key, which Spark's skew join splits as each side is one plain shuffle.
+    ``members``: NAME, KEY, lead (a struct) and n (rows of the group). A fingerprint of very many copies is dealt over
+    many tasks, each with the leader's text.
     """
-    norm = F.regexp_replace("text", WS + "+", " ")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(norm, F.lit("")).cast("binary").alias("norm"))
-    rows = members.where("doc_id is not null")
-    rows = texts.join(rows, "doc_id").where(F.sha2("norm", 256) == F.col("text_sha256"))
-    rows = materialise(rows, "exact-candidates")
-    leads = rows.where("doc_id = lead").selectExpr(*KEY, "norm as lead_norm")
+    texts = _named(documents.select(F.col("doc_id").cast("long").alias("doc_id"), _normal().alias("norm")))
+    texts = texts.withColumn("text_sha256", F.sha2("norm", 256)).drop("doc_id")
+    once = members.dropDuplicates([*NAME, *KEY])  # copies of a row meet it, not each other
+    rows = materialise(texts.join(once.select(*NAME, *KEY, "lead", "n"), NAME), "exact-candidates")
+    leads_it = reduce(Column.__and__, [F.col(c) == F.col("lead")[c] for c in NAME])
+    leads = rows.where(leads_it).dropDuplicates(KEY).select(*KEY, "n", F.col("norm").alias("lead_norm"))
+    schema = StructType([rows.schema[c] for c in (*KEY, *NAME)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,31 +159,31 @@ def _unequal(documents: DataFrame, members: DataFrame, chunk_bytes: int) -> Data
                 a, b = memoryview(a.as_buffer()), memoryview(b.as_buffer())
                 equal = len(a) == len(b) and all(a[i : i + chunk_bytes] == b[i : i + chunk_bytes] for i in range(0, len(a), chunk_bytes))
                 different.append(not equal)
-            yield batch.drop_columns(["norm", "lead_norm"]).filter(pa.array(different, pa.bool_()))
+            yield batch.select([*KEY, *NAME]).filter(pa.array(different, pa.bool_()))
 
-    both = rows.where("doc_id <> lead").drop("lead").join(leads, KEY)
-    return both.mapInArrow(compare, "n_bytes long, f1 long, f2 long, doc_id long, text_sha256 string").distinct()
+    both = salted_join(rows.where(~leads_it).select(*KEY, *NAME, "norm"), leads, KEY)
+    return both.select(*KEY, *NAME, "norm", "lead_norm").mapInArrow(compare, schema).distinct()
 
 
 def exact_dedup(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, moduli=MODULI) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``documents``."""
-    rows = materialise(fingerprints(documents, chunk_bytes, moduli), "exact-fingerprints")
-    groups = rows.groupBy(*KEY).agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("group_size"))
-    several = rows.join(groups.where("group_size > 1").drop("group_size"), KEY)
+    rows = _named(materialise(fingerprints(documents, chunk_bytes, moduli), "exact-fingerprints"))
+    groups = materialise(_groups(rows, KEY), "exact-groups")
+    several = salted_join(rows, groups.where("n > 1"), KEY)
     left, tags = materialise(_unequal(documents, several, chunk_bytes), "exact-unequal"), None
     turn = 0
     while not left.isEmpty():  # fingerprints of different texts were equal: these rows form groups of their own
         turn += 1
         tag = left.withColumn("turn", F.lit(turn))
         tags = tag if tags is None else tags.unionByName(tag)
-        lead = left.groupBy(*KEY).agg(F.min("doc_id").alias("lead"))
-        left = materialise(_unequal(documents, left.join(lead, KEY), chunk_bytes), "exact-unequal")
+        again = left.groupBy(*KEY).agg(F.min(F.struct(*NAME)).alias("lead"), F.count(F.lit(1)).alias("n"))
+        left = materialise(_unequal(documents, left.join(again, KEY), chunk_bytes), "exact-unequal")
+    key = KEY
     if tags is not None:
-        last = tags.groupBy("doc_id", "text_sha256", *KEY).agg(F.max("turn").alias("turn"))
-        rows = rows.join(last, ["doc_id", "text_sha256", *KEY], "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
+        last = tags.groupBy(*NAME, *KEY).agg(F.max("turn").alias("turn"))
+        rows = materialise(rows.join(last, [*NAME, *KEY], "left").withColumn("turn", F.coalesce("turn", F.lit(0))), "exact-turns")
         key = [*KEY, "turn"]
-        groups = rows.groupBy(*key).agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("group_size"))
-        rows = rows.join(groups, key)
-    else:
-        rows = rows.join(groups, KEY)
-    return rows.select("doc_id", F.col("lead").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("lead")).alias("kept"), "text_sha256")
+        groups = materialise(_groups(rows, key), "exact-groups")
+    out = salted_join(rows, groups, key)
+    keep = F.when(~F.col("lead.no_id"), F.col("lead.id"))
+    return out.select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("lead.row")).alias("kept"), "text_sha256")
