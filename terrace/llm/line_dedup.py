@@ -123,19 +123,20 @@ def deleted_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows and columns of ``documents`` with later copies deleted from ``text``,
-    and ``deleted_runs`` (intervals of units) and ``deleted_lines`` (how many units) last."""
-    docs = _keyed(documents)
-    runs = deleted_runs(docs, min_words)
-    rows = docs.join(runs.withColumnRenamed("runs", "__runs").hint("shuffle_hash"), DOC, "left")
-    cut = F.col("__runs").isNotNull()
-    rows = rows.withColumn("__units", F.when(cut, F.split("text", UNIT)))
+def line_dedup(documents: DataFrame, min_words: int = MIN_WORDS, to: tuple[str, str] = ("deleted_runs", "deleted_lines")) -> DataFrame:
+    """The rows and columns of ``documents`` with later copies deleted from ``text``, and in the columns ``to``, which
+    replace columns of those names, the intervals of deleted units and how many units they are."""
+    runs = deleted_runs(_keyed(documents.select("doc_id", "text")), min_words)
+    # the input's columns travel as one, so their names can't meet those used here
+    rows = _keyed(documents.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__in"))).select("__in", *DOC)
+    rows = rows.join(runs.withColumnRenamed("runs", "__runs").hint("shuffle_hash"), DOC, "left")
+    cut, text = F.col("__runs").isNotNull(), F.col("__in")["text"]
+    rows = rows.withColumn("__units", F.when(cut, F.split(text, UNIT)))
     kept = F.expr(
         r"""array_join(flatten(transform(sequence(0, size(__runs)), i -> slice(__units,
             if(i = 0, 0, __runs[i - 1].last + 1) + 1,
             if(i = size(__runs), size(__units), __runs[i].first) - if(i = 0, 0, __runs[i - 1].last + 1)))), '\n')"""
     )
     gone = F.coalesce(F.expr("aggregate(__runs, 0, (n, r) -> n + int(r.last - r.first + 1))"), F.lit(0))
-    names = [F.when(cut, kept).otherwise(F.col("text")).alias(c) if c.lower() == "text" else F.col(c) for c in documents.columns if c not in ("deleted_runs", "deleted_lines")]
-    return rows.select(*names, F.coalesce("__runs", F.array().cast("array<struct<first:int,last:int>>")).alias("deleted_runs"), gone.alias("deleted_lines"))
+    names = [(F.when(cut, kept).otherwise(text) if c.lower() == "text" else F.col("__in")[c]).alias(c) for c in documents.columns if c not in to]
+    return rows.select(*names, F.coalesce("__runs", F.array().cast("array<struct<first:int,last:int>>")).alias(to[0]), gone.alias(to[1]))
