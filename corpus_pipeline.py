@@ -4,6 +4,12 @@ Language ID rejects documents without a language and sets ``lang``; line dedup
 deletes later copies of line runs; near-dedup keeps one document of each class;
 mixing takes the sources at their target weights, whole texts, repeated where the
 mix repeats them; the last stage encodes the texts and checks that they decode.
+
+Defined results: null and empty texts and texts without a letter go in the first
+stage; of repeated rows and of null ids with equal texts one row stays after the
+third; very long texts pass through whole; ties are broken by text and row; extra
+columns are kept by all stages but the last, whatever their names (one named lang
+or n_chars is brought up to date); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are deleted from ``text``; ``n_chars`` follows."""
-    left = line_dedup(docs)
+    left = line_dedup(docs, to=("__deleted_runs", "__deleted_lines"))
     return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
