@@ -43,7 +43,7 @@ SAMPLE_ROWS, SAMPLE_BYTES = 1500, 64 << 20
 #: How often a line of a good document is bad, and the other way round, as training supposes.
 BAD_IN_GOOD, GOOD_IN_BAD = 0.1, 0.3
 #: Shrinkage of the weights of a line's own features, of its neighbours' and of transitions.
-L2 = (2e-5, 1e-2, 5e-2)
+L2 = (2e-5, 3e-2, 1e-1)
 
 
 def _flags(*members: bytes) -> np.ndarray:
