@@ -10,6 +10,8 @@ from .shared import materialise
 #: Fixed value: the form of a version 4 UUID.
 UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 LEAST_ALIKE = 0.5
+#: Short forms in column names and what they stand for.
+TOKEN_ALIASES = {"amt": "amount", "cnt": "count", "disc": "discount", "dt": "date", "prod": "product", "qty": "quantity"}
 
 
 def _signatures(columns: DataFrame, tables: DataFrame) -> DataFrame:
@@ -22,23 +24,60 @@ def alike_tables(old_columns: DataFrame, new_columns: DataFrame, dropped: DataFr
     """old_name, new_name and score: the greedy match of dropped to created tables by the Jaccard similarity of their
     column signatures, best first (ties by name), of ``least`` at least.
 
-    Tables meet over a signature that they share. Each turn takes the pairs that are the best of both their tables,
-    which are just those that going through all pairs in order would take.
+    Tables meet over a signature that they share.
     """
     old, new = _signatures(old_columns, dropped), _signatures(new_columns, created)
     size = lambda s, name: s.groupBy(F.col("table_name").alias(name)).agg(F.count(F.lit(1)).alias(f"n_{name}"))
     both = old.withColumnRenamed("table_name", "old_name").join(new.withColumnRenamed("table_name", "new_name"), "signature")
     both = both.groupBy("old_name", "new_name").agg(F.count(F.lit(1)).alias("n")).join(size(old, "old_name"), "old_name").join(size(new, "new_name"), "new_name")
-    left = both.select("old_name", "new_name", (F.col("n") / (F.col("n_old_name") + F.col("n_new_name") - F.col("n"))).alias("score")).where(F.col("score") >= least)
-    left, taken = materialise(left, "alike"), None
+    pairs = both.select("old_name", "new_name", (F.col("n") / (F.col("n_old_name") + F.col("n_new_name") - F.col("n"))).alias("score")).where(F.col("score") >= least)
+    return _greedy(pairs, ["old_name"], ["new_name"], [F.col("score").desc(), "old_name", "new_name"])
+
+
+def _greedy(pairs: DataFrame, old: list[str], new: list[str], order: list) -> DataFrame:
+    """The pairs that going through all of them in ``order`` would take, each old and each new side once.
+
+    Each turn takes the pairs that come first for both their sides: just those that no earlier pair can displace.
+    """
+    left, taken = materialise(pairs, "greedy"), None
     while True:
-        order = [F.col("score").desc(), "old_name", "new_name"]
-        best = left.withColumn("a", F.row_number().over(Window.partitionBy("old_name").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("new_name").orderBy(*order)))
-        best = materialise(best.where("a = 1 and b = 1").select("old_name", "new_name", "score"), "alike")
+        nth = lambda side: F.row_number().over(Window.partitionBy(*side).orderBy(*order))
+        best = left.withColumn("__a", nth(old)).withColumn("__b", nth(new)).where("__a = 1 and __b = 1").drop("__a", "__b")
+        best = materialise(best, "greedy")
         taken = best if taken is None else taken.unionByName(best)
         if best.isEmpty():
             return taken
-        left = materialise(left.join(best.select("old_name"), "old_name", "left_anti").join(best.select("new_name"), "new_name", "left_anti"), "alike")
+        left = materialise(left.join(best.select(*old), old, "left_anti").join(best.select(*new), new, "left_anti"), "greedy")
+
+
+def column_renames(dropped: DataFrame, added: DataFrame) -> DataFrame:
+    """table_name, old_name, new_name and score of renamed columns without ids; both: table_name, name, position,
+    data_type, nullable, default_value, comment.
+
+    Columns of one table, type and nullability are candidates if half of their name tokens are the same, or if they share
+    a comment that no other dropped or added column of the table has. An equal comment counts 1000, the tokens' Jaccard
+    similarity up to 100, an equal default 10; then the nearer position wins, then the later name.
+    """
+    full = F.create_map(*[F.lit(x) for pair in TOKEN_ALIASES.items() for x in pair])
+    words = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda t: t != "")
+    note, tokens = F.trim(F.coalesce("comment", F.lit(""))), F.array_distinct(F.transform(words, lambda t: F.coalesce(full[t], t)))
+
+    def side(df, prefix):
+        rows = df.withColumns({"note": note, "tokens": tokens})
+        often = rows.where("note <> ''").groupBy("table_name", "note").agg(F.count(F.lit(1)).alias("notes"))
+        rows = rows.join(often, ["table_name", "note"], "left")
+        return rows.select("table_name", "data_type", "nullable", *[F.col(c).alias(f"{prefix}_{c}") for c in ("name", "position", "default_value", "note", "notes", "tokens")])
+
+    both = side(dropped, "old").join(side(added, "new"), ["table_name", "data_type", "nullable"])
+    united = F.size(F.array_union("old_tokens", "new_tokens"))
+    likeness = F.when(united == 0, 1.0).otherwise(F.size(F.array_intersect("old_tokens", "new_tokens")) / F.nullif(united, F.lit(0)))
+    same_note = (F.col("old_note") != "") & (F.col("old_note") == F.col("new_note"))
+    own_note = same_note & (F.col("old_notes") == 1) & (F.col("new_notes") == 1)
+    score = F.when(same_note, 1000).otherwise(0) + F.floor(likeness * 100).cast("int")
+    default = F.when((F.col("old_default_value") != "") & (F.col("old_default_value") == F.col("new_default_value")), 10).otherwise(0)
+    found = both.where((likeness >= 0.5) | own_note).select("table_name", "old_name", "new_name", score.alias("score"), (score + default).alias("rank"), F.abs(F.col("old_position") - F.col("new_position")).alias("gap"))
+    order = [F.col("rank").desc(), "gap", F.col("score").desc(), F.col("old_name").desc(), F.col("new_name").desc()]
+    return _greedy(found, ["table_name", "old_name"], ["table_name", "new_name"], order).select("table_name", "old_name", "new_name", "score")
 
 
 def layout_changes(pairs: DataFrame, old: DataFrame, new: DataFrame, facts: list[str]) -> DataFrame:

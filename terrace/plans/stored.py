@@ -163,6 +163,13 @@ def table_diff(spark, d):
     return schema.table_diff(*_schemas(spark, d), ["buckets"])
 
 
+def column_renames(spark, d):
+    p = table(spark, d, "part").where("p_partkey < 400").select(F.concat(F.lit("t"), (F.col("p_partkey") % 40).cast("string")).alias("table_name"), F.col("p_partkey").cast("int").alias("position"), F.col("p_partkey").cast("string").alias("k"))
+    rows = lambda name: p.select("table_name", name.alias("name"), "position", F.lit("int").alias("data_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("default_value"), F.lit(None).cast("string").alias("comment"))
+    new = F.when(F.col("position") % 3 != 0, F.concat(F.lit("quantity_a"), "k")).otherwise(F.concat(F.lit("zz"), "k"))
+    return schema.column_renames(rows(F.concat(F.lit("a"), "k", F.lit("_QTY"))), rows(new))
+
+
 def id_problems(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.md5(F.concat(F.lit("x"), (F.col("c_custkey") - F.when(F.col("c_custkey") % 50 == 1, 1).otherwise(0)).cast("string"))).alias("h"))
     uuid = F.concat_ws("-", F.substring("h", 1, 8), F.substring("h", 9, 4), F.concat(F.lit("4"), F.substring("h", 14, 3)), F.concat(F.lit("a"), F.substring("h", 18, 3)), F.substring("h", 21, 12))
@@ -284,7 +291,7 @@ def pending_tasks(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     slice_rewrite, full_refresh_of_itself, append_aligned, odd_even_rewrite, prefilled_scope, role_dimensions, snapshot_date_join, first_child_join, several_distinct_counts, one_row_per_key,
-    refresh_switch, truth_tests, enumerated_periods, rolling_months, day_gaps, discovered_dates, windows_along_edges, table_diff, id_problems, proven_renames, dimension_scores, weights_with_overrides,
+    refresh_switch, truth_tests, enumerated_periods, rolling_months, day_gaps, discovered_dates, windows_along_edges, table_diff, column_renames, id_problems, proven_renames, dimension_scores, weights_with_overrides,
     numbered_issues, scoped_checks, asset_catalog, column_validation, layer_resolution, related_entities, process_catalogue, changed_assets, renamed_issues, snapshot_problems, snapshot_import, snapshot_store, pending_tasks)}
 
 _DAYS = f"""days AS (SELECT o_orderdate::DATE AS stat_date, o_orderstatus, count(*) AS orders, sum(o_totalprice::{_D})::DOUBLE AS amount FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01' GROUP BY 1, 2)"""
@@ -327,6 +334,7 @@ ORACLE_SQL = {
     "table_diff": """WITH t AS (SELECT DISTINCT p_partkey % 60 AS t FROM part WHERE p_partkey < 240), x AS (SELECT t, t % 10 <> 9 AS a, t % 10 <> 7 AS b, t % 4 = 0 AS moved, t % 5 = 1 AND t % 2 <> 9 AS rebuilt FROM t)
         SELECT CASE WHEN a AND b THEN CASE WHEN rebuilt THEN 'rebuild' WHEN moved THEN 'rename' ELSE 'keep' END WHEN a THEN 'drop' ELSE 'create' END AS change, CASE WHEN a THEN 't' || t END AS old_name, CASE WHEN b THEN CASE WHEN moved THEN 'n' ELSE 't' END || t END AS new_name
         FROM x WHERE a OR b""",
+    "column_renames": "SELECT 't' || (p_partkey % 40) AS table_name, 'a' || p_partkey || '_QTY' AS old_name, 'quantity_a' || p_partkey AS new_name, 100 AS score FROM part WHERE p_partkey < 400 AND p_partkey % 3 <> 0",
     "id_problems": """WITH x AS (SELECT c_custkey AS k, c_custkey - CASE WHEN c_custkey % 50 = 1 THEN 1 ELSE 0 END AS h FROM customer), y AS (SELECT *, CASE WHEN k % 20 = 0 THEN 'missing' WHEN k % 21 = 0 THEN 'form' END AS p FROM x)
         SELECT k % 3 AS project, k AS owner, coalesce(p, 'repeated') AS problem FROM y WHERE p IS NOT NULL OR h IN (SELECT h FROM y WHERE p IS NULL GROUP BY 1 HAVING count(*) > 1)""",
     "proven_renames": "WITH x AS (SELECT (p_partkey % 900)::VARCHAR AS id, min(p_name) AS old_name, upper(max(p_name)) AS new_name FROM part GROUP BY 1) SELECT *, lower(old_name) <> lower(new_name) AS renamed FROM x",

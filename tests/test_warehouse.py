@@ -198,3 +198,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_columns_without_ids_are_matched_by_name_comment_and_place(spark):
+    kind = "table_name string, name string, position int, data_type string, nullable boolean, default_value string, comment string"
+    row = lambda name, at, note=None, default=None, data_type="int": ("t", name, at, data_type, True, default, note)
+    old = spark.createDataFrame([row("order_amt", 0), row("cust", 1, "customer key"), row("x", 2, "same"), row("y", 3, "same"), row("flag", 4, None, "0"), row("gone", 5)], kind)
+    new = spark.createDataFrame([row("amt_order", 0), row("order_amt_net", 9), row("client_id", 1, "customer key"), row("z", 2, "same"), row("flag_a", 8, None, "0"), row("flag_b", 4), row("gone_too", 5, data_type="string")], kind)
+    got = {(r.old_name, r.new_name, r.score) for r in schema.column_renames(old, new).collect()}
+    assert got == {("order_amt", "amt_order", 100), ("cust", "client_id", 1000), ("flag", "flag_a", 50)}
