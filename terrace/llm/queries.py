@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import materialise, new_path, table
+from .conversation_repair import damage, repair
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .line_dedup import line_dedup
@@ -16,6 +18,7 @@ from .near_dedup import near_classes
 from .quality_crf import classify
 from .quality_rules import quality_rules
 from .sentencepiece_codec import round_trip
+from .sharding import shard
 from .token_counts import BPE, WORDS, Rollup, change, count_tokens, revision, union
 from .warc import archive_pages
 
@@ -72,6 +75,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damage(rows), rows)[0]
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,8 +99,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_sharding": op12_sharding,
+    "op13_collocations": op13_collocations,
 }
 
+def _step(state: str, cost: str, letter: str, line: str | None, where: str = "TRUE") -> str:
+    """SQL: the state after one edit, as its cost in eight digits with the audit (k) and the repaired text (t)."""
+    text = f"({state}).t" if line is None else f"coalesce(({state}).t || chr(10), '') || {line}"
+    return f"CASE WHEN ({state}) IS NOT NULL AND ({where}) THEN {{'k': lpad((({state}).k[1:8]::BIGINT + {cost})::VARCHAR, 8, '0') || ({state}).k[9:] || '{letter}', 't': {text}}} END"
+
+
+def _best(*states: str) -> str:
+    return f"list_min([{', '.join(states)}])"
+
+
+def _repair_sql() -> str:
+    """Dynamic programming over the turns, where the operator searches: states 0 nothing yet, 1 after system, 2 after user, 3 after assistant."""
+    gone = lambda s: _step(s, "3", "D", None)
+    kept = lambda s, role: _step(s, "late", "K", "line", f"ok AND role[1] = '{role}'")
+    told = lambda s, role: _step(s, "late + 2", "R", f"'{role}:' || text", "ok")
+    new = lambda s, role: _step(s, "2", "I", f"'{role}:'")
+    none = "NULL::STRUCT(k VARCHAR, t VARCHAR)"
+    crc = "list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))"
+    return rf"""
+        WITH RECURSIVE raw AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+        bad AS (SELECT *, xor({crc.format('name')}, 4294967295) % 20 AS fault FROM raw),
+        dam AS (
+            SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM bad, (VALUES (0), (1)) AS copy(nth) WHERE fault <> 0 AND (nth = 0 OR fault = 3)),
+        num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
+        flt AS (
+            SELECT *, nullif(right(regexp_replace(text, '[ 	-]+$', ''), 1), '') AS last_char, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                   lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM num),
+        t AS (SELECT *, last_char IS NULL AS blank, last_char IS NOT NULL AND again AS dup, last_char IS NOT NULL AND NOT again AND last_char NOT IN ('.', '!', '?') AS short FROM flt),
+        c AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                   count(*) FILTER (short) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY 1),
+        dp AS (
+            SELECT conv_id, 0::BIGINT AS i, {{'k': '00000000', 't': NULL::VARCHAR}} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM c
+            UNION ALL
+            SELECT conv_id, i, {gone('s0')}, {_best(gone('s1'), kept('s0', 's'))}, {_best(gone('o2'), *[f(x, r) for x in ('s0', 's1', 'o3') for f, r in ((kept, 'u'), (told, 'user'))])},
+                   {_best(gone('o3'), kept('o2', 'a'), told('o2', 'assistant'))}
+            FROM (SELECT *, {_best('s3', new('o2', 'assistant'))} AS o3
+                  FROM (SELECT t.*, role || ':' || text AS line, short::INT AS late, NOT blank AND NOT dup AS ok, s0, s1, s3, {_best('s2', new('s0', 'user'), new('s1', 'user'), new('s3', 'user'))} AS o2
+                        FROM dp JOIN t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id AND t.i = dp.i + 1) x) y),
+        fin AS (
+            SELECT dp.conv_id, {_best('s0', 's3', new('s2', 'assistant'), new(new('s1', 'user'), 'assistant'))} AS e FROM dp JOIN c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.i)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(e.k[1:8]::BIGINT, 0) AS cost, coalesce(e.k[9:], '') AS audit, sha256(coalesce(e.t, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id
+    """
+
+
+_REPAIR_SQL = _repair_sql()
+
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
@@ -140,4 +210,29 @@ ORACLE_SQL: dict[str, str] = {
                (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size - start)))::BIGINT AS taken
         FROM x
     """,
+    "op11_conversation_repair": _REPAIR_SQL,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT doc_id, row_number() OVER () AS nr, coalesce(lang, 'und') AS lang,
+                   string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]') AS pieces FROM documents),
+        q AS (SELECT nr, lang, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM p),
+        v AS (SELECT nr, lang, k, regexp_extract_all(piece, '[^ 	]+') AS w FROM q),
+        t AS (SELECT nr, lang, k, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM v),
+        g AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY nr, k ORDER BY i)),
+        f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+        f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY 1),
+        c2 AS (SELECT b.lang, b.w1 || ' ' || b.w2 AS phrase, b.f AS a, x.f AS l, y.f AS r, 1 AS k, b.w1, b.w2 FROM f2 b JOIN f1 x ON x.lang = b.lang AND x.w1 = b.w1 JOIN f1 y ON y.lang = b.lang AND y.w1 = b.w2 WHERE b.f >= 10),
+        c3 AS (SELECT b.lang, b.w1 || ' ' || b.w2 || ' ' || b.w3 AS phrase, b.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f3 b JOIN f1 x ON x.lang = b.lang AND x.w1 = b.w1 JOIN f2 y ON y.lang = b.lang AND y.w1 = b.w2 AND y.w2 = b.w3
+            UNION ALL SELECT b.lang, b.w1 || ' ' || b.w2 || ' ' || b.w3, b.f, x.f, y.f, 2 FROM f3 b JOIN f2 x ON x.lang = b.lang AND x.w1 = b.w1 AND x.w2 = b.w2 JOIN f1 y ON y.lang = b.lang AND y.w1 = b.w3),
+        over2 AS (SELECT lang, w1, w2, max(f) AS f FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        cuts AS (SELECT c2.lang, phrase, a, l, r, k FROM c2 LEFT JOIN over2 o ON o.lang = c2.lang AND o.w1 = c2.w1 AND o.w2 = c2.w2 WHERE o.f IS NULL OR 100 * o.f < 50 * a UNION ALL SELECT * FROM c3),
+        s AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM cuts),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+        SELECT z.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM z JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }

@@ -33,6 +33,8 @@ def odd_dir(odd, spark, tmp_path_factory):
     odd.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, i % 2, 0) for i in range(len(TEXTS))] + [(None, 1, 0), (999, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(i, None if i == 2 else f"http://a/{i}\n", t) for i, t in enumerate(TEXTS)] + [(None, "u", _BASE), (50, "u", _BASE)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    turns = [(i // 3, i, ["user", None, "assistant", "system", ""][i % 5], t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame([(*r, 1, "x") for r in [*turns, turns[5], (None, None, None, None), (None, None, "user", "hi.")]], "conv_id long, turn long, role string, text string, pos int, conv string").write.parquet(f"{d}/conversations.parquet")
     return d
 
 
@@ -44,9 +46,11 @@ def test_query_equals_its_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_rows_and_empty_tables(spark, odd_dir, tmp_path, name):
     got = QUERIES[name](spark, odd_dir).count()
-    if name not in ("op3_token_counts", "op6_warc"):
+    if name == "op11_conversation_repair":
+        assert got == (len(TEXTS) + 2) // 3 + 1
+    elif name not in ("op3_token_counts", "op6_warc", "op13_collocations"):
         assert got == len(TEXTS) + 2
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "conversations"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
