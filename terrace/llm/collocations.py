@@ -3,8 +3,8 @@
 Texts are cut into blocks of some million words of one language, at ends of pieces; a block is written as the numbers of its
 words in a dictionary of its own, with the counts. So what is shuffled to be counted and named is a block's dictionary,
 not its words. Words that are frequent overall get an id; each block learns the ids of its words and rewrites its
-sequence as pairs of neighbours that both have one; the pairs, counted over all blocks, get ids in turn, and two
-overlapping frequent pairs are a phrase of three words, and so on. A phrase is two ids, its parents: all but its last and all but its first
+sequence as pairs of neighbours that both have one; a block's different pairs are counted over all blocks and get ids in
+turn, in one shuffle, and two overlapping frequent pairs are a phrase of three words, and so on. A phrase is two ids, its parents: all but its last and all but its first
 word. The frequencies of all first and last parts come from the parents, for the cuts, and a phrase's longer
 candidates are those that name it as a parent: frequencies never grow with length, so no longer one needs to be asked.
 
@@ -43,7 +43,7 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcde
 
 
 def word_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """block, lang, seq (numbers of the words as 32 bits each, -1 between pieces), words and counts."""
+    """block, lang, seq (the words by number as 32 bits each, -1 between pieces; its length, then zstd), words and counts."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = itertools.count(TaskContext.get().partitionId() << 32)
@@ -55,7 +55,7 @@ def word_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
             for lang, (words, seq) in of.items():
                 places = np.frombuffer(seq, np.int32)
                 counts = np.bincount(places[places >= 0], minlength=len(words))
-                rows.append((next(ids), lang, places.tobytes(), [w.decode("utf-8", "replace") for w in words], counts))
+                rows.append((next(ids), lang, places.nbytes.to_bytes(4, "little") + pa.compress(places, "zstd", asbytes=True), [w.decode("utf-8", "replace") for w in words], counts))
             of.clear()
             types = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["block", "lang", "seq", "words", "counts"])
@@ -79,60 +79,81 @@ def word_blocks(documents: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
     return rows.mapInArrow(encoded, "block long, lang string, seq binary, words array<string>, counts array<long>")
 
 
-def _named(seq: bytes, names: pa.Table) -> tuple[np.ndarray, np.ndarray, int]:
-    """The block's sequence over the entries of its dictionary that have an id, -1 elsewhere; their ids, and how many they are."""
-    places = np.frombuffer(seq, np.int32)
-    local, ids = names.column("local").to_numpy(), names.column("id").to_numpy()
-    to = np.full(max(places.max(initial=-1), local.max(initial=-1)) + 2, -1, np.int64)  # the last entry is that of -1
-    to[local] = np.arange(len(local))
-    return to[places], ids, len(local)
+def _places(seq: bytes, names: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands at each place of a block: its word (as numbered there), the rank of its phrase of k - 1 words among the
+    block's frequent ones (-1: none), and the ids by rank.
 
+    A phrase is named in its block by the pair of what it is made of: two words, or two ranks of one word less.
+    """
+    words = np.frombuffer(pa.decompress(seq[4:], int.from_bytes(seq[:4], "little"), "zstd"), np.int32).astype(np.int64)
+    level, code, ids = (names.column(c).to_numpy() for c in ("level", "code", "id"))
+    at = words
+    for here in range(1 if k == 2 else 2, k):
+        mine = np.flatnonzero(level == here)
+        mine = mine[np.argsort(code[mine])]
+        asked = at if here == 1 else np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] << 32 | at[1:], -1)
+        known = np.append(code[mine], -2)
+        rank = np.searchsorted(known[:-1], asked)
+        at = np.where(known[rank] == asked, rank, -1)
+        own = ids[mine]
+    return words, at, own
 
-def _pairs(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """block, seq over the block's own pairs of named neighbours, their parents left and right (ids) and their counts."""
+
+def _pairs(blocks: DataFrame, names: DataFrame, k: int, last: bool) -> DataFrame:
+    """left, right and n of the phrases of ``k`` words in each block that are two overlapping named ones; except for the ``last``
+    length also the block and their name in it (code). names: block, level, code, id."""
 
     def paired(block: pa.Table, names: pa.Table) -> pa.Table:
-        rows = []
+        out = []
         for number, seq in zip(block.column("block").to_pylist(), block.column("seq").to_pylist()):
-            at, ids, n = _named(seq, names)
-            both = (at[:-1] >= 0) & (at[1:] >= 0)
-            code, place, count = np.unique(at[:-1][both] * n + at[1:][both], return_inverse=True, return_counts=True)
-            if len(code):
-                out = np.full(len(both), -1, np.int32)
-                out[both] = place
-                rows.append((number, out.tobytes(), ids[code // n], ids[code % n], count))
-        types = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["block", "seq", "left", "right", "counts"])
+            words, at, ids = _places(seq, names, k)
+            both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
+            of = words if k == 2 else at
+            code, first, n = np.unique(of[both] << 32 | of[both + 1], return_index=True, return_counts=True)
+            row = {"left": ids[at[both[first]]], "right": ids[at[both[first] + 1]], "n": n}
+            out.append(pa.table(row if last else {"block": np.full(len(code), number), "code": code, **row}))
+        return pa.concat_tables(out) if out else none
+
+    schema = "left long, right long, n long" if last else "block long, code long, left long, right long, n long"
+    none = pa.table({c.split()[0]: pa.array([], pa.int64()) for c in schema.split(", ")})
+    names = names.select(F.col("block").alias("of_block"), "level", "code", "id")
+    return blocks.select("block", "seq").groupBy("block").cogroup(names.groupBy("of_block")).applyInArrow(paired, schema)
 
-    names = names.select(F.col("block").alias("of_block"), "local", "id")
-    return blocks.select("block", "seq").groupBy("block").cogroup(names.groupBy("of_block")).applyInArrow(paired, "block long, seq binary, left array<long>, right array<long>, counts array<long>")
 
+def _frequent(entries: DataFrame, key: list[str], least: int) -> DataFrame:
+    """``entries`` whose ``key`` has a sum of n of ``least`` or more, with that (f), an id of the key and whether the row is the key's first.
 
-def _entries(blocks: DataFrame, *names: str) -> DataFrame:
-    """A row for each entry of the blocks' dictionaries, with its number there."""
-    return blocks.select("block", *(["lang"] if "lang" in blocks.columns else []), F.posexplode(F.arrays_zip(*names)).alias("local", "e")).select(*[c for c in ("block", "lang") if c in blocks.columns], "local", "e.*")
+    One shuffle does for counting and naming; a key has a row for each block at most.
+    """
+    rows = entries.repartition(*key).withColumn("row", F.monotonically_increasing_id())
+    of = Window.partitionBy(*key)
+    rows = rows.withColumn("f", F.sum("n").over(of)).withColumn("id", F.min("row").over(of)).where(F.col("f") >= least)
+    return rows.withColumn("first", F.col("row") == F.col("id")).drop("row", "n")
 
 
 def phrases(blocks: DataFrame, least: int = LEAST, longest: int = LONGEST) -> list[DataFrame]:
     """For each length from 1 to ``longest`` a table of the phrases with ``least`` occurrences or more: id, lang, phrase, f, left and right (ids of
     the parents, null for words), last (its last word), firsts and rests (the frequencies of its first and last 1, 2, ... words)."""
-    entries = _entries(blocks.select("block", "lang", "words", "counts"), "words", "counts").withColumnsRenamed({"words": "phrase", "counts": "n"})
-    words = entries.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+    entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "e"))
+    entries = entries.select("block", F.col("code").cast("long").alias("code"), "lang", F.col("e.words").alias("phrase"), F.col("e.counts").alias("n"))
+    named = materialise(_frequent(entries, ["lang", "phrase"], least), "phrase-names-1")
     none = lambda kind: F.lit(None).cast(kind)
-    words = words.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f", none("long").alias("left"), none("long").alias("right"), F.col("phrase").alias("last"), F.array().cast("array<long>").alias("firsts"), F.array().cast("array<long>").alias("rests"))
-    levels = [materialise(words, "phrase-1")]
-    names = entries.join(levels[0].select("lang", "phrase", "id"), ["lang", "phrase"]).select("block", "local", "id")
+    words = named.where("first").select("id", "lang", "phrase", "f", none("long").alias("left"), none("long").alias("right"), F.col("phrase").alias("last"), F.array().cast("array<long>").alias("firsts"), F.array().cast("array<long>").alias("rests"))
+    levels, names = [words], named.select("block", F.lit(1).alias("level"), "code", "id")
     for k in range(2, longest + 1):
-        blocks = materialise(_pairs(blocks, names), f"phrase-pairs-{k}")
-        entries = _entries(blocks.select("block", "left", "right", "counts"), "left", "right", "counts")
-        found = entries.groupBy("left", "right").agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
-        found = materialise(found.withColumn("id", F.monotonically_increasing_id()), f"phrase-ids-{k}")
+        entries = _pairs(blocks, names, k, k == longest)
+        if k == longest:
+            found = entries.groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", none("long"))
+            found = materialise(found, f"phrase-names-{k}")
+        else:
+            named = materialise(_frequent(entries, ["left", "right"], least), f"phrase-names-{k}")
+            found, here = named.where("first"), named.select("block", F.lit(k).alias("level"), "code", "id")
+            names = here if k == 2 else names.unionByName(here)
         up = levels[-1]
         a = up.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("a_phrase"), F.concat("firsts", F.array("f")).alias("firsts"))
         b = up.select(F.col("id").alias("right"), "last", F.concat("rests", F.array("f")).alias("rests"))
         full = found.join(a, "left").join(b, "right").withColumn("phrase", F.concat_ws(" ", "a_phrase", "last"))
         levels.append(materialise(full.select("id", "lang", "phrase", "f", "left", "right", "last", "firsts", "rests"), f"phrase-{k}"))
-        names = entries.join(found.select("left", "right", "id"), ["left", "right"]).select("block", "local", "id")
     return levels
 
 
