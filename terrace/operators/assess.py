@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graph import folded, levels, reachable, settle, table_graph
+from .cycles import condensed
+from .graph import CycleError, folded, levels, reachable, settle, table_graph
 
 #: The weights of the dimensions.
 WEIGHTS = {"reuse": 0.18, "depth": 0.18, "model_design": 0.18, "naming": 0.18, "asset_completeness": 0.09, "metadata_health": 0.09, "code_quality": 0.1}
@@ -22,19 +23,27 @@ def reuse_score(models: DataFrame, edges: DataFrame, full: int = 3) -> DataFrame
 def depth_scores(models: DataFrame, edges: DataFrame) -> DataFrame:
     """name, depth and score of each ADS table: the most DWD, DWS and DIM tables on a path that ends in it, itself aside.
 
-    One pass over the levels of the graph: a table's depth is settled once those of its upstreams are. Cycles raise.
+    One pass over the levels of the graph: a table's depth is settled once those of its upstreams are. The tables of a cycle are
+    one step of all its middle tables, each counted once.
     """
-    e, known = settle(table_graph(edges)), folded(models, "name").select(F.col("name").alias("node"), "layer")
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).union(known.select("node")).distinct()
-    of = settle(levels(nodes, e).join(known, "node", "left").withColumn("own", F.coalesce(F.col("layer").isin("DWD", "DWS", "DIM").cast("int"), F.lit(0))))
+    e, known = settle(table_graph(edges)), settle(folded(models, "name").select(F.col("name").alias("node"), "layer"))
+    nodes = settle(e.select(F.col("src").alias("node")).union(e.select("dst")).union(known.select("node")).distinct())
+    own = nodes.join(known, "node", "left").withColumn("own", F.coalesce(F.col("layer").isin("DWD", "DWS", "DIM").cast("int"), F.lit(0)))
+    try:
+        own, at = own.withColumn("group", F.col("node")), levels(nodes, e)
+    except CycleError:
+        of, e = condensed(nodes, e)
+        own, at = own.join(of, "node"), levels(of.select(F.col("group").alias("node")), e)
+    own = settle(own)
+    of = settle(own.groupBy(F.col("group").alias("node")).agg(F.sum("own").cast("int").alias("own")).join(at, "node"))
     most = of.agg(F.max("level")).first()[0]
-    done = settle(of.where("level = 0").select("node", "layer", F.col("own").alias("depth")))
+    done = settle(of.where("level = 0").select("node", F.col("own").alias("depth")))
     for k in range(1, (most or 0) + 1):
         above = e.join(done.select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("depth").alias("above"))
-        here = of.where(F.col("level") == k).join(above, "node").select("node", "layer", (F.col("own") + F.col("above")).alias("depth"))
+        here = of.where(F.col("level") == k).join(above, "node").select("node", (F.col("own") + F.col("above")).alias("depth"))
         done = done.unionByName(settle(here))
     score = F.when(F.col("depth") == 2, 100).when(F.col("depth") == 1, 50).when(F.col("depth") == 0, 0).otherwise(30)
-    return done.where("layer = 'ADS'").select(F.col("node").alias("name"), "depth", score.alias("score"))
+    return own.where("layer = 'ADS'").select(F.col("node").alias("name"), F.col("group").alias("node")).join(done, "node").select("name", "depth", score.alias("score"))
 
 
 def depth_score(models: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,11 +80,14 @@ def numbered_issues(checks: DataFrame) -> DataFrame:
 
 
 def dependency_classes(models: DataFrame, edges: DataFrame) -> DataFrame:
-    """src, dst and kind of every edge between tables of known layers: reverse, same, next or skip, by layer rank."""
-    of = folded(models, "name").select("name", _rank().alias("rank")).where("rank is not null")
-    e = table_graph(edges).join(of.select(F.col("name").alias("src"), F.col("rank").alias("a")), "src").join(of.select(F.col("name").alias("dst"), F.col("rank").alias("b")), "dst")
+    """src, dst and kind of every edge between tables of known layers: reverse, same, next or skip, by layer rank; an
+    application that reads a dimension skips nothing (next)."""
+    of = folded(models, "name").select("name", "layer", _rank().alias("rank")).where("rank is not null")
+    side = lambda c, layer, rank: of.select(F.col("name").alias(c), F.col("layer").alias(layer), F.col("rank").alias(rank))
+    e = table_graph(edges).join(side("src", "from", "a"), "src").join(side("dst", "to", "b"), "dst")
     step = F.col("b") - F.col("a")
-    return e.select("src", "dst", F.when(step < 0, "reverse").when(step == 0, "same").when(step == 1, "next").otherwise("skip").alias("kind"))
+    fine = (step == 1) | ((F.col("from") == "DIM") & (F.col("to") == "ADS"))
+    return e.select("src", "dst", F.when(fine, "next").when(step < 0, "reverse").when(step == 0, "same").otherwise("skip").alias("kind"))
 
 
 def scoped_checks(checks: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -97,15 +109,24 @@ def asset_catalog(ddl: DataFrame, models: DataFrame, tasks: DataFrame) -> DataFr
     return out.withColumn("missing", F.array_sort(lacks))
 
 
-def validate_columns(declared: DataFrame, returned: DataFrame) -> DataFrame:
+def validate_columns(declared: DataFrame, returned: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """table_name, name and problem of described columns against declared ones (both: table_name, name), whatever their
-    case: unknown, duplicate or missing."""
+    case: unknown, duplicate, missing or unavailable (no column of the table is declared, so nothing can be said; no name).
+
+    Only fact tables of the layers that group their metrics must describe every column: facts (table_name) are
+    those; without it, all described tables are.
+    """
     key = ["table_name", "key"]
-    d = declared.select(F.lower("table_name").alias("table_name"), F.lower("name").alias("key")).distinct().withColumn("declared", F.lit(True))
-    r = returned.select(F.lower("table_name").alias("table_name"), F.lower("name").alias("key")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    both = d.join(r, key, "full")
-    found = F.array(F.when(F.col("declared").isNull(), "unknown"), F.when(F.col("n") > 1, "duplicate"), F.when(F.col("n").isNull(), "missing"))
-    return both.withColumn("problem", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("table_name", F.col("key").alias("name"), "problem")
+    lower = lambda df: df.select(F.lower("table_name").alias("table_name"), F.lower("name").alias("key"))
+    d = lower(declared).distinct().withColumn("declared", F.lit(True))
+    r = lower(returned).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    there = (r if facts is None else facts.select(F.lower("table_name").alias("table_name"))).select("table_name").distinct().withColumn("whole", F.lit(True))
+    known = d.select("table_name").distinct().withColumn("known", F.lit(True))
+    both = d.join(r, key, "full").join(there, "table_name", "left").join(known, "table_name", "left")
+    found = F.array(F.when(F.col("declared").isNull(), "unknown"), F.when(F.col("n") > 1, "duplicate"), F.when(F.col("n").isNull() & F.col("whole"), "missing"))
+    rows = both.where("known").withColumn("problem", F.explode(F.filter(found, lambda x: x.isNotNull()))).select("table_name", F.col("key").alias("name"), "problem")
+    none = both.where("known is null").select("table_name", F.lit(None).cast("string").alias("name"), F.lit("unavailable").alias("problem")).distinct()
+    return rows.unionByName(none)
 
 
 def resolve_layers(models: DataFrame) -> DataFrame:
@@ -207,19 +228,32 @@ def issue_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "fingerprint", "full").select("fingerprint", state.alias("state"))
 
 
+FACTS = ["data_type", "nullable", "default_value", "comment"]
+
+
+def column_changed(before: str = "o_", after: str = "n_") -> Column:
+    """Did a column's type, nullability, default or comment change? A missing comment is an empty one; letters' case doesn't
+    make another type."""
+    same = F.lower(before + "data_type").eqNullSafe(F.lower(after + "data_type")) & F.coalesce(before + "nullable", F.lit(True)).eqNullSafe(F.coalesce(after + "nullable", F.lit(True)))
+    same = same & F.col(before + "default_value").eqNullSafe(F.col(after + "default_value"))
+    return ~(same & (F.coalesce(before + "comment", F.lit("")) == F.coalesce(after + "comment", F.lit(""))))
+
+
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """table_id, column_id and change (add, drop, rename, modify, rename_modify) by stable identity;
-    columns: table_id, column_id, name, data_type, nullable, default_value, comment."""
-    facts = ["data_type", "nullable", "default_value", "comment"]
-    key = ["table_id", "column_id"]
-    o = old.select(*key, *[F.col(c).alias(f"o_{c}") for c in ["name", *facts]], F.lit(True).alias("o"))
-    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ["name", *facts]], F.lit(True).alias("n"))
-    renamed = ~F.lower("o_name").eqNullSafe(F.lower("n_name"))
-    modified = F.lit(False)
-    for c in facts:
-        modified = modified | ~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}"))
-    change = F.when(F.col("o").isNull(), "add").when(F.col("n").isNull(), "drop").when(renamed & modified, "rename_modify").when(renamed, "rename").when(modified, "modify")
-    return o.join(n, key, "full").select(*key, change.alias("change"), F.col("o_name").alias("old_name"), F.col("n_name").alias("new_name")).where("change is not null")
+    """table_id, column_id and change (add, drop, rename, modify, rename_modify) of the columns of two versions, and both names;
+    columns: table_id, column_id, name, data_type, nullable, default_value, comment.
+
+    Columns with an id are the same if their ids are; one without is the one of the same name (whatever its case) that has none
+    on the other side either. A table without an id is that without one.
+    """
+    # what a column goes by: its id, else its name
+    own = F.when(F.col("column_id").isNotNull(), F.struct(F.lit("id").alias("by"), F.col("column_id").alias("of"))).otherwise(F.struct(F.lit("name").alias("by"), F.lower("name").alias("of")))
+    table = F.struct(F.col("table_id").isNotNull().alias("known"), F.coalesce("table_id", F.lit("")).alias("of"))
+    side = lambda df, p: df.select(table.alias("table"), own.alias("own"), F.col("table_id").alias(p + "table"), F.col("column_id").alias(p + "id"), *[F.col(c).alias(p + c) for c in ["name", *FACTS]], F.lit(True).alias(p + "is"))
+    both = side(old, "o_").join(side(new, "n_"), ["table", "own"], "full")
+    renamed, modified = ~F.lower("o_name").eqNullSafe(F.lower("n_name")), column_changed()
+    change = F.when(F.col("o_is").isNull(), "add").when(F.col("n_is").isNull(), "drop").when(renamed & modified, "rename_modify").when(renamed, "rename").when(modified, "modify")
+    return both.select(F.coalesce("o_table", "n_table").alias("table_id"), F.coalesce("o_id", "n_id").alias("column_id"), change.alias("change"), F.col("o_name").alias("old_name"), F.col("n_name").alias("new_name")).where("change is not null")
 
 
 def naming_checks(models: DataFrame, patterns: dict[str, str]) -> DataFrame:

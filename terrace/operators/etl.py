@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import materialise
 
@@ -50,18 +51,31 @@ def with_growth(df: DataFrame, order: str, value: str, name: str, digits: int =
     return df.withColumn(name, F.round((F.col(value) - before) * 100.0 / F.nullif(before, F.lit(0)), digits))
 
 
-def append_aligned(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Appends ``df`` under the target's ``columns``, matched by name whatever the order or case; those it lacks are null,
-    and a column that the target lacks is an error."""
+def append_aligned(df: DataFrame, path: str, schema: StructType | str | None = None) -> None:
+    """Appends ``df`` under the target's columns, matched by name whatever the order or case, in the target's types; those it
+    lacks are null, and a column that the target lacks is an error.
+
+    ``schema``: the target's, needed for the first rows; later it is read from the table, and another one is an error.
+    """
+    spark = df.sparkSession
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    kept = spark.read.parquet(path).schema if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file) else None
+    if schema is None and kept is None:
+        raise ValueError(f"{path} has no rows yet: say its schema")
+    given = spark.createDataFrame([], schema).schema if schema is not None else kept
+    if kept is not None and [(f.name, f.dataType) for f in given] != [(f.name, f.dataType) for f in kept]:
+        raise ValueError(f"the table is {kept.simpleString()}, not {given.simpleString()}")
     have = {c.lower(): c for c in df.columns}
-    unknown = sorted(set(have) - {c.lower() for c in columns})
+    unknown = sorted(set(have) - {f.name.lower() for f in given})
     if unknown:
         raise ValueError(f"no target columns: {unknown}")
-    df.select(*[(F.col(have[c.lower()]) if c.lower() in have else F.lit(None).cast("string")).alias(c) for c in columns]).write.mode("append").parquet(path)
+    of = lambda f: F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)
+    df.select(*[of(f).cast(f.dataType).alias(f.name) for f in given]).write.mode("append").parquet(path)
 
 
 def full_refresh(df: DataFrame, path: str, date_col: str | None = None) -> None:
-    """Replaces all of a stored table. ``df`` may be computed from the table itself: it is written aside before."""
+    """Replaces all of a stored table in place. ``df`` may be computed from the table itself: it is written aside before.
+    Readers can meet a part of it, and a driver lost on the way leaves one: ``stored.StoredTable`` swaps."""
     done = materialise(df, "refresh")
     writer = done.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(date_col) if date_col else writer).parquet(path)
@@ -73,7 +87,8 @@ def refresh(df: DataFrame, path: str, date_col: str, full: bool) -> None:
 
 
 def rewrite_owned(spark: SparkSession, path: str, fresh: DataFrame, owned: Column) -> None:
-    """The stored table after one of its writers replaced the rows that it owns; others' rows stay."""
+    """The stored table after one of its writers replaced the rows that it owns; others' rows stay, but are all read and
+    written again: where each writer has rows of its own, ``stored.StoredTable`` leaves them alone."""
     full_refresh(merge_owned(spark.read.parquet(path), fresh, owned), path)
 
 

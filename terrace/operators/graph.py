@@ -114,8 +114,16 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None, d
     return out
 
 
+class CycleError(ValueError):
+    """The graph has a cycle; ``edges`` are those on it and behind it. ``cycles.components`` tells who is on it."""
+
+    def __init__(self, edges: DataFrame):
+        super().__init__(f"the graph has a cycle among or before: {', '.join(r[0] for r in edges.select('src').distinct().orderBy('src').limit(20).collect())}")
+        self.edges = edges
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and level: 0 without an upstream, else one more than the highest upstream; raises on a cycle.
+    """node and level: 0 without an upstream, else one more than the highest upstream; a cycle is a ``CycleError``.
 
     A turn writes the edges that still have an edge before them; the targets that are no targets of those are a level.
     """
@@ -129,7 +137,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, done).join(nodes, "node", "left_semi")
         rest = settle(left.join(targets.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
         if rest.count() == n:
-            raise ValueError("the graph has a cycle")
+            raise CycleError(rest)
         left, before = rest, targets
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import folded, settle, table_graph
+
 
 def period_start(at: Column, period: Column, week_start: int = 1) -> Column:
     """Start of the H, D, W or M period that holds ``at``; weeks begin on ISO weekday ``week_start``."""
@@ -69,3 +71,56 @@ def along_edges(anchors: DataFrame, periods: DataFrame, edges: DataFrame, week_s
     last = period_start(F.col("end") - F.expr("interval 1 microsecond"), F.col("period"), week_start)
     grown = up.where("start < `end`").select(F.col("src").alias("table_name"), low.alias("start"), period_next(last, F.col("period")).alias("end"))
     return grown.groupBy("table_name").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+def _grown(windows: DataFrame, periods: DataFrame, week_start: int) -> DataFrame:
+    """``windows`` with their table's period, each widened to whole ones; tables without a period keep theirs as they are."""
+    rows = windows.join(periods, "table_name", "left")
+    last = period_start(F.col("end") - F.expr("interval 1 microsecond"), F.col("period"), week_start)
+    low = F.coalesce(period_start(F.col("start"), F.col("period"), week_start), "start")
+    return rows.select("table_name", "period", low.alias("start"), F.coalesce(period_next(last, F.col("period")), "end").alias("end"), "anchor")
+
+
+def along_lineage(anchors: DataFrame, periods: DataFrame, edges: DataFrame, week_start: int = 1) -> DataFrame:
+    """table_name, period, start, end and anchors (sorted) of all that must be computed for the anchor windows, up the whole lineage.
+
+    anchors: table_name, start, end (half-open); periods: table_name, period (H, D, W or M; tables that have none pass windows
+    on as they are); edges: src, dst. A window is widened to whole periods of its table and so handed to every upstream, level by
+    level: a month above a day widens all that is above it. Windows of a table that touch are one, with all their anchors;
+    others stay apart. Empty windows need nothing. A cycle would widen windows for ever and is an error.
+    """
+    edges = settle(table_graph(edges))
+    periods = settle(folded(periods.select("table_name", "period"), "table_name").where("period is not null").distinct())
+    first = folded(anchors, "table_name").where("start < `end`").select("table_name", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), F.col("table_name").alias("anchor"))
+    key = ["table_name", "start", "end", "anchor"]
+    front = seen = settle(_grown(first.distinct(), periods, week_start).distinct())
+    most, steps = edges.select("src").distinct().count(), 0
+    while not front.isEmpty():
+        if steps > most:
+            raise ValueError("the graph has a cycle")
+        up = front.withColumnRenamed("table_name", "dst").join(edges, "dst").select(F.col("src").alias("table_name"), "start", "end", "anchor").distinct()
+        front = settle(_grown(up, periods, week_start).distinct().join(seen.select(*key), key, "left_anti"))
+        seen, steps = seen.unionByName(front), steps + 1
+    once = seen.groupBy("table_name", "period", "start", "end").agg(F.collect_set("anchor").alias("anchors"))
+    order = Window.partitionBy("table_name").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = once.withColumn("island", island).groupBy("table_name", "period", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("anchors")))).alias("anchors"))
+    return merged.drop("island")
+
+
+def execution_values(windows: DataFrame, week_start: int = 1) -> DataFrame:
+    """table_name and period_start of each period that a table with a period must run for; windows: as of ``along_lineage``."""
+    return enumerate_periods(windows.where("period is not null"), week_start).select("table_name", "period_start").distinct()
+
+
+def compare_scopes(anchors: DataFrame, slices: DataFrame, at: Column, week_start: int = 1) -> DataFrame:
+    """table_name, mode (time_slice or full_table), column, period, start, end and why a whole table is compared (no_slice:
+    it isn't kept by time; no_value: ``at`` is null) of each anchor (table_name); slices: table_name, time_column, period."""
+    s = folded(slices.select("table_name", "time_column", "period"), "table_name")
+    rows = folded(anchors.select("table_name"), "table_name").distinct().join(s, "table_name", "left").withColumn("at", at.cast("timestamp_ntz"))
+    sliced = F.col("period").isNotNull() & F.col("at").isNotNull()
+    rows = rows.withColumn("start", F.when(sliced, period_start(F.col("at"), F.col("period"), week_start)))
+    only = lambda c: F.when(sliced, F.col(c))
+    return rows.select("table_name", F.when(sliced, "time_slice").otherwise("full_table").alias("mode"), only("time_column").alias("column"), only("period").alias("period"), "start",
+                       period_next(F.col("start"), F.col("period")).alias("end"), F.when(F.col("period").isNull(), "no_slice").when(~sliced, "no_value").alias("why"))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from .ranking import with_position
+from .shared import materialise
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -67,7 +68,8 @@ def compare_keyed(left: DataFrame, right: DataFrame, keys: list[str], exclude: t
 
     side: left or right (the other has no such key; its columns are those with a value), both (values differ) or repeated
     (a side has the key several times and the rows aren't the same on both; no columns). A null key is a key. One aggregate over both sides, combined before its
-    shuffle, so no key multiplies rows.
+    shuffle, so no key multiplies rows. Rows of a repeated key that aren't equal are paired in order (``_unpaired``), so that
+    the tolerance holds for them too.
     """
     a, b = _aligned(left, right, list(exclude), mapping or {})
     values = [c for c in a.columns if c not in keys]
@@ -84,7 +86,39 @@ def compare_keyed(left: DataFrame, right: DataFrame, keys: list[str], exclude: t
     differ = F.when(name != "repeated", F.array_sort(F.filter(F.array(*off), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
     same = several & (F.col("nl") == F.col("nr")) & (F.col("hl") == F.col("hr"))
     rows = both.where(~same).select(*keys, name.alias("side"), differ.alias("columns"))
-    return rows.where((F.col("side") != "both") | (F.size("columns") > 0))
+    floats = [c for c in values if isinstance(kinds[c], (DoubleType, FloatType))]
+    if not (tolerance and floats):
+        return rows.where((F.col("side") != "both") | (F.size("columns") > 0))
+    rows = materialise(rows, "compare")
+    again = rows.where("side = 'repeated'").select(*keys)
+    if again.isEmpty():
+        return rows.where((F.col("side") != "both") | (F.size("columns") > 0))
+    bad = _unpaired(a, b, again, keys, [c for c in values if c not in floats], floats, tolerance)
+    once = rows.where("side <> 'repeated' and (side <> 'both' or size(columns) > 0)")
+    return once.unionByName(rows.where("side = 'repeated'").join(_renamed(bad, keys), _same(keys), "left_semi"))
+
+
+def _renamed(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+
+
+def _same(keys: list[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+
+
+def _unpaired(a: DataFrame, b: DataFrame, only: DataFrame, keys: list[str], exact: list[str], floats: list[str], tolerance: float) -> DataFrame:
+    """The ``only`` keys with a row that has no partner on the other side: equal but for its floats, which are within the tolerance.
+
+    Rows that agree in key and exact columns are sorted by their floats on each side, and the n-th are partners: no row
+    meets more than one. For one float column no other pairing is better; several are sorted in their order.
+    """
+    rows = a.select("*", F.lit(True).alias("__left")).unionByName(b.select("*", F.lit(False).alias("__left")))
+    rows = rows.join(_renamed(only, keys), _same(keys), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*keys, *exact, "__left").orderBy(*floats))
+    of = lambda own, c: F.max(F.when(F.col("__left") == own, F.col(c)))
+    pairs = rows.withColumn("__nth", nth).groupBy(*keys, *exact, "__nth").agg(F.count(F.lit(1)).alias("__n"), *[of(own, c).alias(f"{p}{i}") for own, p in ((True, "__l"), (False, "__r")) for i, c in enumerate(floats)])
+    off = reduce(Column.__or__, [_differs(F.col(f"__l{i}"), F.col(f"__r{i}"), DoubleType(), tolerance) for i in range(len(floats))])
+    return pairs.where((F.col("__n") < 2) | off).select(*keys).distinct()
 
 
 def compare_positions(left: DataFrame, right: DataFrame, order: list[str], exclude: tuple | list = (), tolerance: float | None = 0.01) -> DataFrame:

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .assess import issue_diff
+from .canonical import fingerprint
 from .graph import folded, levels, reachable, settle, table_graph
 
 
@@ -23,43 +25,68 @@ def downstream_impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return reachable(edges, changed)
 
 
+#: What a table's context says of each upstream.
+_UPSTREAM = StructType([StructField(c, StringType()) for c in ("upstream_table_id", "upstream_semantic_context_fingerprint", "upstream_resolved_mode")])
+UPSTREAM = _UPSTREAM.simpleString()
+_CONTEXT = StructType([StructField("affected_upstreams", ArrayType(_UPSTREAM)), StructField("fingerprint_version", IntegerType()), StructField("local_change_fingerprint", StringType())])
+
+
 def context_fingerprint(local, upstream):
-    """sha-256 of a local fingerprint and the sorted (name, fingerprint, mode) structs of its upstreams."""
-    return F.sha2(F.concat_ws("|", local, F.array_join(F.transform(F.array_sort(upstream), lambda u: F.concat_ws(":", u["name"], u["fingerprint"], u["mode"])), ",")), 256)
+    """The hash of the canonical JSON of a local fingerprint and the sorted UPSTREAM structs of its upstreams."""
+    return fingerprint(F.struct(F.array_sort(upstream).alias("affected_upstreams"), F.lit(1).alias("fingerprint_version"), local.alias("local_change_fingerprint")), _CONTEXT)
+
+
+def newest_declarations(history: DataFrame) -> DataFrame:
+    """table_id, context and the mode and run_id of the newest run (by at, then run_id) that declared a valid mode for them; history: table_id,
+    context, mode, run_id, at."""
+    rows = history.where("table_id is not null and context is not null and mode in ('equivalent', 'changed', 'unknown')")
+    last = rows.groupBy("table_id", "context").agg(F.max_by(F.struct("mode", "run_id"), F.struct("at", "run_id")).alias("last"))
+    return last.select("table_id", "context", F.col("last.mode").alias("past_mode"), F.col("last.run_id").alias("past_run"))
 
 
-def resolve_modes(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """table_name, mode, source and fingerprint of each table; facts: table_name, local_fingerprint, automatic_mode,
-    declared_mode, declared_context (the fingerprint that a declaration was made for; null: made now).
+def resolve_modes(facts: DataFrame, edges: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """table_name, mode, source, fingerprint and run_id (of a declaration from history) of each table; facts: table_name, local_fingerprint, automatic_mode,
+    declared_mode, declared_context (the fingerprint that a declaration was made for; null: made now), and table_id where
+    it isn't the name; history: as of ``newest_declarations``.
 
-    By levels of the graph: a declaration holds if it is new (user) or its context is still the same (inherited_user);
-    else a table below a changed or unknown one is unknown (upstream_propagation), else it is what was shown
+    By levels of the graph: a declaration holds if it is new (user) or its context is still the same (inherited_user); a table
+    without one takes the newest of an earlier run over that was made for the same table and context (inherited_user); else a
+    table below a changed or unknown one is unknown (upstream_propagation), else it is what was shown
     automatically if that is equivalent (automatic), else unknown (default_unknown).
     """
+    if "table_id" not in facts.columns:
+        facts = facts.withColumn("table_id", F.lower(F.trim("table_name")))
     facts = settle(folded(facts, "table_name"))
+    spark = facts.sparkSession
+    past = spark.createDataFrame([], "table_id string, context string, past_mode string, past_run string") if history is None else settle(newest_declarations(history))
     known = facts.select(F.col("table_name").alias("node"))
     e = table_graph(edges).join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
     e = settle(e)
     of_level = settle(levels(known, e))
+    none = F.array().cast(f"array<{UPSTREAM}>")
     done, k = None, 0
     while True:
         here = facts.join(of_level.where(F.col("level") == k).select(F.col("node").alias("table_name")), "table_name")
         if done is None:
-            ups = here.select("table_name").where("false").withColumn("ups", F.array().cast("array<struct<name:string,fingerprint:string,mode:string>>"))
+            ups = here.select("table_name").where("false").withColumn("ups", none)
         else:
             met = e.join(done.withColumnRenamed("table_name", "src"), "src")
-            ups = met.groupBy(F.col("dst").alias("table_name")).agg(F.collect_list(F.struct(F.col("src").alias("name"), "fingerprint", "mode")).alias("ups"))
-        rows = here.join(ups, "table_name", "left").withColumn("ups", F.coalesce("ups", F.array().cast("array<struct<name:string,fingerprint:string,mode:string>>")))
+            one = F.struct(F.col("table_id").alias("upstream_table_id"), F.col("fingerprint").alias("upstream_semantic_context_fingerprint"), F.col("mode").alias("upstream_resolved_mode"))
+            ups = met.groupBy(F.col("dst").alias("table_name")).agg(F.collect_list(one).alias("ups"))
+        rows = here.join(ups, "table_name", "left").withColumn("ups", F.coalesce("ups", none))
         rows = rows.withColumn("fingerprint", context_fingerprint(F.col("local_fingerprint"), F.col("ups")))
-        fresh = F.col("declared_mode").isNotNull() & F.col("declared_context").isNull()
-        kept = F.col("declared_mode").isNotNull() & (F.col("declared_context") == F.col("fingerprint"))
-        risky = F.exists("ups", lambda u: u["mode"].isin("changed", "unknown"))
+        rows = rows.join(past.withColumnRenamed("context", "fingerprint"), ["table_id", "fingerprint"], "left")
+        declared = F.col("declared_mode").isNotNull()
+        fresh = declared & F.col("declared_context").isNull()
+        kept = declared & (F.col("declared_context") == F.col("fingerprint"))
+        found = ~declared & F.col("past_mode").isNotNull()
+        risky = F.exists("ups", lambda u: u["upstream_resolved_mode"].isin("changed", "unknown"))
         same = F.coalesce(F.col("automatic_mode") == "equivalent", F.lit(False))
-        source = F.when(fresh, "user").when(kept, "inherited_user").when(risky, "upstream_propagation").when(same, "automatic").otherwise("default_unknown")
-        mode = F.when(fresh | kept, F.col("declared_mode")).when(risky, "unknown").when(same, "equivalent").otherwise("unknown")
-        now = settle(rows.select("table_name", mode.alias("mode"), source.alias("source"), "fingerprint"))
+        source = F.when(fresh, "user").when(kept | found, "inherited_user").when(risky, "upstream_propagation").when(same, "automatic").otherwise("default_unknown")
+        mode = F.when(fresh | kept, F.col("declared_mode")).when(found, F.col("past_mode")).when(risky, "unknown").when(same, "equivalent").otherwise("unknown")
+        now = settle(rows.select("table_name", "table_id", mode.alias("mode"), source.alias("source"), "fingerprint", F.when(found, F.col("past_run")).alias("run_id")))
         if now.isEmpty():
-            return now if done is None else done
+            return (now if done is None else done).drop("table_id")
         done = now if done is None else done.unionByName(now)
         k += 1
 

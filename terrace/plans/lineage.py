@@ -196,7 +196,7 @@ def _facts(spark, d):
 
 
 def semantic_modes(spark, d):
-    return verify.resolve_modes(_facts(spark, d), edges_of(spark, d)).select("table_name", "mode", "source", (F.length("fingerprint") == 64).alias("hashed"))
+    return verify.resolve_modes(_facts(spark, d), edges_of(spark, d)).select("table_name", "mode", "source", F.col("fingerprint").rlike("^sha256:[0-9a-f]{64}$").alias("hashed"))
 
 
 def validation_boundaries(spark, d):

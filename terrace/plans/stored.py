@@ -9,52 +9,50 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..operators import assess, etl, periods, schema, verify
 from ..operators.shared import new_path
+from ..operators.stored import StoredTable
 from ..sources import snapshot
 from .lineage import EDGES_SQL, edges_of, models_of
 from .sales import _D, table
 
 
 def _days(spark, d):
-    o = table(spark, d, "orders").where(F.col("o_orderdate") < F.lit("1995-03-01").cast("timestamp_ntz"))
-    return o.groupBy(F.to_date("o_orderdate").alias("stat_date"), "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum(money("o_totalprice")).cast("double").alias("amount"))
+    return table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("stat_date"), "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum(money("o_totalprice")).cast("double").alias("amount"))
 
 
 def slice_rewrite(spark, d):
-    """A daily table is filled; then one month's slices are computed again, twice, with doubled amounts."""
-    path, days = new_path(spark, "slices"), _days(spark, d)
-    etl.refresh(days, path, "stat_date", True)
-    again = days.where("stat_date >= '1995-01-01' and stat_date < '1995-02-01'").withColumn("amount", F.col("amount") * 2)
+    """A daily table is filled in slices of a month; then one of them is computed again, twice, with doubled amounts."""
+    path, days = new_path(spark, "slices"), _days(spark, d).withColumn("month", F.trunc("stat_date", "month"))
+    etl.refresh(days, path, "month", True)
+    again = days.where("month = '1995-01-01'").withColumn("amount", F.col("amount") * 2)
     for _ in range(2):
-        etl.refresh(again, path, "stat_date", False)
-    return spark.read.schema("o_orderstatus string, orders long, amount double, stat_date date").parquet(path)
+        etl.refresh(again, path, "month", False)
+    return spark.read.schema("stat_date date, o_orderstatus string, orders long, amount double, month date").parquet(path)
 
 
 def full_refresh_of_itself(spark, d):
     """A stored table is replaced by one computed from it."""
-    path = new_path(spark, "refresh")
-    etl.full_refresh(_days(spark, d), path)
-    stored = spark.read.parquet(path)
-    etl.full_refresh(stored.where("orders > 1").withColumn("orders", F.col("orders") + 1), path)
-    return spark.read.parquet(path)
+    kept = StoredTable(spark, new_path(spark, "refresh"))
+    kept.replace_all({"days": _days(spark, d)})
+    kept.replace_all({"days": kept.read().where("orders > 1").withColumn("orders", F.col("orders") + 1)})
+    return kept.read()
 
 
 def append_aligned(spark, d):
     path, o = new_path(spark, "append"), table(spark, d, "orders")
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
-    etl.append_aligned(o.where("o_orderkey % 3 = 0").select("o_orderstatus", "o_custkey", "o_orderkey"), path, columns)
-    etl.append_aligned(o.where("o_orderkey % 3 = 1").select(F.col("o_custkey").alias("O_CUSTKEY"), "o_orderkey"), path, columns)
+    etl.append_aligned(o.where("o_orderkey % 3 = 0").select("o_orderstatus", "o_custkey", "o_orderkey", "o_totalprice"), path, o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").schema)
+    etl.append_aligned(o.where("o_orderkey % 3 = 1").select(F.col("o_custkey").alias("O_CUSTKEY"), "o_orderkey"), path)
+    etl.append_aligned(o.where("o_orderkey % 3 = 2").select(F.col("o_orderkey").cast("int").alias("o_orderkey"), "o_totalprice"), path)
     return spark.read.parquet(path)
 
 
 def odd_even_rewrite(spark, d):
     """Two writers own the odd and the even customers of one stored table; the odd one runs again with other rows."""
-    path = new_path(spark, "owned")
+    kept = StoredTable(spark, new_path(spark, "owned"))
     c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    etl.full_refresh(c, path)
-    fresh = c.where("c_custkey % 6 <> 3").withColumn("c_mktsegment", F.lower("c_mktsegment"))
+    kept.replace_all({"odd": c.where("c_custkey % 2 = 1"), "even": c.where("c_custkey % 2 = 0")})
     for _ in range(2):
-        etl.rewrite_owned(spark, path, fresh, F.col("c_custkey") % 2 == 1)
-    return spark.read.parquet(path)
+        kept.replace(c.where("c_custkey % 6 in (1, 5)").withColumn("c_mktsegment", F.lower("c_mktsegment")), "odd")
+    return kept.read()
 
 
 def prefilled_scope(spark, d):
@@ -294,7 +292,7 @@ QUERIES = {f.__name__: f for f in (
     refresh_switch, truth_tests, enumerated_periods, rolling_months, day_gaps, discovered_dates, windows_along_edges, table_diff, column_renames, id_problems, proven_renames, dimension_scores, weights_with_overrides,
     numbered_issues, scoped_checks, asset_catalog, column_validation, layer_resolution, related_entities, process_catalogue, changed_assets, renamed_issues, snapshot_problems, snapshot_import, snapshot_store, pending_tasks)}
 
-_DAYS = f"""days AS (SELECT o_orderdate::DATE AS stat_date, o_orderstatus, count(*) AS orders, sum(o_totalprice::{_D})::DOUBLE AS amount FROM orders WHERE o_orderdate < TIMESTAMP '1995-03-01' GROUP BY 1, 2)"""
+_DAYS = f"""days AS (SELECT o_orderdate::DATE AS stat_date, o_orderstatus, count(*) AS orders, sum(o_totalprice::{_D})::DOUBLE AS amount FROM orders GROUP BY 1, 2)"""
 _CHECKS = """c AS (SELECT ['naming', 'asset_completeness', 'metadata_health'][p_partkey % 3 + 1] AS dimension, 'rule_' || p_size AS rule, ['ods', 'DWD', 'dws'][p_partkey % 3 + 1] || '_t' || (p_partkey % 45) AS target,
         p_size % 4 <> 1 AS passed, CASE WHEN p_partkey % 3 = 0 THEN p_size % 3 END AS score_passed, CASE WHEN p_partkey % 3 = 0 THEN 3 END AS score_total FROM part)"""
 _E = f"WITH RECURSIVE {EDGES_SQL}"
@@ -305,9 +303,10 @@ _PERIODS = f"""w AS (SELECT o_orderkey, ['H', 'D', 'W', 'M'][(o_orderkey // 40 %
 _SNAP = """sn AS (SELECT *, CASE WHEN job LIKE '%1' THEN 'p1' ELSE 'p2' END AS project, lower(src) AS s, lower(dst) AS d FROM e), nm AS (SELECT project, s AS name FROM sn UNION SELECT project, d FROM sn),
     tb AS (SELECT * FROM nm WHERE name NOT LIKE '%9'), se AS (SELECT DISTINCT project, job, s, src_column, d, CASE WHEN dst_column <> 'c0' THEN dst_column END AS dst_column FROM sn)"""
 ORACLE_SQL = {
-    "slice_rewrite": f"WITH {_DAYS} SELECT o_orderstatus, orders, CASE WHEN stat_date >= DATE '1995-01-01' AND stat_date < DATE '1995-02-01' THEN amount * 2 ELSE amount END AS amount, stat_date FROM days",
+    "slice_rewrite": f"WITH {_DAYS} SELECT o_orderstatus, orders, CASE WHEN stat_date >= DATE '1995-01-01' AND stat_date < DATE '1995-02-01' THEN amount * 2 ELSE amount END AS amount, stat_date, date_trunc('month', stat_date)::DATE AS month FROM days",
     "full_refresh_of_itself": f"WITH {_DAYS} SELECT stat_date, o_orderstatus, orders + 1 AS orders, amount FROM days WHERE orders > 1",
-    "append_aligned": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 3 < 2",
+    "append_aligned": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_custkey END AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS o_orderstatus,
+        CASE WHEN o_orderkey % 3 <> 1 THEN o_totalprice END AS o_totalprice FROM orders""",
     "odd_even_rewrite": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 6 <> 3",
     "prefilled_scope": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-02-01'",
     "role_dimensions": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, o_custkey, c_nationkey, s_nationkey, a.n_name AS customer_n_name, b.n_name AS supplier_n_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
@@ -359,10 +358,12 @@ ORACLE_SQL = {
         SELECT path, CASE WHEN k % 3 = 0 THEN CASE k % 5 WHEN 0 THEN 'ddl' WHEN 1 THEN 'task' ELSE 'other' END WHEN k % 5 = 2 THEN 'model' ELSE 'config' END AS kind, k::VARCHAR AS asset FROM p""",
     "renamed_issues": f"""WITH {_CHECKS}, u AS (SELECT DISTINCT lower(target) AS t, rule FROM c WHERE NOT passed)
         SELECT CASE WHEN t LIKE '%1' THEN 'new_' ELSE '' END || t || '|' || rule AS fingerprint, CASE WHEN rule LIKE '%3' THEN 'fixed' ELSE 'remaining' END AS state FROM u""",
-    "snapshot_problems": f"""{_E}, {_SNAP} SELECT DISTINCT project, 'edge' AS kind, s AS name, 'unknown table' AS problem FROM sn WHERE s LIKE '%9' UNION ALL SELECT DISTINCT project, 'edge', d, 'unknown table' FROM sn WHERE d LIKE '%9'
+    "snapshot_problems": f"""{_E}, {_SNAP}, js AS (SELECT DISTINCT o.project, o.job AS a, i.job AS b FROM sn o JOIN sn i ON i.project = o.project AND i.s = o.d WHERE o.job <> i.job), jr AS (SELECT * FROM js UNION SELECT jr.project, jr.a, js.b FROM jr JOIN js ON js.project = jr.project AND js.a = jr.b)
+        SELECT DISTINCT project, 'edge' AS kind, s AS name, 'unknown table' AS problem FROM sn WHERE s LIKE '%9' UNION ALL SELECT DISTINCT project, 'edge', d, 'unknown table' FROM sn WHERE d LIKE '%9'
         UNION ALL SELECT DISTINCT project, 'edge', s || '.' || src_column, 'unknown column' FROM se WHERE s NOT LIKE '%9' AND src_column NOT IN ('c0', 'c1')
         UNION ALL SELECT DISTINCT project, 'edge', d || coalesce('.' || dst_column, ''), 'unknown column' FROM se WHERE d NOT LIKE '%9' AND coalesce(dst_column, '') NOT IN ('c0', 'c1')
-        UNION ALL SELECT DISTINCT project, 'job', s, 'unknown table in inputs' FROM sn WHERE s LIKE '%9' UNION ALL SELECT DISTINCT project, 'job', d, 'unknown table in outputs' FROM sn WHERE d LIKE '%9'""",
+        UNION ALL SELECT DISTINCT project, 'job', s, 'unknown table in inputs' FROM sn WHERE s LIKE '%9' UNION ALL SELECT DISTINCT project, 'job', d, 'unknown table in outputs' FROM sn WHERE d LIKE '%9'
+        UNION ALL SELECT project, 'job', a, 'in the cycle of ' || least(a, min(b)) FROM (SELECT x.project, x.a, x.b FROM jr x JOIN jr y ON y.project = x.project AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b) GROUP BY project, a""",
     "snapshot_import": f"""{_E}, {_SNAP} SELECT project, 'imported' AS what, count(*) AS n FROM se WHERE dst_column IS NOT NULL GROUP BY 1 UNION ALL SELECT project, 'no target', count(*) FROM sn WHERE dst_column = 'c0' GROUP BY 1""",
     "snapshot_store": f"""{_E}, {_SNAP} SELECT project, name, upper(name[1:3]) AS layer, 'c0,C1' AS columns, CASE project WHEN 'p1' THEN 'v2' ELSE 'v1' END AS snapshot_id FROM tb WHERE project = 'p2' OR name NOT LIKE 'ods%'""",
     "pending_tasks": "SELECT c_name AS task, sha256(c_mktsegment || chr(31) || 's' || chr(31) || '' || chr(31) || '1') AS key FROM customer WHERE c_mktsegment NOT LIKE 'B%'",

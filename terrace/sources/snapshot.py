@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.cycles import components
 from ..operators.graph import folded, levels
 from ..operators.shared import materialise
 
@@ -15,12 +17,24 @@ FORM = """project string, tables array<struct<name:string,layer:string,columns:a
     jobs array<struct<name:string,inputs:array<string>,outputs:array<string>>>,
     edges array<struct<job:string,src:string,src_column:string,dst:string,dst_column:string,condition_type:string>>"""
 KINDS = ("tables", "jobs", "edges")
+#: Stands between a project and a name where both are one text.
+_APART = "\x1f"
+
+
+def _stored(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A stored kind with project and id as the texts that they are: guessed types would make 42 of 0042."""
+    row = StructType.fromDDL(FORM)[kind].dataType.elementType
+    return spark.read.schema(StructType([*row, StructField("project", StringType()), StructField("snapshot_id", StringType())])).parquet(f"{path}/{kind}")
 
 
 def read_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """tables, jobs and edges, each with its project, of the JSON files under ``path`` (one object a file)."""
-    top = spark.read.schema(FORM).option("multiLine", True).json(path)
-    return {k: top.select("project", F.explode(k).alias("row")).select("project", "row.*") for k in KINDS}
+    """tables, jobs and edges, each with its project, of the JSON files under ``path`` (one object a file), and broken: the file
+    and text of each one that isn't JSON of this form, for ``validate_snapshot`` to report."""
+    read = spark.read.schema(f"{FORM}, __broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "__broken")
+    top = read.json(path).withColumn("file", F.input_file_name())
+    whole = top.where("__broken is null")
+    out = {k: whole.select("project", F.explode(k).alias("row")).select("project", "row.*") for k in KINDS}
+    return {**out, "broken": top.where("__broken is not null or project is null").select("file", F.substring("__broken", 1, 200).alias("text"))}
 
 
 def build_snapshot(parts: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
@@ -34,8 +48,9 @@ def build_snapshot(parts: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
 
 
 def validate_snapshot(snapshot: dict[str, DataFrame]) -> DataFrame:
-    """project, kind, name and problem of what doesn't hold: names present and once, edges and jobs refer to known tables
-    and jobs, edges to known columns."""
+    """project, kind, name and problem of what doesn't hold: files are readable, names present and once, edges and jobs refer to
+    known tables and jobs, edges to known columns, no table and no job depends on itself over others (each member is named, with the
+    least member of its cycle)."""
     tables, jobs, edges = (snapshot[k] for k in KINDS)
     t, j = folded(tables, "name"), folded(jobs, "name")
     e = folded(edges, "job", "src", "src_column", "dst", "dst_column")
@@ -55,11 +70,29 @@ def validate_snapshot(snapshot: dict[str, DataFrame]) -> DataFrame:
     for side in ("inputs", "outputs"):
         uses = j.select("project", F.explode(F.transform(side, F.lower)).alias("name")).distinct()
         found.append(row(uses.join(known, ["project", "name"], "left_anti"), "job", "name", f"unknown table in {side}"))
+    found.append(cycle_problems(snapshot))
+    if "broken" in snapshot:
+        found.append(snapshot["broken"].select(F.lit(None).cast("string").alias("project"), F.lit("file").alias("kind"), F.element_at(F.split("file", "/"), -1).alias("name"), F.lit("not a snapshot").alias("problem")))
     return reduce(DataFrame.unionByName, found)
 
 
+def cycle_problems(snapshot: dict[str, DataFrame]) -> DataFrame:
+    """project, kind, name and problem of every table and job that lies on a cycle; one graph holds all projects."""
+    e, jobs = snapshot["edges"], folded(snapshot["jobs"], "name")
+    uses = lambda side: jobs.select("project", "name", F.explode(F.transform(side, F.lower)).alias("table_name"))
+    steps = uses("outputs").withColumnRenamed("name", "src").join(uses("inputs").withColumnRenamed("name", "dst"), ["project", "table_name"])
+    in_project = lambda c: F.concat_ws(_APART, F.lower("project"), c)
+    found = []
+    for kind, df in (("table", e), ("job", steps)):
+        on = components(df.select(in_project("src").alias("src"), in_project("dst").alias("dst"))).withColumn("key", F.substring_index("node", _APART, 1))
+        names = df.select("project").distinct().withColumn("key", F.lower("project"))
+        own = lambda c: F.substring_index(c, _APART, -1)
+        found.append(on.join(names, "key").select("project", F.lit(kind).alias("kind"), own("node").alias("name"), F.concat(F.lit("in the cycle of "), own("component")).alias("problem")))
+    return found[0].unionByName(found[1])
+
+
 def check_acyclic(snapshot: dict[str, DataFrame]) -> None:
-    """Raises an error if the tables' edges have a cycle."""
+    """Raises an error that names them if the tables' edges have a cycle."""
     e = snapshot["edges"]
     levels(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), e)
 
@@ -86,7 +119,7 @@ def count_problems(snapshot: dict[str, DataFrame], spark: SparkSession, path: st
     """kind, expected and stored where a stored snapshot has other numbers of rows than ``snapshot``."""
     one = lambda df, kind, to: df.agg(F.count(F.lit(1)).alias(to)).withColumn("kind", F.lit(kind))
     want = reduce(DataFrame.unionByName, [one(snapshot[k], k, "expected") for k in KINDS])
-    have = reduce(DataFrame.unionByName, [one(spark.read.parquet(f"{path}/{k}").where(F.col("snapshot_id").cast("string") == snapshot_id), k, "stored") for k in KINDS])
+    have = reduce(DataFrame.unionByName, [one(_stored(spark, path, k).where(F.col("snapshot_id") == snapshot_id), k, "stored") for k in KINDS])
     return want.join(have, "kind").where("expected <> stored").select("kind", "expected", "stored")
 
 
@@ -106,7 +139,7 @@ def active_snapshots(spark: SparkSession, path: str) -> DataFrame:
 def load_active(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The rows of ``kind`` of each project's active snapshot; the few pairs of project and id prune the scan's partitions."""
     live = F.broadcast(active_snapshots(spark, path))  # a row for each project
-    return spark.read.parquet(f"{path}/{kind}").withColumn("snapshot_id", F.col("snapshot_id").cast("string")).join(live, ["project", "snapshot_id"], "left_semi")
+    return _stored(spark, path, kind).join(live, ["project", "snapshot_id"], "left_semi")
 
 
 def pending_tasks(tasks: DataFrame, done: DataFrame, version: str) -> DataFrame:
