@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cycles import condensed
@@ -62,14 +62,18 @@ def dimension_scores(checks: DataFrame, dimensions: list[str]) -> DataFrame:
     return rows.withColumn("score", F.coalesce(F.round(F.col("passed") * 100.0 / F.nullif("total", F.lit(0)), 1), F.lit(100.0)).cast("double"))
 
 
-def weights(spark: SparkSession, overrides: dict[str, float] | None = None) -> DataFrame:
-    """dimension and weight: the fixed weights, some replaced by ``overrides``, to a sum of 1; unknown names are ignored."""
-    merged = {**WEIGHTS, **{k: v for k, v in (overrides or {}).items() if k in WEIGHTS}}
-    wrong = {k: v for k, v in merged.items() if v is None or v < 0}
-    if wrong or sum(merged.values()) <= 0:
-        raise ValueError(f"weights must be 0 or more, and not all 0: {wrong or merged}")
-    total = sum(merged.values())
-    return spark.createDataFrame([(k, round(v / total, 6)) for k, v in merged.items()], "dimension string, weight double")
+def weights(overrides: DataFrame) -> DataFrame:
+    """project, dimension and weight of every dimension: the fixed weights, those aside that the project overrides, to a sum of 1;
+    overrides: project, dimension, weight (unknown dimensions are ignored; null: as fixed). A negative weight, or a project without any
+    weight above 0, is an error."""
+    spark = overrides.sparkSession
+    fixed = spark.createDataFrame(list(WEIGHTS.items()), "dimension string, fixed double")
+    own = overrides.groupBy("project", "dimension").agg(F.max("weight").cast("double").alias("own"))
+    every = overrides.select("project").distinct().withColumn("fixed", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.lit(v).alias("fixed")) for k, v in WEIGHTS.items()]))).select("project", "fixed.*")
+    rows = every.join(own.join(F.broadcast(fixed.select("dimension")), "dimension", "left_semi"), ["project", "dimension"], "left").withColumn("weight", F.coalesce("own", "fixed"))
+    total = F.sum("weight").over(Window.partitionBy("project"))  # a row for each dimension
+    checked = F.when((F.min("weight").over(Window.partitionBy("project")) < 0) | (total <= 0), F.raise_error(F.lit("weights must be 0 or more, and not all 0")).cast("double")).otherwise(F.col("weight") / total)
+    return rows.select("project", "dimension", F.round(checked, 6).alias("weight"))
 
 
 def numbered_issues(checks: DataFrame) -> DataFrame:

@@ -123,9 +123,10 @@ def one_per_key(df: DataFrame, keys: list[str], largest: list[str]) -> DataFrame
     return df.groupBy(*keys).agg(*[F.max(c).alias(c) for c in largest])
 
 
-def date_spine(spark, start: str, days: int) -> DataFrame:
-    """One row a day with calendar fields."""
-    d = spark.range(days).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))
+def date_spine(days: DataFrame, day: str = "day") -> DataFrame:
+    """One row for each day from the first to the last of ``days`` with calendar fields."""
+    ends = days.agg(F.min(F.to_date(day)).alias("a"), F.max(F.to_date(day)).alias("b")).where("a is not null")
+    d = ends.select(F.explode(F.sequence("a", "b")).alias("day"))
     return d.select(
         "day",
         F.year("day").alias("year"),

@@ -10,7 +10,7 @@ from .stored import _START
 
 
 def _name(n):
-    prefix = F.when(n < 6, "ads").when(n < 40, "dws").when(n < 200, F.when(n % 3 == 0, "dim").otherwise("dwd")).otherwise("ods")
+    prefix = F.when(n < 6, "ads").when((n < 200) & (n % 3 == 0), "dim").when(n < 40, "dws").when(n < 200, "dwd").otherwise("ods")
     return F.concat(prefix, F.lit("_n"), n.cast("string"))
 
 
@@ -109,7 +109,7 @@ def row_compare_tolerance(spark, d):
 
 QUERIES = {f.__name__: f for f in (network_cycle_members, network_middle_depth, network_dependency_classes, network_windows, network_execution_values, network_compare_scopes, declaration_history, canonical_rows, row_compare_tolerance)}
 
-_N = "(CASE WHEN {0} < 6 THEN 'ads' WHEN {0} < 40 THEN 'dws' WHEN {0} < 200 THEN CASE WHEN {0} % 3 = 0 THEN 'dim' ELSE 'dwd' END ELSE 'ods' END || '_n' || {0})"
+_N = "(CASE WHEN {0} < 6 THEN 'ads' WHEN {0} < 200 AND {0} % 3 = 0 THEN 'dim' WHEN {0} < 40 THEN 'dws' WHEN {0} < 200 THEN 'dwd' ELSE 'ods' END || '_n' || {0})"
 _G = """WITH RECURSIVE ab AS (SELECT c_custkey AS a, c_custkey // 3 AS b FROM customer UNION SELECT o_custkey, o_custkey // 2 - o_orderkey % 2 FROM orders WHERE o_custkey // 2 - o_orderkey % 2 BETWEEN 0 AND o_custkey - 1),
     v AS (SELECT a AS n FROM ab UNION SELECT b FROM ab)"""
 # on numbers: cy the cyclic edges, re who reaches whom over a cycle's edges alone, sc the least name of each table's cycle

@@ -113,7 +113,7 @@ def odd_even_multi_writer(spark, d):
 
 
 def date_spine(spark, d):
-    return etl.date_spine(spark, "2023-01-01", 1096)
+    return etl.date_spine(table(spark, d, "orders"), "o_orderdate")
 
 
 def surrogate_keys(spark, d):
@@ -210,7 +210,7 @@ ORACLE_SQL = {
     "date_spine": """
         SELECT day, year(day)::INT AS year, quarter(day)::INT AS quarter, month(day)::INT AS month, week(day)::INT AS week, dayofyear(day)::INT AS day_of_year, (dayofweek(day) + 1)::INT AS day_of_week, dayname(day) AS day_name, monthname(day) AS month_name,
                dayofweek(day) IN (0, 6) AS is_weekend, date_trunc('month', day)::DATE AS month_start, last_day(day) AS month_end, day AS made_date
-        FROM (SELECT unnest(generate_series(DATE '2023-01-01', DATE '2023-01-01' + 1095, INTERVAL 1 DAY))::DATE AS day)""",
+        FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS day FROM orders)""",
     "surrogate_keys": """
         SELECT c_custkey, md5(concat_ws('||', coalesce(c_custkey::VARCHAR, '_null_'), coalesce(c_name, '_null_'), coalesce(c_mktsegment, '_null_'))) AS customer_sk, sha256(c_name) AS name_hash FROM customer""",
     "text_clean": "SELECT p_partkey, upper(trim(p_name)) AS name, lower(p_brand) AS brand, regexp_replace(p_type, '[^A-Za-z]', '', 'g') AS type_letters FROM part",

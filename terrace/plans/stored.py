@@ -110,8 +110,8 @@ def truth_tests(spark, d):
 
 
 def _windows(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 40 = 0")
-    period = F.element_at(F.array(*[F.lit(x) for x in "HDWM"]), (F.col("o_orderkey") / 40 % 4).cast("int") + 1)
+    o = table(spark, d, "orders")
+    period = F.element_at(F.array(*[F.lit(x) for x in "HDWM"]), (F.col("o_orderkey") % 4).cast("int") + 1)
     start = F.col("o_orderdate").cast("timestamp_ntz")
     length = F.when(period == "H", F.expr("interval 5 hours")).when(period == "M", F.expr("interval 70 days")).otherwise(F.expr("interval 20 days"))
     return o.select("o_orderkey", period.alias("period"), start.alias("start"), (start + length).alias("end"))
@@ -122,7 +122,7 @@ def enumerated_periods(spark, d):
 
 
 def rolling_months(spark, d):
-    ends = table(spark, d, "orders").where("o_orderkey % 60 = 0").select(F.to_date("o_orderdate").alias("end_day"))
+    ends = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("end_day"))
     return periods.rolling_months(ends.union(ends), "end_day", 3).groupBy("end_day").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("days"))
 
 
@@ -146,8 +146,8 @@ def windows_along_edges(spark, d):
 
 
 def _schemas(spark, d):
-    """Two versions of 60 tables made from parts: some keep their id, some have none, some columns change."""
-    p = table(spark, d, "part").where("p_partkey < 240").select((F.col("p_partkey") % 60).alias("t"), F.floor(F.col("p_partkey") / 60).cast("int").alias("c"), F.col("p_brand").alias("data_type"))
+    """Two versions of tables of four parts each: some keep their id, some have none, some columns change."""
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 4).cast("long").alias("t"), (F.col("p_partkey") % 4).cast("int").alias("c"), F.col("p_brand").alias("data_type"))
     ident = F.when(F.col("t") % 3 != 0, F.concat(F.lit("id"), F.col("t").cast("string")))
     tables = p.select("t").distinct().withColumn("table_id", ident)
     old_name, new_name = F.concat(F.lit("t"), F.col("t").cast("string")), F.concat(F.when(F.col("t") % 4 == 0, F.lit("n")).otherwise(F.lit("t")), F.col("t").cast("string"))
@@ -162,7 +162,7 @@ def table_diff(spark, d):
 
 
 def column_renames(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 400").select(F.concat(F.lit("t"), (F.col("p_partkey") % 40).cast("string")).alias("table_name"), F.col("p_partkey").cast("int").alias("position"), F.col("p_partkey").cast("string").alias("k"))
+    p = table(spark, d, "part").select(F.concat(F.lit("t"), F.floor(F.col("p_partkey") / 10).cast("string")).alias("table_name"), F.col("p_partkey").cast("int").alias("position"), F.col("p_partkey").cast("string").alias("k"))
     rows = lambda name: p.select("table_name", name.alias("name"), "position", F.lit("int").alias("data_type"), F.lit(True).alias("nullable"), F.lit(None).cast("string").alias("default_value"), F.lit(None).cast("string").alias("comment"))
     new = F.when(F.col("position") % 3 != 0, F.concat(F.lit("quantity_a"), "k")).otherwise(F.concat(F.lit("zz"), "k"))
     return schema.column_renames(rows(F.concat(F.lit("a"), "k", F.lit("_QTY"))), rows(new))
@@ -193,7 +193,9 @@ def dimension_scores(spark, d):
 
 
 def weights_with_overrides(spark, d):
-    return assess.weights(spark, {"reuse": 0.5, "depth": 0, "other": 9})
+    """A project for each part size, which sets some weights itself."""
+    p = table(spark, d, "part").select(F.col("p_size").alias("project"), F.element_at(F.array(*[F.lit(x) for x in ("reuse", "depth", "other")]), (F.col("p_size") % 3).cast("int") + 1).alias("dimension"), F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 10 / 10.0).alias("weight"))
+    return assess.weights(p)
 
 
 def numbered_issues(spark, d):
@@ -297,7 +299,7 @@ _CHECKS = """c AS (SELECT ['naming', 'asset_completeness', 'metadata_health'][p_
         p_size % 4 <> 1 AS passed, CASE WHEN p_partkey % 3 = 0 THEN p_size % 3 END AS score_passed, CASE WHEN p_partkey % 3 = 0 THEN 3 END AS score_total FROM part)"""
 _E = f"WITH RECURSIVE {EDGES_SQL}"
 _START = """CASE {p} WHEN 'H' THEN date_trunc('hour', {t}) WHEN 'D' THEN date_trunc('day', {t}) WHEN 'W' THEN date_trunc('week', {t}) ELSE date_trunc('month', {t}) END"""
-_PERIODS = f"""w AS (SELECT o_orderkey, ['H', 'D', 'W', 'M'][(o_orderkey // 40 % 4)::INT + 1] AS period, o_orderdate::TIMESTAMP AS s FROM orders WHERE o_orderkey % 40 = 0),
+_PERIODS = f"""w AS (SELECT o_orderkey, ['H', 'D', 'W', 'M'][(o_orderkey % 4)::INT + 1] AS period, o_orderdate::TIMESTAMP AS s FROM orders),
     x AS (SELECT *, s + CASE period WHEN 'H' THEN INTERVAL 5 HOUR WHEN 'M' THEN INTERVAL 70 DAY ELSE INTERVAL 20 DAY END - INTERVAL 1 MICROSECOND AS last FROM w),
     y AS (SELECT *, {_START.format(p='period', t='s')}::TIMESTAMP AS a, CASE period WHEN 'H' THEN INTERVAL 1 HOUR WHEN 'D' THEN INTERVAL 1 DAY WHEN 'W' THEN INTERVAL 7 DAY ELSE INTERVAL 1 MONTH END AS step FROM x)"""
 _SNAP = """sn AS (SELECT *, CASE WHEN job LIKE '%1' THEN 'p1' ELSE 'p2' END AS project, lower(src) AS s, lower(dst) AS d FROM e), nm AS (SELECT project, s AS name FROM sn UNION SELECT project, d FROM sn),
@@ -320,7 +322,7 @@ ORACLE_SQL = {
     "truth_tests": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN CASE WHEN o_orderkey % 7 = 0 AND o_orderstatus = 'F' THEN 'no' ELSE 'unknown' END WHEN o_orderkey % 7 = 0 THEN 'unknown' ELSE 'yes' END AS filled, o_orderdate::DATE AS day,
         date_sub('year', o_orderdate::DATE, DATE '2000-03-10')::INT AS years FROM orders""",
     "enumerated_periods": f"WITH {_PERIODS} SELECT o_orderkey, period, unnest(generate_series(a, last, step)) AS period_start FROM y",
-    "rolling_months": """WITH n AS (SELECT DISTINCT o_orderdate::DATE AS end_day FROM orders WHERE o_orderkey % 60 = 0), f AS (SELECT end_day, (end_day - INTERVAL 3 MONTH)::DATE AS first_day FROM n)
+    "rolling_months": """WITH n AS (SELECT DISTINCT o_orderdate::DATE AS end_day FROM orders), f AS (SELECT end_day, (end_day - INTERVAL 3 MONTH)::DATE AS first_day FROM n)
         SELECT end_day, first_day, date_diff('day', first_day, end_day) + 1 AS days FROM f""",
     "day_gaps": """WITH d AS (SELECT DISTINCT o_orderstatus, o_orderdate::DATE AS day FROM orders), n AS (SELECT *, date_diff('day', day, lead(day) OVER (PARTITION BY o_orderstatus ORDER BY day)) - 1 AS missing FROM d)
         SELECT o_orderstatus, day AS after, missing::INT AS missing FROM n WHERE missing > 0""",
@@ -330,17 +332,18 @@ ORACLE_SQL = {
         q AS (SELECT src, period, {_START.format(p='period', t='t')}::TIMESTAMP AS lo, {_START.format(p='period', t="(t + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND)")}::TIMESTAMP AS hi FROM p)
         SELECT src AS table_name, min(lo) AS start, max(hi + CASE period WHEN 'H' THEN INTERVAL 1 HOUR WHEN 'D' THEN INTERVAL 1 DAY WHEN 'W' THEN INTERVAL 7 DAY ELSE INTERVAL 1 MONTH END) AS "end" FROM q GROUP BY 1""",
     # by hand: names change where t % 4 = 0, ids are missing where t % 3 = 0, and column signatures name their table
-    "table_diff": """WITH t AS (SELECT DISTINCT p_partkey % 60 AS t FROM part WHERE p_partkey < 240), x AS (SELECT t, t % 10 <> 9 AS a, t % 10 <> 7 AS b, t % 4 = 0 AS moved, t % 5 = 1 AND t % 2 <> 9 AS rebuilt FROM t)
+    "table_diff": """WITH t AS (SELECT DISTINCT p_partkey // 4 AS t FROM part), x AS (SELECT t, t % 10 <> 9 AS a, t % 10 <> 7 AS b, t % 4 = 0 AS moved, t % 5 = 1 AND t % 2 <> 9 AS rebuilt FROM t)
         SELECT CASE WHEN a AND b THEN CASE WHEN rebuilt THEN 'rebuild' WHEN moved THEN 'rename' ELSE 'keep' END WHEN a THEN 'drop' ELSE 'create' END AS change, CASE WHEN a THEN 't' || t END AS old_name, CASE WHEN b THEN CASE WHEN moved THEN 'n' ELSE 't' END || t END AS new_name
         FROM x WHERE a OR b""",
-    "column_renames": "SELECT 't' || (p_partkey % 40) AS table_name, 'a' || p_partkey || '_QTY' AS old_name, 'quantity_a' || p_partkey AS new_name, 100 AS score FROM part WHERE p_partkey < 400 AND p_partkey % 3 <> 0",
+    "column_renames": "SELECT 't' || (p_partkey // 10) AS table_name, 'a' || p_partkey || '_QTY' AS old_name, 'quantity_a' || p_partkey AS new_name, 100 AS score FROM part WHERE p_partkey % 3 <> 0",
     "id_problems": """WITH x AS (SELECT c_custkey AS k, c_custkey - CASE WHEN c_custkey % 50 = 1 THEN 1 ELSE 0 END AS h FROM customer), y AS (SELECT *, CASE WHEN k % 20 = 0 THEN 'missing' WHEN k % 21 = 0 THEN 'form' END AS p FROM x)
         SELECT k % 3 AS project, k AS owner, coalesce(p, 'repeated') AS problem FROM y WHERE p IS NOT NULL OR h IN (SELECT h FROM y WHERE p IS NULL GROUP BY 1 HAVING count(*) > 1)""",
     "proven_renames": "WITH x AS (SELECT (p_partkey % 900)::VARCHAR AS id, min(p_name) AS old_name, upper(max(p_name)) AS new_name FROM part GROUP BY 1) SELECT *, lower(old_name) <> lower(new_name) AS renamed FROM x",
     "dimension_scores": f"""WITH {_CHECKS}, n AS (SELECT dimension, sum(coalesce(score_passed, passed::INT))::BIGINT AS passed, sum(coalesce(score_total, 1))::BIGINT AS total FROM c GROUP BY 1)
         SELECT dimension, passed, total, round(passed * 100.0::DOUBLE / total, 1) AS score FROM n UNION ALL SELECT 'code_quality', 0, 0, 100.0""",
-    "weights_with_overrides": """WITH w(dimension, weight) AS (VALUES ('reuse', 0.5::DOUBLE), ('depth', 0), ('model_design', 0.18), ('naming', 0.18), ('asset_completeness', 0.09), ('metadata_health', 0.09), ('code_quality', 0.1))
-        SELECT dimension, round(weight / sum(weight) OVER (), 6) AS weight FROM w""",
+    "weights_with_overrides": """WITH w(dimension, fixed) AS (VALUES ('reuse', 0.18::DOUBLE), ('depth', 0.18), ('model_design', 0.18), ('naming', 0.18), ('asset_completeness', 0.09), ('metadata_health', 0.09), ('code_quality', 0.1)),
+        pr AS (SELECT DISTINCT p_size AS project FROM part), x AS (SELECT project, dimension, CASE WHEN project % 5 > 0 AND dimension = ['reuse', 'depth', 'other'][project % 3 + 1] THEN project % 10 / 10.0::DOUBLE ELSE fixed END AS weight FROM pr, w)
+        SELECT project, dimension, round(weight / sum(weight) OVER (PARTITION BY project), 6) AS weight FROM x""",
     "numbered_issues": f"""WITH {_CHECKS}, u AS (SELECT DISTINCT dimension, rule, target FROM c WHERE NOT passed), n AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY rule, target) AS k FROM u)
         SELECT dimension, dimension || '-' || CASE WHEN k > 999 THEN k::VARCHAR ELSE lpad(k::VARCHAR, 3, '0') END AS issue_id, rule, target FROM n""",
     "scoped_checks": f"""{_E}, {_CHECKS}, r AS (SELECT unnest(['ods_t7', 'dwd_t21']) AS node UNION SELECT g.dst FROM r JOIN g ON g.src = r.node) SELECT DISTINCT dimension, rule, target FROM c WHERE lower(target) IN (SELECT node FROM r)""",
