@@ -38,6 +38,14 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it what no column of ``df`` is called, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_hash() -> Column:
     """A hash of doc_id and text; equal for copies of a row alone."""
     return F.xxhash64(F.lit("sample"), F.col("doc_id"), F.col("text"))

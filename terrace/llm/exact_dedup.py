@@ -104,24 +104,28 @@ def fingerprints(documents: DataFrame, chunk_bytes: int = CHUNK_BYTES, moduli=MO
         for batch in batches:
             out = [sum(chunk_hash(chunk, moduli), ()) for chunk in batch.column(2).to_pylist()]
             cols = [pa.array([r[i] for r in out], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["row", "part", "h1", "s1", "h2", "s2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols], ["text_sha256", "part", "h1", "s1", "h2", "s2"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > chunk_bytes
     short = rows.where(~is_long).select((F.monotonically_increasing_id() * 2).alias("row"), "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(whole, ROW)
 
-    texts = rows.where(is_long).select((F.monotonically_increasing_id() * 2 + 1).alias("row"), "doc_id", _normal().alias("norm"))
-    facts = F.struct("doc_id", F.octet_length("norm").cast("long").alias("n_bytes"), F.sha2("norm", 256).alias("text_sha256"))
+    # a long text's chunks are named by its content, not by its row: rows are numbered in one branch alone, so that it
+    # doesn't matter in which order a shuffle, or a second try of one, brings them
+    norm = rows.where(is_long).select("doc_id", _normal().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
+    known = norm.select((F.monotonically_increasing_id() * 2 + 1).alias("row"), "doc_id", F.octet_length("norm").cast("long").alias("n_bytes"), "text_sha256")
     cut = f"transform(sequence(0, greatest(octet_length(norm) - 1, 0), {chunk_bytes}), o -> substring(norm, o + 1, {chunk_bytes}))"
-    texts = texts.select("row", facts.alias("facts"), F.posexplode(F.expr(cut)).alias("part", "chunk"))
-    # the first chunk alone carries what is known of the whole text
-    texts = texts.select("row", "part", "chunk", F.when(F.col("part") == 0, F.col("facts")).alias("facts"))
-    known = texts.where("facts is not null").select("row", "facts.*")
-    parts = texts.select("row", "part", "chunk").repartition("row", "part").mapInArrow(hashed, "row long, part int, h1 long, s1 long, h2 long, s2 long")
+    parts = norm.select("text_sha256", F.monotonically_increasing_id().alias("deal"), F.posexplode(F.expr(cut)).alias("part", "chunk"))
+    # chunks of copies are dealt over tasks like others, and are one again once they are hashed
+    parts = parts.repartition("text_sha256", "part", "deal").select("text_sha256", "part", "chunk").mapInArrow(hashed, "text_sha256 string, part int, h1 long, s1 long, h2 long, s2 long")
+    one = parts.groupBy("text_sha256", "part").agg(F.min(F.struct("h1", "s1", "h2", "s2")).alias("h")).select("text_sha256", "part", "h.*")
     fold = "aggregate(parts, 0L, (a, x) -> (a * x.s{0} + x.h{0}) % {1}L)"
-    whole_hash = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "h1", "s1", "h2", "s2"))).alias("parts"))
-    whole_hash = whole_hash.select("row", F.expr(fold.format(1, moduli[0][0])).alias("f1"), F.expr(fold.format(2, moduli[1][0])).alias("f2"))
-    return short.unionByName(whole_hash.join(known, "row").select("row", "doc_id", "n_bytes", "f1", "f2", "text_sha256"))
+    whole_hash = one.groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("part", "h1", "s1", "h2", "s2"))).alias("parts"))
+    whole_hash = whole_hash.select("text_sha256", F.expr(fold.format(1, moduli[0][0])).alias("f1"), F.expr(fold.format(2, moduli[1][0])).alias("f2"))
+    known = materialise(known, "exact-long")
+    n = known.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    long_rows = salted_join(known, whole_hash.join(n, "text_sha256"), ["text_sha256"])
+    return short.unionByName(long_rows.select("row", "doc_id", "n_bytes", "f1", "f2", "text_sha256"))
 
 
 KEY = ["n_bytes", "f1", "f2"]

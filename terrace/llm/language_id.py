@@ -152,11 +152,15 @@ def annotate(documents: DataFrame, model: Model | None = None, sample_rows: int
     names; without ``model`` one is fitted on its own labelled rows, as ``identify`` does."""
     if model is None:
         model = fit(documents.where((id_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), sample_rows)
-    rows = documents.drop(*to).withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    rows = documents.drop(*to)
     if model is None:
-        return rows.withColumns({to[0]: F.lit("und"), to[1]: F.lit(0.0)}).drop("__letter")
+        return rows.withColumns({to[0]: F.lit("und"), to[1]: F.lit(0.0)})
+    # columns go by number while they are in Python, so that any name will do
+    names, place = rows.columns, [c.lower() for c in rows.columns].index("text")
+    rows = rows.toDF(*[f"c{i}" for i in range(len(names))])
+    kinds = rows.schema
+    rows = rows.withColumn("letter", F.coalesce(F.col(f"c{place}").rlike(r"\p{L}"), F.lit(False)))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    place = [c.lower() for c in rows.columns].index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +169,9 @@ def annotate(documents: DataFrame, model: Model | None = None, sample_rows: int
                 lang, sure = shared.value.predict(features(block))
                 none = ~np.asarray(part.column(part.num_columns - 1).to_numpy(zero_copy_only=False), bool)
                 lang[none], sure[none] = "und", 0
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*part.schema.names[:-1], *to])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(sure)], [*part.schema.names[:-1], "lang_pred", "score"])
 
-    schema = StructType([f for f in rows.schema if f.name != "__letter"]).add(to[0], "string").add(to[1], "double")
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(score, StructType([*kinds.fields]).add("lang_pred", "string").add("score", "double")).toDF(*names, *to)
 
 
 def identify(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -10,12 +10,13 @@ its exact budget: whole epochs first, then the keys in order up to the budget.
 Defined results: a null text has size 0; a null source is a source of its own,
 last in the order of weights; repeated rows count each time; a source without
 words has target 0; the target is cut down to whole words. Documents of size 0
-are never taken. Extra columns are ignored by ``mix``; an empty table gives no rows.
+are never taken. Rows without an id get their key from their text. Extra columns are ignored by ``mix`` and kept by
+``mixed_documents``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD
@@ -53,11 +54,15 @@ def mix(documents: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = M
     ``ranges``: into how many ranges of key space each source is cut, a power of
     16; raise it with the table (4096 keeps a range of 3e9 documents below 1e6 rows).
     """
+    return _cut(_sized(documents, ranges, seed), weights, share, most)
+
+
+def _sized(documents: DataFrame, ranges: int, seed: str, *carried: Column) -> DataFrame:
     digits = max(1, (ranges.bit_length() + 2) // 4)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    sized = documents.select("doc_id", "source", size.alias("size"), key.alias("mix_key")).withColumn("part", F.substring("mix_key", 1, digits))
-    return _cut(sized, weights, share, most)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), name).cast("binary"))
+    return documents.select("doc_id", "source", size.alias("size"), key.alias("mix_key"), *carried).withColumn("part", F.substring("mix_key", 1, digits))
 
 
 def _cut(sized: DataFrame, weights, share, most) -> DataFrame:
@@ -76,16 +81,18 @@ def _cut(sized: DataFrame, weights, share, most) -> DataFrame:
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0))
     over = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("start")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + over).cast("long").alias("taken"), "mix_key")
+    return rows.select(*[c for c in sized.columns if c != "part"], "source_size", "target", (epochs * F.col("size") + over).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def mixed_documents(documents: DataFrame, weights=WEIGHTS, share: float = 1.0, most: int = MOST_EPOCHS, ranges: int = 1024, seed: str = "mix-1") -> DataFrame:
     """The rows of ``documents`` as often as the mix takes them: once for each whole epoch, and
-    once more where at least half of the document lies within the budget; texts stay whole."""
-    rows = documents.withColumn("__size_key", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    taken = mix(documents, **options).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
+    once more where at least half of the document lies within the budget; texts stay whole.
+
+    The rows themselves go through the cut, so null and repeated ids are rows like others, and each source ends within
+    half a document of its target. Their columns travel as one, so that their names can't meet those used here.
+    """
+    carried = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("carried")
+    rows = _cut(_sized(documents, ranges, seed, carried), weights, share, most).where("size > 0")
     copies = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
-    taken = taken.where("size > 0").select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("size").alias("__m_size"), copies.alias("__m_copies")).where("__m_copies > 0")
-    on = rows["doc_id"].eqNullSafe(taken["__m_id"]) & rows["source"].eqNullSafe(taken["__m_source"]) & (rows["__size_key"] == taken["__m_size"])
-    out = rows.join(taken.hint("shuffle_hash"), on).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_copies"))))
-    return out.select(*documents.columns)
+    out = rows.select("carried", copies.alias("copies")).where("copies > 0").select("carried", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select(*[F.col("carried")[c].alias(c) for c in documents.columns])

@@ -388,14 +388,16 @@ def near_dedup(documents: DataFrame, **options) -> DataFrame:
     keyed = lambda df: df.select(F.col("t1").alias(key[0]), F.col("t2").alias(key[1]), F.col("doc_id").isNull().alias(key[2]), F.coalesce("doc_id", F.lit(0)).alias(key[3]))
     repeated = keyed(classed.where("worded")).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
     wanted = materialise(keyed(first.join(classed.where("not worded").select("row"), "row", "left_anti")).join(repeated, key), "near-kept")
+    # the rows' own columns travel as one, so that their names can't meet those used here
     t1, t2 = _text_keys()
-    rows = documents.select("*", t1.alias(key[0]), t2.alias(key[1]), F.col("doc_id").isNull().alias(key[2]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(key[3]))
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
     wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    out = rows.join(wanted.where("__n = 1").select(*key).hint("shuffle_hash"), key, "left_semi").unionByName(rows.where(wordless))
+    rows = documents.select(row.alias("__in"), t1.alias(key[0]), t2.alias(key[1]), F.col("doc_id").isNull().alias(key[2]), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(key[3]), wordless.alias("__wordless"))
+    out = rows.join(wanted.where("__n = 1").select(*key).hint("shuffle_hash"), key, "left_semi").select("__in").unionByName(rows.where("__wordless").select("__in"))
     several = wanted.where("__n > 1").select(*key)
     if not several.isEmpty():
-        plain = [c for c, kind in documents.dtypes if "map<" not in kind]
+        plain = [F.col("__in")[c] for c, kind in documents.dtypes if "map<" not in kind]
         nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*plain)))
-        again = rows.join(several.hint("shuffle_hash"), key, "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+        again = rows.join(several.hint("shuffle_hash"), key, "left_semi").withColumn("__nth", nth).where("__nth = 1").select("__in")
         out = out.unionByName(again)
-    return out.select(*documents.columns)
+    return out.select(*[F.col("__in")[c].alias(c) for c in documents.columns])

@@ -33,16 +33,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of all documents after four batches: every row is inserted with its words and an estimate of its tokens,
-    then the estimates are revised to the counts, then rows without a word are deleted and inserted again. The second is
-    replayed."""
+    then the estimates are revised to the counts, then all rows of the first source, and those without a word, are deleted and
+    inserted again. The second is replayed."""
     counts = materialise(count_tokens(table(spark, sf_dir, "documents")), "token-counts")
     rollup = Rollup(spark, new_path(spark, "rollup"))
     rollup.commit("1-insert", union(change(counts, WORDS, "words"), change(counts, BPE, "estimate")))
     for _ in range(2):
         rollup.commit("2-revise", revision(counts, counts, BPE, "estimate", "tokens"))
-    wordless = counts.where("words = 0")
-    rollup.commit("3-delete", union(change(wordless, WORDS, "words", -1), change(wordless, BPE, "tokens", -1)))
-    rollup.commit("4-insert", union(change(wordless, WORDS, "words"), change(wordless, BPE, "tokens")))
+    moved = counts.where((F.col("words") == 0) | F.col("source").eqNullSafe(F.lit(counts.agg(F.min("source")).first()[0])))
+    rollup.commit("3-delete", union(change(moved, WORDS, "words", -1), change(moved, BPE, "tokens", -1)))
+    rollup.commit("4-insert", union(change(moved, WORDS, "words"), change(moved, BPE, "tokens")))
     return rollup.totals()
 
 
@@ -131,7 +131,8 @@ def _repair_sql() -> str:
             FROM bad, (VALUES (0), (1)) AS copy(nth) WHERE fault <> 0 AND (nth = 0 OR fault = 3)),
         num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam),
         flt AS (
-            SELECT *, nullif(right(regexp_replace(text, '[ 	-]+$', ''), 1), '') AS last_char, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+            SELECT *, nullif(right(regexp_replace(text, '[ 	-
+]+$', ''), 1), '') AS last_char, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
                    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM num),
         t AS (SELECT *, last_char IS NULL AS blank, last_char IS NOT NULL AND again AS dup, last_char IS NOT NULL AND NOT again AND last_char NOT IN ('.', '!', '?') AS short FROM flt),
         c AS (
