@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import new_path
+from terrace.llm.common import free_name, new_path
 from terrace.llm.language_id import annotate
 from terrace.llm.line_dedup import line_dedup
 from terrace.llm.mixing import mixed_documents
@@ -29,14 +29,15 @@ from terrace.llm.sentencepiece_codec import round_trip
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; ``lang`` becomes the predicted language."""
-    known = annotate(docs, to=("__lang_pred", "__lang_score")).where(F.col("__lang_pred") != "und")
-    return known.select(*[F.col("__lang_pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns])
+    lang, score = free_name(docs, "predicted"), free_name(docs, "sure")
+    known = annotate(docs, to=(lang, score)).where(F.col(lang) != "und")
+    return known.select(*[F.col(lang).alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are deleted from ``text``; ``n_chars`` follows."""
-    left = line_dedup(docs, to=("__deleted_runs", "__deleted_lines"))
-    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    left = line_dedup(docs, to=(free_name(docs, "runs"), free_name(docs, "lines")))
+    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of the text and whether they decode to it exactly."""
-    return round_trip(docs).select("doc_id", "lang", "source", "ids", "n_ids", "exact")
+    return round_trip(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "ids", "n_ids", "exact")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
