@@ -10,6 +10,7 @@ from terrace.sources import snapshot
 
 MODULES = (sales, checks, metadata, lineage, stored, network, models)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+JOB_EDGES = "job string, src string, dst string, src_temp boolean, dst_temp boolean"
 SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
 
@@ -136,9 +137,10 @@ def test_snapshot_cycles_raise(spark):
 
 
 def test_weights_are_checked(spark):
-    with pytest.raises(ValueError):
-        assess.weights(spark, {"reuse": -1})
-    assert abs(sum(r.weight for r in assess.weights(spark).collect()) - 1) < 1e-5
+    of = lambda rows: assess.weights(spark.createDataFrame(rows, "project string, dimension string, weight double"))
+    with pytest.raises(Exception, match="weights must be"):
+        of([("p", "reuse", -1.0)]).collect()
+    assert abs(sum(r.weight for r in of([("p", "none", None)]).collect()) - 1) < 1e-5
 
 
 def test_depth_of_nothing(spark):
@@ -165,7 +167,7 @@ def test_graph_on_cycles_and_empty_input(spark):
 
 
 def test_equal_temporary_names_of_two_jobs_do_not_meet(spark):
-    e = spark.createDataFrame([("j1", "a", "tmp", False, True), ("j1", "tmp", "b", True, False), ("j2", "c", "tmp", False, True), ("j2", "tmp", "d", True, False)], metadata._edges(spark).schema)
+    e = spark.createDataFrame([("j1", "a", "tmp", False, True), ("j1", "tmp", "b", True, False), ("j2", "c", "tmp", False, True), ("j2", "tmp", "d", True, False)], JOB_EDGES)
     assert {(r.src, r.dst) for r in graph.collapse_temporary(e).collect()} == {("a", "b"), ("c", "d")}
 
 
@@ -174,17 +176,18 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert graph.reachable(e, spark.createDataFrame([("n0",)], "node string")).count() == 104
     assert graph.reachable(e, spark.createDataFrame([("n0",)], "node string"), 2).count() == 3
     chain = [("j", f"n{i}", f"n{i + 1}", i > 0, i < 53) for i in range(54)]
-    assert [tuple(r) for r in graph.collapse_temporary(spark.createDataFrame(chain, metadata._edges(spark).schema)).collect()] == [("n0", "n54")]
+    assert [tuple(r) for r in graph.collapse_temporary(spark.createDataFrame(chain, JOB_EDGES)).collect()] == [("n0", "n54")]
 
 
 def test_temporary_cycles_end_even_under_null_sources(spark):
     rows = [("j", s, "t1", False, True) for s in (None, "a")] + [("j", "t1", "t2", True, True), ("j", "t2", "t1", True, True), ("j", "t2", "b", True, False)]
-    assert {tuple(r) for r in graph.collapse_temporary(spark.createDataFrame(rows, metadata._edges(spark).schema)).collect()} == {(None, "b"), ("a", "b")}
+    assert {tuple(r) for r in graph.collapse_temporary(spark.createDataFrame(rows, JOB_EDGES)).collect()} == {(None, "b"), ("a", "b")}
 
 
 def test_scores_of_nothing(spark):
     assert assess.weighted_score(spark.createDataFrame([], "weight double, score double")).first().overall is None
-    assert assess.capped_penalty(metadata._checks(spark).where("passed"), metadata._checks(spark)).first().score == 100.0
+    checks = spark.createDataFrame([("grain", "t", "high", True), ("keys", "u", "low", True)], "rule string, target string, severity string, passed boolean")
+    assert assess.capped_penalty(checks, checks).first().score == 100.0
 
 
 def test_helpers(spark):
