@@ -28,7 +28,10 @@ before the weight that is left in it falls below that. Shingles of one class alo
 come first of all. And each node has a parity sketch: every copy of a shingle flips
 one of its bits, so the bits in which two sketches differ are a lower bound of the
 weight that only one of the two has; where that is too much, the pair isn't made.
-Both are exact: they drop no pair of a bucket that could be a link.
+A sketch has two to four bits a shingle, as one that is nearly full of flips shows
+nothing, and the longer of two is folded onto the shorter. Pairs once found too
+different aren't compared in later turns. All this is exact: no pair of a bucket
+that could be a link is dropped.
 
 With 24 bands of 5 components a pair of similarity 0.8 shares a bucket with
 probability 0.9999, a pair of 0.9 with 1 - 1e-9.
@@ -58,7 +61,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 #: Leaders of a bucket in the first turn, and their growth from turn to turn.
 FIRST_LEADERS, GROWTH = 1, 16
-#: Bits of a node's parity sketch, in longs.
+#: The least length of a node's parity sketch in longs; it doubles until there are two bits for each shingle.
 PARITY_LONGS = 16
 
 _STEP = U64(0x9FB21C651E98DF25)
@@ -193,11 +196,26 @@ def parities(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int,
     were flipped by copies that one text has more of, so they are no more than those."""
     of = np.repeat(np.arange(len(doc)), weight)
     copy = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
-    bit = (mix(item[of] + copy.astype(U64) * _STEP) >> U64(40)).astype(np.int64) % (64 * longs)
+    bit = (mix(item[of] + copy.astype(U64) * _STEP) >> U64(20)).astype(np.int64) % (64 * longs)
     flips = np.bincount(doc[of] * (64 * longs) + bit, minlength=n_docs * 64 * longs) & 1
     return np.packbits(flips.astype(np.uint8).reshape(n_docs, -1), axis=1, bitorder="little").view(np.int64)
 
 
+def sketches(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int) -> pa.Array:
+    """The parity sketch of each text, of a length that fits its size."""
+    total = np.maximum(np.bincount(doc, weight, n_docs), 1)
+    longs = PARITY_LONGS << np.maximum(0, np.ceil(np.log2(total / (32 * PARITY_LONGS)))).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(longs)])
+    out = np.zeros(off[-1], np.int64)
+    for length in np.unique(longs):
+        mine = longs == length
+        rows = mine[doc]
+        place = (np.cumsum(mine) - 1)[doc[rows]]
+        values = parities(place, item[rows], weight[rows], int(mine.sum()), int(length))
+        out[off[:-1][mine][:, None] + np.arange(length)] = values
+    return pa.ListArray.from_arrays(off.astype(np.int32), out)
+
+
 def _text_keys() -> list[Column]:
     """t1 and t2: 128 bits that name the text."""
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
@@ -219,7 +237,7 @@ def sign(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int
                 keys = band_keys(signatures(doc, item, weight, block.n, bands * rows), bands, rows)
                 total = np.bincount(doc, weight, block.n).astype(np.int64)
                 none = total == 0
-                cols = [c.slice(at, block.n) for c in batch.columns[1:]] + [pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists(keys), lists(parities(doc, item, weight, block.n))]
+                cols = [c.slice(at, block.n) for c in batch.columns[1:]] + [pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(total), lists(keys), sketches(doc, item, weight, block.n)]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "t1", "t2", "k1", "k2", "size", "bands", "parity"])
 
     rows_in = documents.select("text", F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *_text_keys())
@@ -256,12 +274,19 @@ def _rare(live: DataFrame, texts: DataFrame, similarity: float, width: int) -> D
 
 
 def _flips(a: str, b: str) -> Column:
-    """How many bits of two sketches differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    """How many bits of two sketches differ, when the longer one is folded onto the shorter; null where one is more than
+    twice as long as the other, and so too long for the pair to be similar."""
+
+    def folded(x: str, to: Column) -> Column:
+        halves = F.zip_with(F.slice(x, F.lit(1), to), F.slice(x, to + 1, to), lambda v, w: v.bitwiseXOR(w))
+        return F.when(F.size(x) > to, halves).otherwise(F.col(x))
+
+    both = F.zip_with(folded(a, F.size(b)), folded(b, F.size(a)), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b)), F.aggregate(both, F.lit(0), lambda n, x: n + x))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """``pairs`` (node, leader) whose exact weighted Jaccard similarity is ``similarity`` or more."""
+    """``pairs`` (node, leader) and whether their exact weighted Jaccard similarity is ``similarity`` or more (alike)."""
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
@@ -281,10 +306,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
                     spot = np.minimum(np.searchsorted(b, a), len(b) - 1)
                     both = np.minimum(wa, wb[spot])[b[spot] == a].sum()
                     keep[at + i] = both >= similarity * (wa.sum() + wb.sum() - both) * (1 - 1e-12)
-            yield batch.select(["node", "leader"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), pa.array(keep)], ["node", "leader", "alike"])
 
     rows = pairs.join(texts, "node").join(texts.selectExpr("node as leader", "text as leader_text"), "leader")
-    return rows.select("node", "leader", "text", "leader_text").mapInArrow(alike, "node long, leader long")
+    return rows.select("node", "leader", "text", "leader_text").mapInArrow(alike, "node long, leader long, alike boolean")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -322,7 +347,7 @@ def _classes_of(documents: DataFrame, similarity: float = SIMILARITY, bands: int
     members = materialise(members.join(shared, "bucket"), "near-buckets")
     texts = materialise(_texts(documents, groups.join(members.select("node").distinct(), "node").select("node", "t1", "t2")), "near-texts")
 
-    labels, leaders = None, FIRST_LEADERS
+    labels, refused, leaders = None, None, FIRST_LEADERS
     while True:
         now = members.withColumn("label", F.col("node"))
         if labels is not None:
@@ -345,7 +370,13 @@ def _classes_of(documents: DataFrame, similarity: float = SIMILARITY, bands: int
         if "parity" in now.columns:
             near = near & (_flips("parity", "lead_parity") <= F.lit((1 - similarity) / (1 + similarity) * (1 + 1e-9)) * (F.col("size") + F.col("lead_size")))
         pairs = now.join(lead, "bucket").where((F.col("label") != F.col("lead_label")) & near & (~F.col("leads") | later)).select("node", F.col("lead_node").alias("leader"))
-        found = materialise(_verified(pairs.distinct(), texts, similarity, width), "near-found")
+        pairs = pairs.withColumns({"low": F.least("node", "leader"), "high": F.greatest("node", "leader")}).dropDuplicates(["low", "high"])
+        if refused is not None:
+            pairs = pairs.join(refused, ["low", "high"], "left_anti")
+        compared = materialise(_verified(pairs, texts, similarity, width), "near-compared")
+        found = compared.where("alike").select("node", "leader")
+        different = compared.where("not alike").select(F.least("node", "leader").alias("low"), F.greatest("node", "leader").alias("high"))
+        refused = different if refused is None else refused.unionByName(different)
         if not found.isEmpty():
             # the classes so far are links to their labels
             labels = classes(found if labels is None else found.unionByName(labels.selectExpr("node", "label as leader")))

@@ -214,6 +214,46 @@ def test_parity_sketches_bound_the_difference_from_below():
         assert not (x ^ near_dedup.parities(doc, items, weight, 2).view(np.uint64)[0]).any()
 
 
+def _sketch_pairs():
+    """Two sketches each of texts of 100 to 9000 shingles, and how many shingles only one of the two has."""
+    rng, rows = np.random.default_rng(6), []
+    for size, grown in ((100, 110), (1000, 1240), (1020, 1030), (4000, 4200), (9000, 9000)):
+        item = rng.integers(0, 2**63, grown + size // 10).astype(np.uint64)
+        items = np.concatenate([item[:size], item[-grown:]])
+        doc = np.repeat([0, 1], [size, grown])
+        order = np.lexsort((items, doc))
+        both = near_dedup.sketches(doc[order], items[order], np.ones(len(items), int), 2).to_pylist()
+        assert all(64 * len(x) >= 2 * n for x, n in zip(both, (size, grown)))
+        rows.append((*both, 2 * len(item) - size - grown))
+    return rows
+
+
+def test_sketches_of_any_length_bound_the_difference_from_below(spark):
+    """Compared in Spark, each longer one folded onto the shorter."""
+    rows = _sketch_pairs()
+    assert len({len(r[0]) for r in rows}) > 2 and any(len(r[0]) != len(r[1]) for r in rows)
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>, most int").select(near_dedup._flips("a", "b"), near_dedup._flips("b", "a"), "most").collect()
+    assert all(f == back and most / 2 < f <= most for f, back, most in got)
+
+
+def test_long_texts_below_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """A family of 60 texts of 3000 words, all too different but for one pair; few of the 1770 pairs come to be compared,
+    none twice, and the pair is found."""
+    rng, texts, base = random.Random(21), [], [f"w{i}" for i in range(3000)]
+    for m in range(60):
+        own = texts[0].split() if m == 1 else list(base)
+        for k in rng.sample(range(0, 3000, 5), 2 if m == 1 else 42):
+            own[k] = f"m{m}k{k}"
+        texts.append(" ".join(own))
+    sets = [set(zip(*(w[k:] for k in range(5)))) for w in map(str.split, texts)]
+    links = {(a, b) for b in range(60) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    made, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *rest: made.extend((min(r), max(r)) for r in pairs.select("node", "leader").collect()) or verified(pairs, *rest))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rows=1).collect()}
+    assert links == {(0, 1)} and {d for d, c in got.items() if d != c} == {1}
+    assert len(made) == len(set(made)) and len(made) < 600
+
+
 def test_recall_in_a_large_group_of_near_copies(spark):
     """A family of 300 copies, each with some words changed: every link of 0.8 or more must be inside a class."""
     rng, texts = random.Random(8), []
