@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from ..operators import rules, semantics
+from ..operators import layers, rules, semantics
 from ..operators.naming import Rule, Segment, Type, alignment, name_checks
 from ..operators.shared import new_path
 from ..sources.task_cache import TaskCache
@@ -181,7 +181,19 @@ def cached_tasks(spark, d):
     return cache.run(later, compute(2)).select("columns", "run", F.col("key").rlike("^sha256:").alias("hashed"))
 
 
-QUERIES = {f.__name__: f for f in (naming_grammar, naming_alignment, dimension_entity_codes, foreign_entity_codes, metric_relations, candidate_problems, candidate_status, cached_tasks)}
+def layer_candidates(spark, d):
+    """The layers of a model for each part under two policies: a refresh of declared models, and new ones by direct rules."""
+    n = F.col("p_partkey")
+    pick = lambda i, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % len(v)).cast("int") + 1)
+    candidate = F.struct(pick(n, "DWD", " dws ", "OTHER", "ADS", "Dim", "zzz", "").alias("layer"), pick(n, "fact", "DIMENSION", "other", "", "bridge", "x", None, "fact", "dimension").alias("table_type"), (F.col("p_size").cast("double") / 40).alias("confidence"))
+    tables = table(spark, d, "part").select(
+        _text(n).alias("name"), pick(n, "dwd", " DIM ", "ads", "x", None).alias("declared_layer"), pick(n, "fact", "Dimension", None).alias("declared_type"), pick(n, "DWS", None, "ODS", "bogus").alias("fallback_layer"),
+        pick(n, "bridge", None).alias("fallback_type"), pick(n, "ods", "ADS ", "DWD", *[None] * 14).alias("fixed_layer"), F.when(n % 6 != 5, candidate).alias("candidate"))
+    both = [layers.resolve(tables).withColumn("policy", F.lit("refresh")), layers.resolve(tables, "direct_rule", False, ("DWD", "DWS"), 0.8).withColumn("policy", F.lit("generate"))]
+    return both[0].unionByName(both[1]).withColumn("warnings", F.array_join("warnings", ","))
+
+
+QUERIES = {f.__name__: f for f in (layer_candidates, naming_grammar, naming_alignment, dimension_entity_codes, foreign_entity_codes, metric_relations, candidate_problems, candidate_status, cached_tasks)}
 
 _NAMES = """nm AS (SELECT p_partkey AS n, p_size::VARCHAR AS z, CASE WHEN p_partkey % 50 = 49 THEN 'TMP' ELSE ['DWD', 'DWS', 'DIM'][p_partkey % 3 + 1] END AS layer, p_partkey % 3 AS kind, lpad((p_partkey % 100)::VARCHAR, 2, '0') AS dom,
         ['DI', 'MF', 'QA'][p_partkey % 3 + 1] AS dk, ['TAG', 'INFO'][p_partkey % 2 + 1] AS sh FROM part),
@@ -207,6 +219,15 @@ _ASKED = {
 _ROWS = "p AS (SELECT p_partkey AS n FROM part)"
 _PROBLEMS = " UNION ALL ".join(f"SELECT n, '{r}' AS rule, '{_ASKED[r][0]}' AS severity, {i} AS item FROM p WHERE {w}" for r, w, i in _BROKEN)
 ORACLE_SQL = {
+    "layer_candidates": """WITH r AS (SELECT p_partkey AS n, p_partkey % 6 <> 5 AS c, p_size / 40.0::DOUBLE AS conf, ['DWD', 'DIM', 'ADS', NULL, NULL][p_partkey % 5 + 1] AS dl, ['fact', 'dimension', NULL][p_partkey % 3 + 1] AS dt, ['DWS', NULL, 'ODS', NULL][p_partkey % 4 + 1] AS fl,
+            ['bridge', NULL][p_partkey % 2 + 1] AS ft, CASE p_partkey % 17 WHEN 0 THEN 'ODS' WHEN 1 THEN 'ADS' END AS fx, ['DWD', 'DWS', 'OTHER', 'ADS', 'DIM', NULL, NULL][p_partkey % 7 + 1] AS cl, ['fact', 'dimension', 'other', NULL, 'bridge', NULL, NULL, 'fact', 'dimension'][p_partkey % 9 + 1] AS ct FROM part),
+        x AS (SELECT n, c, 'refresh' AS policy, CASE WHEN c AND conf <= 1 THEN conf END AS conf, coalesce(dl, fl, 'OTHER') AS pl, coalesce(dt, ft, 'other') AS pt, fx, CASE WHEN c THEN cl END AS cl, CASE WHEN c THEN ct END AS ct, ['DWD', 'DWS', 'DIM'] AS ok, 0.5 AS least FROM r
+            UNION ALL SELECT n, c, 'generate', CASE WHEN c AND conf <= 1 THEN conf END, coalesce(fl, dl, 'OTHER'), coalesce(ft, dt, 'other'), fx, CASE WHEN c THEN cl END, CASE WHEN c THEN ct END, ['DWD', 'DWS'], 0.8 FROM r),
+        y AS (SELECT *, fx IS NULL AND coalesce(list_contains(ok, cl) AND conf >= least, FALSE) AS used FROM x),
+        z AS (SELECT *, CASE WHEN fx IS NOT NULL THEN fx WHEN NOT used THEN pl WHEN ct = 'dimension' THEN 'DIM' ELSE cl END AS al FROM y)
+        SELECT n::VARCHAR AS name, policy, CASE WHEN fx IS NOT NULL THEN coalesce(cl, fx) WHEN c THEN coalesce(cl, 'OTHER') ELSE pl END AS inferred_layer, al AS applied_layer, CASE WHEN used THEN coalesce(ct, pt) ELSE pt END AS table_type,
+            CASE WHEN fx IS NOT NULL THEN 'fixed_boundary' WHEN used THEN 'candidate' WHEN policy = 'refresh' THEN 'declared' ELSE 'direct_rule' END AS source, CASE WHEN fx IS NOT NULL THEN 'fixed' WHEN policy = 'refresh' THEN 'strong' ELSE 'weak' END AS strength, conf AS confidence,
+            concat_ws(',', CASE WHEN c AND fx IS NULL AND NOT used THEN 'candidate_unusable' END, CASE WHEN fx IS NULL AND al <> 'OTHER' AND NOT list_contains(ok, al) THEN 'outside_candidates' END) AS warnings FROM z""",
     "naming_grammar": f"""WITH {_NAMES} SELECT name, layer, CASE WHEN fits THEN ['TABLE_DWD', 'TABLE_DWS', CASE WHEN n % 4 < 2 THEN 'TABLE_DIM' ELSE 'TABLE_DIM_PM' END][kind + 1] END AS rule,
             CASE WHEN fits THEN CASE kind WHEN 0 THEN 'BUSINESS_AREA_CODE=A' || z || ';DATA_DOMAIN_ID=' || dom || ';BIZ_PROCESS=P' || n || ';TIME_PERIOD=' || dk[1] || ';DWD_GRANULARITY=' || dk[2]
                 WHEN 1 THEN 'BUSINESS_AREA_CODE=A' || z || ';GRAIN_ENTITY=E' || n || ';METRICS_DESC=' || CASE WHEN n % 2 = 0 THEN 'F' || z || '_' ELSE '' END || 'SALES_AMT;TIME_PERIOD=M;DWS_GRANULARITY=S'

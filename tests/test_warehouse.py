@@ -5,10 +5,10 @@ from conftest import SF, same_rows
 from pyspark.sql import functions as F
 from terrace.functions import in_month, safe_ratio
 from terrace.operators import assess, etl, graph, periods, quality, ranking, schema, verify
-from terrace.plans import checks, lineage, metadata, models, network, sales, stored
+from terrace.plans import checks, lineage, metadata, models, network, sales, stored, streams
 from terrace.sources import snapshot
 
-MODULES = (sales, checks, metadata, lineage, stored, network, models)
+MODULES = (sales, checks, metadata, lineage, stored, network, models, streams)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 JOB_EDGES = "job string, src string, dst string, src_temp boolean, dst_temp boolean"
 SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
