@@ -1,19 +1,28 @@
-"""Line deduplication over a suffix order of line ids, with DataFrame functions alone.
-
-The texts are sequences of lines with at least one word. Prefix doubling ranks
-the suffixes by their first 1, 2, 4, ... lines: two positions have the same
-rank at depth d exactly if their next d lines are equal. A rank is named by the
-first position of its interval (the suffixes whose common prefix is at least
-that long), so "has an earlier copy" is just "rank < position". A run of any
-length l between two depths is the pair of ranks that cover it from both ends.
-
-A line is deleted exactly if it lies in a run of lines of its document that has
-``min_words`` words or more and occurs, equal line by line, at an earlier
-position (by doc_id, then line; the same document or another one; the copies
-may overlap). Such runs are unions of the shortest runs of ``min_words`` words
-that start or end at each line, which have at most ``min_words`` lines. So the
-doubling ends at depth ``min_words`` at the latest, whatever the data, and its
-work is a few shuffles of the repeated lines.
+"""Line deduplication by a suffix array of line ids, with DataFrame functions alone.
+
+The texts are sequences of lines with at least one word; lines that occur once
+cut them into stretches. Prefix doubling sorts the suffixes of the stretches by
+their first 1, 2, 4, ... lines: a rank is the number of suffixes before the
+first one with the same prefix, and each turn sorts the suffixes that still
+share a rank by their own and the rank 1, 2, 4, ... lines on, until none share
+one that could still differ. The ranks of the last turn are the suffix order.
+
+Longest common prefixes of neighbours in it are found from the ranks of all
+turns, longest first, but only where the lines before the two differ; where
+they are equal, the prefix is that of the suffix one line earlier, less one.
+
+A run of lines (at least ``min_words`` words) is an interval of suffixes whose
+neighbours share that many lines. A line is deleted exactly if it lies in a run
+of lines of its document that has ``min_words`` words or more and occurs, equal
+line by line, at an earlier position (by doc_id, then line; the same document or
+another one; the copies may overlap). Such runs are unions of the shortest ones
+of ``min_words`` words that start or end at each line, and of each interval of
+these all but the first position are later copies. ``repeated_runs`` gives the
+maximal runs themselves.
+
+All sorts are by ranges whose keys end in the position, so no line, rank or
+interval, however common, meets in one task; what crosses a range's edge is
+carried in one small row a range.
 
 Defined results: a null text stays null. Lines without a word go with the line
 before them (leading ones always stay). Line equality is of all bytes between
@@ -27,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, salted_join
 
 MIN_WORDS = 50
 #: A line feed before a line with a word: the units are a line and the wordless lines after it.
@@ -56,24 +65,67 @@ def _starts(docs: DataFrame) -> DataFrame:
     return ranged.withColumn("inner", inner).join(totals, "part").select(*DOC, (F.col("before") + F.col("inner")).alias("start"))
 
 
+def _ordered(rows: DataFrame, order: list[str], opens: dict[str, str], name: str, seen: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with their ``index`` (from 1) by ``order``, ``before`` (``seen`` of the row before) and, for each of
+    ``opens``, the index of the last row up to this one for which the condition held; ``closes``: the next row opens the first.
+
+    One pass over range-sorted rows, written; the edges of the ranges are a row each.
+    """
+    columns, opened = rows.columns, [f"{k}_opens" for k in opens]
+    at = Window.partitionBy("part").orderBy(*order)
+    sofar = at.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("row", F.row_number().over(at)).withColumn("before", F.lag(F.struct(*(seen or order))).over(at))
+    for k, condition in opens.items():
+        rows = rows.withColumn(f"{k}_opens", (F.col("row") > 1) & F.expr(condition))
+        rows = rows.withColumn(k, F.last(F.when(F.col(f"{k}_opens"), F.col("row")), True).over(sofar))
+    closes = F.lead(opened[0]).over(at) if opens else F.lit(False)
+    rows = rows.withColumn("closes", closes).withColumn("last", F.lead("row").over(at).isNull())
+    rows = materialise(rows.drop(*opened), name)
+
+    parts = Window.orderBy("part")
+    ends = rows.where("last").select("part", F.col("row").alias("n"), F.struct(*(seen or order)).alias("tail"), *[F.col(k).alias(f"{k}_at") for k in opens])
+    edges = rows.where("row = 1").drop("before", "row", *opens).join(ends, "part")
+    edges = edges.withColumn("offset", F.sum("n").over(parts) - F.col("n")).withColumn("before", F.lag("tail").over(parts))
+    for k, condition in opens.items():
+        first = F.col("before").isNull() | F.expr(condition)
+        till = F.last(F.coalesce(F.col("offset") + F.col(f"{k}_at"), F.when(F.col(f"{k}_first"), F.col("offset") + 1)), True).over(parts)
+        edges = edges.withColumn(f"{k}_first", first).withColumn(f"{k}_till", till)
+        edges = edges.withColumn(f"{k}_carry", F.when(F.col(f"{k}_first"), F.col("offset") + 1).otherwise(F.lag(f"{k}_till").over(parts)))
+    edges = edges.withColumn("next_opens", F.coalesce(F.lead(f"{next(iter(opens))}_first").over(parts), F.lit(True)) if opens else F.lit(True))
+    edges = edges.select("part", "offset", "next_opens", F.col("before").alias("edge"), *[f"{k}_carry" for k in opens])
+    rows = rows.join(F.broadcast(edges), "part")
+    starts = [F.coalesce(F.col("offset") + F.col(k), F.col(f"{k}_carry")).alias(k) for k in opens]
+    closes = F.when(F.col("last"), F.col("next_opens")).otherwise(F.col("closes")).alias("closes")
+    return rows.select(*columns, (F.col("offset") + F.col("row")).alias("index"), F.coalesce("before", "edge").alias("before"), closes, *starts)
+
+
+ALONE = "key = index AND closes"
+
+
 def repeated_lines(documents: DataFrame) -> DataFrame:
-    """doc, position, words and line id of every line with words that occurs twice or more."""
+    """doc, unit, words and rank of every line with words that occurs twice or more; equal lines share a rank."""
     docs = documents.where("text is not null").select(*DOC, F.posexplode(F.split("text", UNIT)).alias("unit", "line"))
     line = F.substring_index("line", "\n", 1)
     lines = docs.select(*DOC, "unit", line.alias("line")).select(
         *DOC, "unit", F.regexp_count("line", F.lit(WORD)).alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
     )
-    lines = lines.where("words > 0")
-    often = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return lines.join(often, ["h1", "h2"])
+    lines = _ordered(lines.where("words > 0"), ["h1", "h2", *DOC, "unit"], {"key": "h1 <> before.h1 OR h2 <> before.h2"}, "line-ranks", ("h1", "h2"))
+    return lines.where(f"NOT ({ALONE})").select(*DOC, "unit", "words", F.col("key").alias("rank"))
 
 
-def deleted_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document with deletions: ``runs``, the sorted disjoint intervals of deleted units."""
-    lines = repeated_lines(documents).join(_starts(documents), DOC).dropDuplicates([*DOC, "unit"]).withColumn("pos", F.col("start") + F.col("unit"))
+def _lines(documents: DataFrame, min_words: int) -> DataFrame:
+    """Repeated lines with their global position, the first and last position of their stretch, and the lengths of the
+    shortest runs of ``min_words`` words that start (f_len) and end (b_len) with them."""
+    # copies of a row have equal lines: one of them stays
+    lines = repeated_lines(documents).join(_starts(documents), DOC).groupBy(*DOC, "unit").agg(
+        F.first("words").alias("words"), F.first("rank").alias("rank"), (F.first("start") + F.col("unit")).alias("pos")
+    )
     in_doc = Window.partitionBy(*DOC)
     running = in_doc.orderBy("unit").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("till", F.sum("words").over(running)).withColumn("since", F.col("till") - F.col("words"))
+    gap = F.coalesce(F.lag("unit").over(in_doc.orderBy("unit")) != F.col("unit") - 1, F.lit(True))
+    lines = lines.withColumn("gap", gap).withColumn("run", F.last(F.when(F.col("gap"), F.col("pos")), True).over(running))
     ahead = in_doc.orderBy("since").rangeBetween(0, min_words - 1)
     behind = in_doc.orderBy("till").rangeBetween(-(min_words - 1), 0)
     lines = lines.withColumn("f_len", F.count(F.lit(1)).over(ahead)).withColumn("f_last", F.max("unit").over(ahead)).withColumn("f_till", F.max("till").over(ahead))
@@ -82,39 +134,89 @@ def deleted_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole_f = (F.col("f_last") - F.col("unit") + 1 == F.col("f_len")) & (F.col("f_till") - F.col("since") >= min_words)
     whole_b = (F.col("unit") - F.col("b_first") + 1 == F.col("b_len")) & (F.col("till") >= min_words)
     lines = lines.withColumn("f_len", F.when(whole_f, F.col("f_len").cast("int"))).withColumn("b_len", F.when(whole_b, F.col("b_len").cast("int")))
-    lines = materialise(lines.select(*DOC, "unit", "pos", "h1", "h2", "f_len", "b_len"), "line-runs")
+    lines = lines.withColumn("end", F.max("pos").over(Window.partitionBy(*DOC, "run")))
+    return materialise(lines.select(*DOC, "unit", "pos", "run", "end", "rank", "till", "since", "f_len", "b_len"), "line-runs")
+
+
+def _ranks(lines: DataFrame) -> list[DataFrame]:
+    """For depths 1, 2, 4, ...: pos and rank of the suffixes, those of stretches whose order is settled left out."""
+    along = Window.partitionBy("run").orderBy("pos")
+    now = lines.select("run", "end", "pos", "rank", F.lit(True).alias("shared"))
+    found, step = [now], 1
+    while not now.where(F.col("shared") & (F.col("end") - F.col("pos") >= step)).isEmpty():
+        live = F.col("shared") & (F.col("end") - F.col("pos") + 1 >= step)
+        pair = now.withColumn("next", F.coalesce(F.lead("rank", step).over(along), F.lit(-1))).withColumn("live", live)
+        pair = pair.withColumn("open", F.max("live").over(Window.partitionBy("run"))).where("open")
+        keys = {"key": "rank <> before.rank OR next <> before.next", "group": "rank <> before.rank"}
+        split = _ordered(pair.where("live").select("run", "end", "pos", "rank", "next"), ["rank", "next", "pos"], keys, f"suffixes-{step}", ("rank", "next"))
+        rank = (F.col("rank") + F.col("key") - F.col("group")).alias("rank")
+        split = split.select("run", "end", "pos", rank, F.expr(f"NOT ({ALONE})").alias("shared"))
+        still = pair.where("NOT live").select("run", "end", "pos", "rank", F.lit(False).alias("shared"))
+        now = materialise(split.unionByName(still), f"suffix-ranks-{step}")
+        found.append(now)
+        step *= 2
+    return found
+
+
+def suffix_order(lines: DataFrame) -> DataFrame:
+    """pos, run, end, ``index`` in suffix order, ``other`` (the suffix before it) and ``lcp``, how many lines both share;
+    ``maximal``: the lines before the two differ, so the shared run can't be longer on either side."""
+    ranks = _ranks(lines)
+    last = ranks[0].select("pos", "rank")
+    for r in ranks[1:]:
+        last = last.unionByName(r.select("pos", "rank"))
+    # a later rank is never below an earlier one
+    last = last.groupBy("pos").agg(F.max("rank").alias("rank"))
+    along = Window.partitionBy("run").orderBy("pos")
+    rows = lines.select("pos", "run", "end", F.col("rank").alias("line")).withColumn("left", F.lag("line").over(along)).join(last, "pos")
+    rows = _ordered(rows, ["rank", "pos"], {}, "suffix-order", ("pos", "end", "line", "left"))
+    meets = F.coalesce(F.col("before.line") == F.col("line"), F.lit(False))
+    same_left = F.coalesce(F.col("before.left") == F.col("left"), F.lit(False))
+    rows = rows.select("pos", "run", "end", "index", F.col("before.pos").alias("other"), F.col("before.end").alias("other_end"), meets.alias("meets"), (~same_left).alias("maximal"))
+    rows = materialise(rows, "suffix-neighbours")
+    pairs = rows.where("meets AND maximal").select("pos", "end", "other", "other_end", F.lit(0).cast("long").alias("lcp"))
+    for depth in reversed(range(len(ranks))):
+        mine = ranks[depth].select(F.col("pos").alias("at"), F.col("rank").alias("mine"))
+        its = ranks[depth].select(F.col("pos").alias("at"), F.col("rank").alias("its"))
+        pairs = pairs.withColumn("at", F.col("pos") + F.col("lcp")).join(mine, "at", "left")
+        pairs = pairs.withColumn("at", F.col("other") + F.col("lcp")).join(its, "at", "left").drop("at")
+        pairs = pairs.withColumn("lcp", F.col("lcp") + F.when(F.col("mine") == F.col("its"), 1 << depth).otherwise(0)).drop("mine", "its")
+        # suffixes that are equal to the end of their stretches have equal ranks at any depth
+        pairs = pairs.withColumn("lcp", F.least("lcp", F.col("end") - F.col("pos") + 1, F.col("other_end") - F.col("other") + 1))
+        if depth % 3 == 0:
+            pairs = materialise(pairs, f"prefixes-{depth}")
+    rows = rows.join(pairs.select("pos", "lcp"), "pos", "left")
+    known = F.when(~F.col("meets") | F.col("maximal"), F.col("pos") + F.coalesce("lcp", F.lit(0)))
+    reach = F.last(known, True).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("lcp", reach - F.col("pos")).select("pos", "run", "end", "index", "other", "lcp", "maximal")
+
+
+def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The maximal repeated runs between neighbours in suffix order: of ``lines`` lines and ``words`` words, at ``unit``
+    of ``doc_id`` and at ``other_unit`` of ``other_doc_id``. Neither can be made longer on either side."""
+    lines = _lines(_keyed(documents.select("doc_id", "text")), min_words)
+    runs = suffix_order(lines).where("maximal AND lcp > 0").withColumn("till_pos", F.col("pos") + F.col("lcp") - 1)
+    no_id = F.lit((1 << 63) - 1)
+    place = [F.when(F.col(DOC[0]) != no_id, F.col(DOC[0])), F.col("unit")]
+    runs = runs.join(lines.select("pos", place[0].alias("doc_id"), "unit", "since"), "pos")
+    runs = runs.join(lines.select(F.col("pos").alias("till_pos"), "till"), "till_pos").withColumn("words", F.col("till") - F.col("since")).where(F.col("words") >= min_words)
+    other = lines.select(F.col("pos").alias("other"), place[0].alias("other_doc_id"), place[1].alias("other_unit"))
+    return runs.join(other, "other").select("doc_id", "unit", "other_doc_id", "other_unit", F.col("lcp").alias("lines"), "words")
+
 
+def deleted_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per document with deletions: ``runs``, the sorted disjoint intervals of deleted units."""
+    lines = _lines(documents, min_words)
+    in_doc = Window.partitionBy(*DOC)
     ahead = lines.where("f_len is not null").select(*DOC, "unit", "pos", F.col("f_len").alias("len"))
     back = lines.where("b_len is not null").select(*DOC, (F.col("unit") - F.col("b_len") + 1).alias("unit"), (F.col("pos") - F.col("b_len") + 1).alias("pos"), F.col("b_len").alias("len"))
     windows = ahead.unionByName(back).distinct()
-    depth_of = F.expr("int(floor(log2(len)))")
-    windows = windows.withColumn("depth", depth_of)
-    deepest = lines.select(F.greatest(F.max("f_len"), F.max("b_len"))).first()[0]
-
-    ranks, level = None, 0
-    by_line = lines.groupBy("h1", "h2").agg(F.min("pos").alias("rank"))
-    now = lines.select(*DOC, "pos", "h1", "h2").join(by_line, ["h1", "h2"]).select(*DOC, "pos", "rank")
-    while deepest is not None and (1 << level) <= deepest:
-        now = materialise(now, f"line-ranks-{level}")
-        here = now.select("pos", F.lit(level).alias("depth"), "rank")
-        ranks = here if ranks is None else ranks.unionByName(here)
-        step = 1 << level
-        order = in_doc.orderBy("pos")
-        # the row `step` lines on is at most `step` rows on; gaps are found by its position
-        pair = now.withColumn("next_pos", F.lead("pos", step).over(order)).withColumn("next_rank", F.lead("rank", step).over(order))
-        pair = pair.where(F.col("next_pos") == F.col("pos") + step)
-        names = pair.groupBy("rank", "next_rank").agg(F.min("pos").alias("new_rank"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        now = pair.join(names, ["rank", "next_rank"]).select(*DOC, "pos", F.col("new_rank").alias("rank"))
-        level += 1
-    if ranks is None:
-        return windows.select(*DOC, F.array(F.struct(F.col("unit").alias("first"), F.col("unit").alias("last"))).alias("runs")).where(F.lit(False))
-
-    left = ranks.select("pos", "depth", F.col("rank").alias("left"))
-    right = ranks.select(F.col("pos").alias("right_pos"), "depth", F.col("rank").alias("right"))
-    windows = windows.join(left, ["pos", "depth"])
-    windows = windows.withColumn("right_pos", F.col("pos") + F.col("len") - F.expr("shiftleft(1, depth)")).join(right, ["right_pos", "depth"])
-    first = windows.groupBy("len", "left", "right").agg(F.min("pos").alias("first_pos"))
-    copies = windows.join(first, ["len", "left", "right"]).where("pos > first_pos").select(*DOC, "unit", (F.col("unit") + F.col("len") - 1).alias("last"))
+    order = suffix_order(lines).select("pos", F.col("index").alias("suffix"), "lcp")
+    # runs of a length that are equal are neighbours, as all that begin with them are runs of that length too
+    windows = _ordered(windows.join(order, "pos"), ["len", "suffix"], {"key": "lcp < len"}, "run-intervals", ("len",)).where(f"NOT ({ALONE})")
+    first = windows.groupBy("key").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+    copies = salted_join(windows.select("key", *DOC, "unit", "pos", "len"), first, ["key"])
+    copies = copies.where("pos > first_pos").select(*DOC, "unit", (F.col("unit") + F.col("len") - 1).alias("last"))
     order = in_doc.orderBy("unit", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("unit") > reach + 1), 1).otherwise(0)
