@@ -103,19 +103,31 @@ def _ordered(rows: DataFrame, order: list[str], opens: dict[str, str], name: str
 ALONE = "key = index AND closes"
 
 
+def _n_words(line: str):
+    """Matches of WORD. Where all white space is single spaces they are counted by bytes, else by the pattern."""
+    bare = F.trim(F.col(line))
+    odd = F.contains(F.col(line), F.lit("  "))
+    for c in "\t\n\x0b\x0c\r":
+        odd = odd | F.contains(F.col(line), F.lit(c))
+    spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+    return F.when(odd, F.regexp_count(line, F.lit(WORD))).when(F.octet_length(bare) == 0, 0).otherwise(spaces + 1)
+
+
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """doc, unit, words and rank of every line with words that occurs twice or more; equal lines share a rank."""
     docs = documents.where("text is not null").select(*DOC, F.posexplode(F.split("text", UNIT)).alias("unit", "line"))
     line = F.substring_index("line", "\n", 1)
     lines = docs.select(*DOC, "unit", line.alias("line")).select(
-        *DOC, "unit", F.regexp_count("line", F.lit(WORD)).alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
+        *DOC, "unit", _n_words("line").alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
     )
-    lines = _ordered(lines.where("words > 0"), ["h1", "h2", *DOC, "unit"], {"key": "h1 <> before.h1 OR h2 <> before.h2"}, "line-ranks", ("h1", "h2"))
+    # written, as the sort reads its rows twice
+    lines = materialise(lines.where("words > 0"), "lines")
+    lines = _ordered(lines, ["h1", "h2", *DOC, "unit"], {"key": "h1 <> before.h1 OR h2 <> before.h2"}, "line-ranks", ("h1", "h2"))
     return lines.where(f"NOT ({ALONE})").select(*DOC, "unit", "words", F.col("key").alias("rank"))
 
 
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
-    """Repeated lines with their global position, the first and last position of their stretch, and the lengths of the
+    """Repeated lines, in stretches of ``min_words`` words or more, with their global position, the first and last position of their stretch, and the lengths of the
     shortest runs of ``min_words`` words that start (f_len) and end (b_len) with them."""
     # copies of a row have equal lines: one of them stays
     lines = repeated_lines(documents).join(_starts(documents), DOC).groupBy(*DOC, "unit").agg(
@@ -126,6 +138,8 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     lines = lines.withColumn("till", F.sum("words").over(running)).withColumn("since", F.col("till") - F.col("words"))
     gap = F.coalesce(F.lag("unit").over(in_doc.orderBy("unit")) != F.col("unit") - 1, F.lit(True))
     lines = lines.withColumn("gap", gap).withColumn("run", F.last(F.when(F.col("gap"), F.col("pos")), True).over(running))
+    # a stretch of fewer words holds no run
+    lines = lines.withColumn("all", F.sum("words").over(Window.partitionBy(*DOC, "run"))).where(F.col("all") >= min_words)
     ahead = in_doc.orderBy("since").rangeBetween(0, min_words - 1)
     behind = in_doc.orderBy("till").rangeBetween(-(min_words - 1), 0)
     lines = lines.withColumn("f_len", F.count(F.lit(1)).over(ahead)).withColumn("f_last", F.max("unit").over(ahead)).withColumn("f_till", F.max("till").over(ahead))
