@@ -143,10 +143,10 @@ def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     ahead = in_doc.orderBy("since").rangeBetween(0, min_words - 1)
     behind = in_doc.orderBy("till").rangeBetween(-(min_words - 1), 0)
     lines = lines.withColumn("f_len", F.count(F.lit(1)).over(ahead)).withColumn("f_last", F.max("unit").over(ahead)).withColumn("f_till", F.max("till").over(ahead))
-    lines = lines.withColumn("b_len", F.count(F.lit(1)).over(behind)).withColumn("b_first", F.min("unit").over(behind))
-    # unrepeated lines are missing from the rows: a run over such a gap has no copy anyway
+    lines = lines.withColumn("b_len", F.count(F.lit(1)).over(behind)).withColumn("b_first", F.min("unit").over(behind)).withColumn("b_since", F.min("since").over(behind))
+    # unrepeated lines and short stretches are missing from the rows: a run over such a gap has no copy anyway
     whole_f = (F.col("f_last") - F.col("unit") + 1 == F.col("f_len")) & (F.col("f_till") - F.col("since") >= min_words)
-    whole_b = (F.col("unit") - F.col("b_first") + 1 == F.col("b_len")) & (F.col("till") >= min_words)
+    whole_b = (F.col("unit") - F.col("b_first") + 1 == F.col("b_len")) & (F.col("till") - F.col("b_since") >= min_words)
     lines = lines.withColumn("f_len", F.when(whole_f, F.col("f_len").cast("int"))).withColumn("b_len", F.when(whole_b, F.col("b_len").cast("int")))
     lines = lines.withColumn("end", F.max("pos").over(Window.partitionBy(*DOC, "run")))
     return materialise(lines.select(*DOC, "unit", "pos", "run", "end", "rank", "till", "since", "f_len", "b_len"), "line-runs")

@@ -143,6 +143,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert gone
 
 
+def test_line_dedup_behind_short_stretches(spark):
+    """A repeated stretch too short for a run, then a line of its own, then a longer stretch: its first lines are no run by themselves."""
+    docs = [(i, f"q r s\nown {i}\na b c\n{rest}") for i, rest in enumerate(["g h i", "d e f", "d e f\ng h i"])] + [(3, "d e f\ng h i\nq r s")]
+    gone = _deleted(docs, 6)
+    got = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect()
+    assert {(r.doc_id, k) for r in got for run in r.deleted_runs for k in range(run.first, run.last + 1)} == gone == {(2, 2), (2, 3), (3, 0), (3, 1)}
+
+
 def test_ids_are_sentencepieces_own(spark):
     import sentencepiece
 
