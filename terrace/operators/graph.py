@@ -20,6 +20,17 @@ def settle(df: DataFrame) -> DataFrame:
     return materialise(df, "graph")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join in a walk: both sides are shuffled, however small. Each of many steps would else send its
+    rows to the driver for a broadcast."""
+    return df.hint("merge")
+
+
+def levelled(edges: DataFrame, of_level: DataFrame, end: str) -> DataFrame:
+    """``edges`` with the ``level`` of their table at ``end`` (src or dst), written so that a level is read without the others."""
+    return settle(edges.join(dealt(of_level.select(F.col("node").alias(end), "level")), end).sortWithinPartitions("level"))
+
+
 def folded(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with its ``names`` columns trimmed and in lower case."""
     return df.withColumns({c: F.lower(F.trim(c)) for c in names})
@@ -125,20 +136,20 @@ class CycleError(ValueError):
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and level: 0 without an upstream, else one more than the highest upstream; a cycle is a ``CycleError``.
 
-    A turn writes the edges that still have an edge before them; the targets that are no targets of those are a level.
+    A turn writes the edges that still have an edge before them; a table's level is the last turn that it is a target in.
     """
     nodes = settle(folded(nodes.select("node"), "node").distinct())
-    left, before, done = settle(table_graph(edges)), nodes, []
-    for k in itertools.count():
-        targets = left.select(F.col("dst").alias("node")).distinct()
-        done.append(before.join(targets, "node", "left_anti").withColumn("level", F.lit(k)))
+    left, turns = settle(table_graph(edges)), []
+    for k in itertools.count(1):
         n = left.count()
+        turns.append(left.select(F.col("dst").alias("node"), F.lit(k).alias("level")))
         if not n:
-            return reduce(DataFrame.unionByName, done).join(nodes, "node", "left_semi")
-        rest = settle(left.join(targets.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+            last = reduce(DataFrame.unionByName, turns).groupBy("node").agg(F.max("level").alias("level"))
+            return nodes.join(dealt(last), "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+        rest = settle(left.join(dealt(left.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").select("src", "dst"))
         if rest.count() == n:
             raise CycleError(rest)
-        left, before = rest, targets
+        left = rest
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .assess import issue_diff
 from .canonical import fingerprint
-from .graph import folded, levels, reachable, settle, table_graph
+from .graph import dealt, folded, levels, reachable, settle, table_graph
 
 
 def changed_assets(paths: DataFrame) -> DataFrame:
@@ -58,24 +58,26 @@ def resolve_modes(facts: DataFrame, edges: DataFrame, history: DataFrame | None
         facts = facts.withColumn("table_id", F.lower(F.trim("table_name")))
     facts = settle(folded(facts, "table_name"))
     spark = facts.sparkSession
-    past = spark.createDataFrame([], "table_id string, context string, past_mode string, past_run string") if history is None else settle(newest_declarations(history))
     known = facts.select(F.col("table_name").alias("node"))
-    e = table_graph(edges).join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    e = table_graph(edges).join(dealt(known.withColumnRenamed("node", "src")), "src", "left_semi").join(dealt(known.withColumnRenamed("node", "dst")), "dst", "left_semi")
     e = settle(e)
     of_level = settle(levels(known, e))
+    # facts, declarations and edges are written with their levels: each level reads its own rows alone
+    ends = [dealt(of_level.select(F.col("node").alias(c), F.col("level").alias(f"{c}_level"))) for c in ("src", "dst")]
+    e = settle(e.join(ends[0], "src").join(ends[1], "dst").sortWithinPartitions("src_level"))
+    facts = settle(facts.join(dealt(of_level.withColumnRenamed("node", "table_name")), "table_name").sortWithinPartitions("level"))
+    past = spark.createDataFrame([], "table_id string, context string, past_mode string, past_run string, level int")
+    if history is not None:
+        past = settle(newest_declarations(history).join(dealt(facts.select("table_id", "level").distinct()), "table_id").sortWithinPartitions("level"))
     none = F.array().cast(f"array<{UPSTREAM}>")
-    done, k = None, 0
-    while True:
-        here = facts.join(of_level.where(F.col("level") == k).select(F.col("node").alias("table_name")), "table_name")
-        if done is None:
-            ups = here.select("table_name").where("false").withColumn("ups", none)
-        else:
-            met = e.join(done.withColumnRenamed("table_name", "src"), "src")
-            one = F.struct(F.col("table_id").alias("upstream_table_id"), F.col("fingerprint").alias("upstream_semantic_context_fingerprint"), F.col("mode").alias("upstream_resolved_mode"))
-            ups = met.groupBy(F.col("dst").alias("table_name")).agg(F.collect_list(one).alias("ups"))
-        rows = here.join(ups, "table_name", "left").withColumn("ups", F.coalesce("ups", none))
+    sent = e.select("dst", "dst_level").withColumn("up", F.lit(None).cast(UPSTREAM)).where("false")
+    done = None
+    for k in range((of_level.agg(F.max("level")).first()[0] or 0) + 1):
+        here = facts.where(F.col("level") == k).drop("level")
+        ups = sent.where(F.col("dst_level") == k).groupBy(F.col("dst").alias("table_name")).agg(F.collect_list("up").alias("ups"))
+        rows = here.join(dealt(ups), "table_name", "left").withColumn("ups", F.coalesce("ups", none))
         rows = rows.withColumn("fingerprint", context_fingerprint(F.col("local_fingerprint"), F.col("ups")))
-        rows = rows.join(past.withColumnRenamed("context", "fingerprint"), ["table_id", "fingerprint"], "left")
+        rows = rows.join(dealt(past.where(F.col("level") == k).drop("level").withColumnRenamed("context", "fingerprint")), ["table_id", "fingerprint"], "left")
         declared = F.col("declared_mode").isNotNull()
         fresh = declared & F.col("declared_context").isNull()
         kept = declared & (F.col("declared_context") == F.col("fingerprint"))
@@ -85,10 +87,12 @@ def resolve_modes(facts: DataFrame, edges: DataFrame, history: DataFrame | None
         source = F.when(fresh, "user").when(kept | found, "inherited_user").when(risky, "upstream_propagation").when(same, "automatic").otherwise("default_unknown")
         mode = F.when(fresh | kept, F.col("declared_mode")).when(found, F.col("past_mode")).when(risky, "unknown").when(same, "equivalent").otherwise("unknown")
         now = settle(rows.select("table_name", "table_id", mode.alias("mode"), source.alias("source"), "fingerprint", F.when(found, F.col("past_run")).alias("run_id")))
-        if now.isEmpty():
-            return (now if done is None else done).drop("table_id")
         done = now if done is None else done.unionByName(now)
-        k += 1
+        # what a table is goes along its edges once, to the levels below
+        one = F.struct(F.col("table_id").alias("upstream_table_id"), F.col("fingerprint").alias("upstream_semantic_context_fingerprint"), F.col("mode").alias("upstream_resolved_mode"))
+        down = e.where(F.col("src_level") == k).join(dealt(now.select(F.col("table_name").alias("src"), one.alias("up"))), "src")
+        sent = sent.unionByName(settle(down.select("dst", "dst_level", "up").sortWithinPartitions("dst_level")))
+    return done.drop("table_id")
 
 
 def boundaries(resolved: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:

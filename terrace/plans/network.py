@@ -22,7 +22,7 @@ def edges_of(spark, d):
     """src and dst: every customer's table feeds that of a third of its number, and one of about half of it for each order."""
     c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a")).withColumn("b", F.expr("a div 3"))
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("a"), F.expr("o_custkey div 2 - o_orderkey % 2").cast("long").alias("b")).where("b >= 0 and b < a")
-    return c.union(o).distinct().select(_name(F.col("a")).alias("src"), _name(F.col("b")).alias("dst"))
+    return graph.settle(c.union(o).distinct().select(_name(F.col("a")).alias("src"), _name(F.col("b")).alias("dst")))
 
 
 def cyclic_edges_of(spark, d):

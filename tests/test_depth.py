@@ -255,3 +255,10 @@ def test_only_facts_must_describe_all_columns(spark):
     assert got == [("d", "a", "duplicate"), ("d", "z", "unknown"), ("f", "b", "missing")]
     none = assess.validate_columns(declared, returned, spark.createDataFrame([("F",)], "table_name string")).where("problem = 'unavailable'").collect()
     assert [(r.table_name, r.name) for r in none] == [("none", None)]
+
+
+def test_levels_read_no_broadcast(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")], "src string, dst string")
+    got = graph.levels(edges.selectExpr("src as node").union(edges.selectExpr("dst")), edges)
+    assert {tuple(r) for r in got.collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 2)}
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
