@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import folded, settle, table_graph
+from .graph import CycleError, dealt, folded, levelled, levels, settle, table_graph
 
 
 def period_start(at: Column, period: Column, week_start: int = 1) -> Column:
@@ -75,10 +75,33 @@ def along_edges(anchors: DataFrame, periods: DataFrame, edges: DataFrame, week_s
 
 def _grown(windows: DataFrame, periods: DataFrame, week_start: int) -> DataFrame:
     """``windows`` with their table's period, each widened to whole ones; tables without a period keep theirs as they are."""
-    rows = windows.join(periods, "table_name", "left")
+    rows = windows.join(dealt(periods), "table_name", "left")
     last = period_start(F.col("end") - F.expr("interval 1 microsecond"), F.col("period"), week_start)
     low = F.coalesce(period_start(F.col("start"), F.col("period"), week_start), "start")
-    return rows.select("table_name", "period", low.alias("start"), F.coalesce(period_next(last, F.col("period")), "end").alias("end"), "anchor")
+    return rows.select("table_name", "period", low.alias("start"), F.coalesce(period_next(last, F.col("period")), "end").alias("end"), "anchors")
+
+
+def _merged(windows: DataFrame) -> DataFrame:
+    """``windows`` with those of a table that touch made one, with all their anchors."""
+    order = Window.partitionBy("table_name").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    merged = windows.withColumn("island", island).groupBy("table_name", "period", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("anchors")))).alias("anchors"))
+    return merged.drop("island")
+
+
+def _walked(first: DataFrame, periods: DataFrame, edges: DataFrame, week_start: int) -> DataFrame:
+    """The windows of all anchors, step by step until nothing new comes up: for graphs with a cycle, where there are no levels."""
+    key = ["table_name", "start", "end", "anchors"]
+    front = seen = settle(_grown(first.distinct(), periods, week_start).distinct())
+    most, steps = edges.select("src").distinct().count(), 0
+    while not front.isEmpty():
+        if steps > most:
+            raise ValueError("the graph has a cycle")
+        up = edges.join(dealt(front.withColumnRenamed("table_name", "dst")), "dst").select(F.col("src").alias("table_name"), "start", "end", "anchors").distinct()
+        front = settle(_grown(up, periods, week_start).distinct().join(dealt(seen.select(*key)), key, "left_anti"))
+        seen, steps = seen.unionByName(front), steps + 1
+    return seen
 
 
 def along_lineage(anchors: DataFrame, periods: DataFrame, edges: DataFrame, week_start: int = 1) -> DataFrame:
@@ -86,27 +109,28 @@ def along_lineage(anchors: DataFrame, periods: DataFrame, edges: DataFrame, week
 
     anchors: table_name, start, end (half-open); periods: table_name, period (H, D, W or M; tables that have none pass windows
     on as they are); edges: src, dst. A window is widened to whole periods of its table and so handed to every upstream, level by
-    level: a month above a day widens all that is above it. Windows of a table that touch are one, with all their anchors;
+    level, once all that the table feeds are done: a month above a day widens all that is above it. Windows of a table that touch are one, with all their anchors;
     others stay apart. Empty windows need nothing. A cycle would widen windows for ever and is an error.
     """
     edges = settle(table_graph(edges))
     periods = settle(folded(periods.select("table_name", "period"), "table_name").where("period is not null").distinct())
-    first = folded(anchors, "table_name").where("start < `end`").select("table_name", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), F.col("table_name").alias("anchor"))
-    key = ["table_name", "start", "end", "anchor"]
-    front = seen = settle(_grown(first.distinct(), periods, week_start).distinct())
-    most, steps = edges.select("src").distinct().count(), 0
-    while not front.isEmpty():
-        if steps > most:
-            raise ValueError("the graph has a cycle")
-        up = front.withColumnRenamed("table_name", "dst").join(edges, "dst").select(F.col("src").alias("table_name"), "start", "end", "anchor").distinct()
-        front = settle(_grown(up, periods, week_start).distinct().join(seen.select(*key), key, "left_anti"))
-        seen, steps = seen.unionByName(front), steps + 1
-    once = seen.groupBy("table_name", "period", "start", "end").agg(F.collect_set("anchor").alias("anchors"))
-    order = Window.partitionBy("table_name").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = once.withColumn("island", island).groupBy("table_name", "period", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("anchors")))).alias("anchors"))
-    return merged.drop("island")
+    first = folded(anchors, "table_name").where("start < `end`").select("table_name", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), F.array("table_name").alias("anchors"))
+    first = settle(first.distinct())
+    try:
+        of_level = settle(levels(edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(first.select("table_name")), edges))
+    except CycleError:
+        return _merged(_walked(first, periods, edges, week_start))
+    first = settle(first.join(dealt(of_level.withColumnRenamed("node", "table_name")), "table_name"))
+    up, done = levelled(edges, of_level, "src"), None
+    # windows that touch do so above as well, widened or not: they are handed on as one
+    for k in range(first.agg(F.max("level")).first()[0] or 0, -1, -1):
+        at = first.where(F.col("level") == k).drop("level")
+        if done is not None:
+            below = dealt(done.select(F.col("table_name").alias("dst"), "start", "end", "anchors"))
+            at = at.unionByName(up.where(F.col("level") == k).join(below, "dst").select(F.col("src").alias("table_name"), "start", "end", "anchors"))
+        here = settle(_merged(_grown(at, periods, week_start)))
+        done = here if done is None else done.unionByName(here)
+    return done
 
 
 def execution_values(windows: DataFrame, week_start: int = 1) -> DataFrame:

@@ -262,3 +262,14 @@ def test_levels_read_no_broadcast(spark):
     got = graph.levels(edges.selectExpr("src as node").union(edges.selectExpr("dst")), edges)
     assert {tuple(r) for r in got.collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 2)}
     assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_by_levels_are_those_of_the_walk(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(f"t{b}", f"t{a}") for b in range(1, 14) for a in {rng.randrange(b) for _ in range(2)}], "src string, dst string")
+    kinds = spark.createDataFrame([(f"t{i}", rng.choice("HDWM")) for i in range(0, 14) if i % 4], "table_name string, period string")
+    anchors = spark.createDataFrame([(f"t{rng.randrange(3)}", day, day + dt.timedelta(hours=rng.choice([5, 24, 40]))) for day in (dt.datetime(2024, 1, 28) + dt.timedelta(days=k) for k in range(0, 4))], "table_name string, start timestamp_ntz, end timestamp_ntz")
+    first = anchors.withColumn("anchors", F.array("table_name"))
+    want = periods._merged(periods._walked(first, kinds, edges, 1)).collect()
+    got = periods.along_lineage(anchors, kinds, edges).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 14
