@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cycles import components
-from .graph import folded, settle, table_graph
+from .graph import dealt, folded, settle, table_graph
 
 
 def _keys(entities: DataFrame, *also: str) -> DataFrame:
@@ -32,21 +32,21 @@ def dimension_codes(dimensions: DataFrame, edges: DataFrame, established: DataFr
     """
     dims = settle(folded(dimensions, "table_name").select("table_name", "code", "keys"))
     keys = settle(_keys(dims))
-    met = _columns(edges).where("src <> dst").join(keys.select(F.col("table_name").alias("src"), F.col("key").alias("src_column")), ["src", "src_column"]).join(
-        keys.select(F.col("table_name").alias("dst"), F.col("key").alias("dst_column"), "n_keys"), ["dst", "dst_column"])
+    met = _columns(edges).where("src <> dst").join(dealt(keys.select(F.col("table_name").alias("src"), F.col("key").alias("src_column"))), ["src", "src_column"]).join(
+        dealt(keys.select(F.col("table_name").alias("dst"), F.col("key").alias("dst_column"), "n_keys")), ["dst", "dst_column"])
     full = met.groupBy("src", "dst", "n_keys").agg(F.count_distinct("dst_column").alias("n")).where("n = n_keys").select("src", "dst")
     full = settle(full)
     # both ways round, what is connected is a cycle
     of = settle(components(full.unionByName(full.select(F.col("dst").alias("src"), F.col("src").alias("dst")))).withColumnRenamed("node", "table_name"))
     code = F.nullif(F.trim("code"), F.lit(""))
-    rows = of.join(dims.select("table_name", code.alias("code")), "table_name").withColumn("key", F.lower("code"))
-    rows = rows.join(full.select(F.col("dst").alias("table_name"), F.lit(True).alias("fed")).distinct(), "table_name", "left")
+    rows = of.join(dealt(dims.select("table_name", code.alias("code"))), "table_name").withColumn("key", F.lower("code"))
+    rows = rows.join(dealt(full.select(F.col("dst").alias("table_name"), F.lit(True).alias("fed")).distinct()), "table_name", "left")
     known = established.select(F.lower(F.trim("code")).alias("key"), F.trim("code").alias("as_known")).groupBy("key").agg(F.min("as_known").alias("as_known"))
     rows = settle(rows.join(known, "key", "left"))
     root = F.when(F.col("fed").isNull(), F.col("code"))
     groups = rows.groupBy("component").agg(F.count_distinct("as_known").alias("n_known"), F.min("as_known").alias("one_known"), F.count_distinct(root).alias("n_roots"), F.min(root).alias("one_root"))
     chosen = F.when(F.col("n_known") == 1, F.col("one_known")).when((F.col("n_known") == 0) & (F.col("n_roots") == 1), F.col("one_root"))
-    out = rows.join(groups.select("component", chosen.alias("new_code")).where("new_code is not null"), "component")
+    out = rows.join(dealt(groups.select("component", chosen.alias("new_code")).where("new_code is not null")), "component")
     return out.where(~F.lower("code").eqNullSafe(F.lower("new_code"))).select("table_name", "code", "new_code")
 
 
