@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cycles import condensed
-from .graph import CycleError, folded, levels, reachable, settle, table_graph
+from .graph import CycleError, dealt, folded, levelled, levels, reachable, settle, table_graph
 
 #: The weights of the dimensions.
 WEIGHTS = {"reuse": 0.18, "depth": 0.18, "model_design": 0.18, "naming": 0.18, "asset_completeness": 0.09, "metadata_health": 0.09, "code_quality": 0.1}
@@ -28,19 +28,20 @@ def depth_scores(models: DataFrame, edges: DataFrame) -> DataFrame:
     """
     e, known = settle(table_graph(edges)), settle(folded(models, "name").select(F.col("name").alias("node"), "layer"))
     nodes = settle(e.select(F.col("src").alias("node")).union(e.select("dst")).union(known.select("node")).distinct())
-    own = nodes.join(known, "node", "left").withColumn("own", F.coalesce(F.col("layer").isin("DWD", "DWS", "DIM").cast("int"), F.lit(0)))
+    own = nodes.join(dealt(known), "node", "left").withColumn("own", F.coalesce(F.col("layer").isin("DWD", "DWS", "DIM").cast("int"), F.lit(0)))
     try:
         own, at = own.withColumn("group", F.col("node")), levels(nodes, e)
     except CycleError:
         of, e = condensed(nodes, e)
-        own, at = own.join(of, "node"), levels(of.select(F.col("group").alias("node")), e)
+        own, at = own.join(dealt(of), "node"), levels(of.select(F.col("group").alias("node")), e)
     own = settle(own)
-    of = settle(own.groupBy(F.col("group").alias("node")).agg(F.sum("own").cast("int").alias("own")).join(at, "node"))
+    of = settle(own.groupBy(F.col("group").alias("node")).agg(F.sum("own").cast("int").alias("own")).join(dealt(at), "node").sortWithinPartitions("level"))
     most = of.agg(F.max("level")).first()[0]
+    e = levelled(e, of, "dst")
     done = settle(of.where("level = 0").select("node", F.col("own").alias("depth")))
     for k in range(1, (most or 0) + 1):
-        above = e.join(done.select(F.col("node").alias("src"), "depth"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("depth").alias("above"))
-        here = of.where(F.col("level") == k).join(above, "node").select("node", (F.col("own") + F.col("above")).alias("depth"))
+        above = e.where(F.col("level") == k).join(dealt(done.select(F.col("node").alias("src"), "depth")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("depth").alias("above"))
+        here = of.where(F.col("level") == k).join(dealt(above), "node").select("node", (F.col("own") + F.col("above")).alias("depth"))
         done = done.unionByName(settle(here))
     score = F.when(F.col("depth") == 2, 100).when(F.col("depth") == 1, 50).when(F.col("depth") == 0, 0).otherwise(30)
     return own.where("layer = 'ADS'").select(F.col("node").alias("name"), F.col("group").alias("node")).join(done, "node").select("name", "depth", score.alias("score"))
