@@ -49,14 +49,14 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select("*", F.coalesce(F.col("doc_id").cast("long"), no_id).alias(DOC[0]), F.xxhash64("text").alias(DOC[1]))
 
 
-def _starts(docs: DataFrame) -> DataFrame:
-    """The global position of each document's first line: prefix sums over the documents in order.
+def _starts(lines: DataFrame) -> DataFrame:
+    """The global position of each document's first unit, from the rows of all its lines: prefix sums over the documents
+    in order of how many units they have up to the last line with a word.
 
     Documents are range-sorted into written files; window sums inside each range
     and over the range totals give the starts, so no task holds all documents.
     """
-    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    sizes = docs.where("text is not null").select(*DOC, (newlines + 1).cast("long").alias("lines")).distinct()
+    sizes = lines.groupBy(*DOC).agg((F.max("unit") + 1).cast("long").alias("lines"))
     ranged = sizes.repartitionByRange(*DOC).withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged, "line-starts")
     totals = ranged.groupBy("part").agg(F.sum("lines").alias("all"))
@@ -103,25 +103,34 @@ def _ordered(rows: DataFrame, order: list[str], opens: dict[str, str], name: str
 ALONE = "key = index AND closes"
 
 
+def _wordless(line):
+    return F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) == ""
+
+
 def _n_words(line: str):
-    """Matches of WORD. Where all white space is single spaces they are counted by bytes, else by the pattern."""
-    bare = F.trim(F.col(line))
+    """Matches of WORD in a line with words. Where all white space is single spaces they are counted by bytes, else by the pattern."""
     odd = F.contains(F.col(line), F.lit("  "))
-    for c in "\t\n\x0b\x0c\r":
+    for c in "\t\x0b\x0c\r":
         odd = odd | F.contains(F.col(line), F.lit(c))
+    bare = F.trim(F.col(line))
     spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
-    return F.when(odd, F.regexp_count(line, F.lit(WORD))).when(F.octet_length(bare) == 0, 0).otherwise(spaces + 1)
+    return F.when(odd, F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1)
 
 
-def repeated_lines(documents: DataFrame) -> DataFrame:
-    """doc, unit, words and rank of every line with words that occurs twice or more; equal lines share a rank."""
-    docs = documents.where("text is not null").select(*DOC, F.posexplode(F.split("text", UNIT)).alias("unit", "line"))
-    line = F.substring_index("line", "\n", 1)
-    lines = docs.select(*DOC, "unit", line.alias("line")).select(
-        *DOC, "unit", _n_words("line").alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2")
-    )
-    # written, as the sort reads its rows twice
-    lines = materialise(lines.where("words > 0"), "lines")
+def _all_lines(documents: DataFrame) -> DataFrame:
+    """doc, unit, words and hashes of every line with words, written."""
+    docs = documents.where("text is not null").select(*DOC, "text", F.split("text", "\n").alias("plain"))
+    # without a wordless line each line is a unit, and the pattern, which costs several times as much, isn't needed
+    units = F.transform(F.split("text", UNIT), lambda u: F.substring_index(u, "\n", 1))
+    lines = docs.select(*DOC, F.posexplode(F.when(F.exists("plain", _wordless), units).otherwise(F.col("plain"))).alias("unit", "line"))
+    # rows are left out before their words are counted: a filter on the count would count twice
+    lines = lines.where(~_wordless(F.col("line"))).select(*DOC, "unit", _n_words("line").alias("words"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    return materialise(lines, "lines")
+
+
+def repeated_lines(lines: DataFrame) -> DataFrame:
+    """doc, unit, words and rank of every one of ``lines`` that occurs twice or more; equal lines share a rank."""
+    # the sort reads its rows twice
     lines = _ordered(lines, ["h1", "h2", *DOC, "unit"], {"key": "h1 <> before.h1 OR h2 <> before.h2"}, "line-ranks", ("h1", "h2"))
     return lines.where(f"NOT ({ALONE})").select(*DOC, "unit", "words", F.col("key").alias("rank"))
 
@@ -129,8 +138,9 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 def _lines(documents: DataFrame, min_words: int) -> DataFrame:
     """Repeated lines, in stretches of ``min_words`` words or more, with their global position, the first and last position of their stretch, and the lengths of the
     shortest runs of ``min_words`` words that start (f_len) and end (b_len) with them."""
+    every = _all_lines(documents)
     # copies of a row have equal lines: one of them stays
-    lines = repeated_lines(documents).join(_starts(documents), DOC).groupBy(*DOC, "unit").agg(
+    lines = repeated_lines(every).join(_starts(every), DOC).groupBy(*DOC, "unit").agg(
         F.first("words").alias("words"), F.first("rank").alias("rank"), (F.first("start") + F.col("unit")).alias("pos")
     )
     in_doc = Window.partitionBy(*DOC)

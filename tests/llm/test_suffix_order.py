@@ -1,6 +1,7 @@
 """Line dedup's suffix order, common prefixes and maximal runs against brute force."""
 
 import random
+import re
 
 from terrace.llm import line_dedup
 
@@ -68,3 +69,34 @@ def test_no_repeats_and_no_rows(spark):
         df = spark.createDataFrame(docs, "doc_id long, text string")
         assert line_dedup.repeated_runs(df, 1).isEmpty()
         assert sorted(r.deleted_lines for r in line_dedup.line_dedup(df, 1).collect()) == [0] * len(docs)
+
+
+ODD = ["", "\n", "\n\n a", "a\n \nb", "a b\n", "  a  b \nc", "\tq\x0bz\n\r\nx y\r\n", "é ü\nß", "a\n\x0c\n\x0b\nb c d", "x\ny z\n\n\n", "\xa0\n\xa0 b", " \n \n", "a\rb\nc\r", "one two\nthree"]
+
+
+def test_lines_are_split_and_counted_once(spark, monkeypatch):
+    plans, write = [], line_dedup.materialise
+
+    def spy(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialise", spy)
+    docs = line_dedup._keyed(spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string"))
+    line_dedup._lines(docs, 1)
+    # words are counted in one place, and texts are read for lines alone, not once more for their number
+    assert sum(p.count("regexp_extract_all") + p.count("regexp_count") for n, p in plans if n == "lines") == 1
+    assert not any("text#" in p for n, p in plans if n == "line-starts")
+
+
+def test_odd_white_space_gives_the_pattern_s_units_and_words(spark, monkeypatch):
+    written, write = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    docs = line_dedup._keyed(spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string"))
+    line_dedup._lines(docs, 1)
+    want = []
+    for i, text in enumerate(ODD):
+        for unit, piece in enumerate(re.split(r"\n(?=[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D])", text)):
+            if n := len(re.findall(r"[^\x20\x09-\x0D]+", piece.split("\n")[0])):
+                want.append((i, unit, n))
+    assert sorted((r[line_dedup.DOC[0]], r.unit, r.words) for r in written["lines"].collect()) == want
