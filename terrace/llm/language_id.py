@@ -17,11 +17,13 @@ need no care: each row is scored alone.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -109,9 +111,10 @@ class Model:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, families: dict = FAMILIES) -> Model | None:
     """The model of ``labelled`` (doc_id, text, lang); None without a labelled row.
 
-    The sample crosses to the driver as one Arrow table of half-precision rows,
-    2 * DIMS bytes each (34 MB for 2000), and all machines are fitted on the
-    rows' inner products, so the driver never holds a wider copy of it.
+    The sample crosses to the driver as one Arrow table of compressed rows, which
+    become half-precision ones of 2 * DIMS bytes each there (34 MB for 2000), and
+    all machines are fitted on the rows' inner products, so the driver holds one
+    copy of it and never a wider one.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +122,21 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, families: dict = FA
             for at, block in blocks(batch.column(0)):
                 x = features(block).astype(np.float16)
                 part = batch.slice(at, block.n)
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "sample_key", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([zlib.compress(r.tobytes(), 1) for r in x], pa.binary())], ["lang", "sample_key", "x"])
 
     sample = bounded_sample(labelled.where(F.col("text").rlike(r"\p{L}")), "lang", sample_rows, 0.7)
     got = sample.select("text", "lang", "sample_key").mapInArrow(rows, "lang string, sample_key long, x binary").toArrow()
     if not got.num_rows:
         return None
-    got = got.sort_by([("lang", "ascending"), ("sample_key", "ascending")])
-    lang = np.array(got.column("lang").to_pylist(), object)
-    x = np.frombuffer(got.column("x").combine_chunks().buffers()[2], np.float16).reshape(len(lang), DIMS)
+    order = pc.sort_indices(got.select(["lang", "sample_key"]), [("lang", "ascending"), ("sample_key", "ascending")]).to_numpy()
+    lang = np.array(got.column("lang").to_pylist(), object)[order]
+    # rows are copied once, to their places; Arrow's copy goes, and its pool gives the memory back, before the fit
+    x, place = np.empty((len(lang), DIMS), np.float16), np.empty(len(lang), np.int64)
+    place[order] = np.arange(len(lang))
+    for at, row in zip(place, got.column("x"), strict=True):
+        x[at] = np.frombuffer(zlib.decompress(row.as_buffer()), np.float16)
+    del got, row
+    pa.default_memory_pool().release_unused()
     products = gram(x)
     home = {code: name for name, codes in families.items() for code in codes}
     by_family: dict[str, list[str]] = {}

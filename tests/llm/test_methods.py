@@ -301,3 +301,23 @@ def test_queries_keep_values_on_odd_rows(spark, tmp_path):
     assert {(r.doc_id, r.n_words, r.base_failed) for r in q["op7_quality_rules"]} == {(1, 80, False), (None, 80, False), (2, 0, True), (3, 0, True), (4, 3, True), (5, 1, True)}
     assert {r.predicted for r in q["op8_quality_classifier"]} == {1} and len(q["op8_quality_classifier"]) == 7
     assert {(r.doc_id, r.size) for r in q["op10_mixing"]} == {(1, 80), (None, 80), (2, 0), (3, 0), (4, 3), (5, 1)}
+
+
+def test_language_fit_holds_its_sample_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from terrace.llm import language_id
+
+    seen, gram = [], language_id.gram
+
+    def spy(x):
+        seen.append((pa.total_allocated_bytes(), x.nbytes))
+        return gram(x)
+
+    monkeypatch.setattr(language_id, "gram", spy)
+    rows = [(i, f"{w} {i} {w} words {i * 7}", lang) for i in range(60) for w, lang in (("the", "en"), ("der", "de"))]
+    before = pa.total_allocated_bytes()
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.families == [["de", "en"]]
+    (held, size), = seen
+    assert size >= 100 * 2 * language_id.DIMS and held - before < size / 2
