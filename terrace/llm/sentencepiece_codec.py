@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from .common import materialise, small_batches
 from .textbytes import U64, _powers, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -48,7 +49,7 @@ UNKNOWN_PENALTY = 10.0
 #: The longest stretch that is searched in step with others.
 LANE_CHARS = 64
 #: Texts of about this many characters are encoded together and make one output batch.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 _PAIR_BITS = 20
 #: Pairs of pieces whose step is remembered: so many in a fast table, so many at all.
 _STEP_BITS, MEMO_STEPS = 20, 200_000
@@ -420,6 +421,8 @@ def _encoded(documents: DataFrame, vocabulary: Vocabulary, check: bool) -> DataF
                 ids = _ids_of(lanes, texts)
                 new = [ids, pc.fill_null(pc.equal(_texts_of(shared.value.surface, ids), texts), True)] if check else [ids]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
+                del ids, new
+                pa.default_memory_pool().release_unused()  # else what earlier parts took stays with the worker
 
     schema = StructType([*rows.schema, StructField("ids", ArrayType(IntegerType())), *([StructField("exact", BooleanType())] if check else [])])
     return rows.mapInArrow(encoded, schema)
@@ -444,6 +447,13 @@ def decode(encoded: DataFrame, model: str = MODEL, vocabulary: Vocabulary | None
     return rows.mapInArrow(decoded, StructType([*rows.schema, StructField(to, StringType())]))
 
 
+def written_round_trip(documents: DataFrame, model: str = MODEL) -> DataFrame:
+    """``round_trip`` run and written at once, with small Arrow batches: a batch is held by the JVM and by the Python worker
+    of each running task, and 10,000 texts may be of any length."""
+    with small_batches(documents.sparkSession):
+        return materialise(round_trip(documents, model), "pieces")
+
+
 def round_trip(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """``documents`` with ``ids``, ``n_ids`` and ``exact``: do the ids decode to the very text (true for null).
 

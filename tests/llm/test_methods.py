@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -321,3 +322,29 @@ def test_language_fit_holds_its_sample_once(spark, monkeypatch):
     assert model.families == [["de", "en"]]
     (held, size), = seen
     assert size >= 100 * 2 * language_id.DIMS and held - before < size / 2
+
+
+def test_pipeline_encodes_in_small_batches(spark):
+    """10,000 rows of long texts in an Arrow batch were held by the JVM and by each worker; the last stage writes its rows with small ones."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    out = pipeline.encode_pieces(spark, docs, "")
+    assert "MapInArrow" not in out._jdf.queryExecution().toString() and out.where("exact and n_ids > 0").count() == 1200
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_texts_encoded_together_take_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(150)) for _ in range(1600)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = [p.column(0) for p in sentencepiece_codec._batches(batch, np.array([len(t) for t in texts]))]
+    assert [t for p in parts for t in p.to_pylist()] == texts
+    lanes = sentencepiece_codec.Lanes(sentencepiece_codec.Vocabulary.load())
+    tracemalloc.start()
+    sentencepiece_codec._ids_of(lanes, parts[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
