@@ -14,6 +14,9 @@ from pyspark.sql.types import DoubleType, FloatType
 from .ranking import with_position
 from .shared import materialise
 
+#: Rows of a side that are aggregated and compared in one task.
+ROWS_A_TASK = 250_000
+
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Rows of ``child`` whose non-null key has no parent."""
@@ -63,6 +66,15 @@ def compare_multisets(left: DataFrame, right: DataFrame, exclude: tuple | list =
     return both.groupBy(*a.columns).agg(F.sum("__n").alias("extra")).where("extra <> 0")
 
 
+def dealt_alike(left: DataFrame, right: DataFrame, keys: list[str], rows: int = ROWS_A_TASK) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt by ``keys`` to as many partitions as give a task about ``rows`` rows of a side, however large they are.
+
+    Aggregates of each side by these keys and ``compare_keyed`` of them need no other shuffle.
+    """
+    parts = max(left.count(), right.count()) // rows + 1
+    return left.repartition(parts, *keys), right.repartition(parts, *keys)
+
+
 def compare_keyed(left: DataFrame, right: DataFrame, keys: list[str], exclude: tuple | list = (), mapping: dict | None = None, tolerance: float | None = 0.01) -> DataFrame:
     """keys, side and the sorted names of the columns that differ, for each key that mismatches.
 

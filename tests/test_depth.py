@@ -273,3 +273,19 @@ def test_windows_by_levels_are_those_of_the_walk(spark):
     want = periods._merged(periods._walked(first, kinds, edges, 1)).collect()
     got = periods.along_lineage(anchors, kinds, edges).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 14
+
+
+def test_keyed_comparison_is_dealt_by_size(spark):
+    """A task of row_compare_keyed held 64 MB of shuffled rows of both sides, some 3 million; now it gets a number of rows, however large the sides are."""
+    a = spark.range(1000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v"))
+    b = a.where("k <> 7").withColumn("v", F.when(F.col("k") == 9, 0.0).otherwise(F.col("v")))
+    left, right = quality.dealt_alike(a, b, ["k"], rows=100)
+    assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() == 11
+    first = lambda x: x.groupBy("k").agg(F.min("v").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = quality.compare_keyed(first(left), first(right), ["k"], tolerance=None)
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted(tuple(r) for r in out.collect()) == [(7, "left", ["v"]), (9, "both", ["v"])]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
